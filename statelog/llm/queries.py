@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statelog.functions.spelling import member_set, prefixed_hex
-from statelog.llm import cooccurrence, distinct, frequent, leaks, setjoin
+from statelog.llm import abuse, cooccurrence, distinct, frequent, leaks, setjoin
 from statelog.llm.baskets import distinct_baskets, transactions
 from statelog.llm.tokenize import encode_texts
 from statelog.operators.activity import distinct_blocks
@@ -113,7 +113,27 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_distinct, p2_bound_check, p3_found, p3_pairs, p6_found, p6_counts, p8_ids, p9_found)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = abuse.fit(abuse.labelled_texts(docs, table(spark, d, "doc_labels")))
+    return abuse.score_texts(docs, model, ("doc_id", "source"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "source", "score")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, flagged documents and their rate per source; documents without source form a group of their own."""
+    flagged = F.sum((F.col("score") >= abuse.THRESHOLD).cast("long"))
+    return _scored(spark, d).groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), F.round(flagged / F.count("*"), 6).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_distinct, p2_bound_check, p3_found, p3_pairs, p6_found, p6_counts, p8_ids, p9_found, p10_found, p10_scores, p10_rates)}
 
 
 def _hex(e: str) -> str:

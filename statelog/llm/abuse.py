@@ -26,7 +26,7 @@ WINDOW = 10
 #: Texts (pages where known) a word or pair must occur in to be a feature.
 LEAST = 3
 EPOCHS, RATE, RIDGE, ANCHOR, COUNTERFACTUAL, SWAPS = 60, 0.3, 2e-4, 10_000, 0.5, 2
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 
 # Words that name groups of people.
 IDENTITY_TERMS = """women men girls boys gays lesbians trans muslims jews christians hindus buddhists atheists immigrants refugees
@@ -229,7 +229,7 @@ def _log_odds(feats: np.ndarray, doc_of: np.ndarray, y: np.ndarray, page: np.nda
         np.add.at(pos, both[0], y[both[1]])
         np.add.at(neg, both[0], 1 - y[both[1]])
     rate = np.clip(y.mean(), 0.05, 0.95)
-    odds = np.log((pos + 4 * rate) / (neg + 4 * (1 - rate))) - np.log(rate / (1 - rate))
+    odds = np.log((pos + 20 * rate) / (neg + 20 * (1 - rate))) - np.log(rate / (1 - rate))
     return 0.3 * odds
 
 

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statelog.runtime import broadcast_if_small, cut
+
 
 def changed(a: pa.Array, before: pa.Scalar | None) -> np.ndarray:
     """True where a value differs from the one before it; null equals null. ``before`` precedes the first value."""
@@ -99,3 +101,98 @@ def key_activity(rows: DataFrame) -> DataFrame:
         F.min("first_height").alias("first_height"),
         F.max("last_height").alias("last_height"),
     )
+
+
+def ranged_lag(df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str = "prev_") -> DataFrame:
+    """``df`` with ``prev_<v>`` of the row before, within ``keys`` in ``order``; null for a key's first row.
+
+    As a window's ``lag`` without its long task: rows are range partitioned on keys and order, and only the first and last row of
+    a key in each partition are stitched. Columns of ``df`` that begin with ``prev_`` of a value are replaced.
+    """
+    df = df.drop(*[f"{prefix}{v}" for v in values])
+    names = df.columns
+    at = [names.index(c) for c in keys]
+    of = [names.index(v) for v in values]
+    fields = [*df.schema.fields, *[type(df.schema[v])(f"{prefix}{v}", df.schema[v].dataType) for v in values]]
+    out_schema = type(df.schema)([*fields, *df.select(F.lit(True).alias("_first"), F.lit(True).alias("_last")).schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row isn't given out before it is known whether its key goes on
+        before = None
+
+        def out(t: pa.Table, first: np.ndarray, last: np.ndarray, lagged: list) -> pa.RecordBatch:
+            cols = [*(one_array(c) for c in t.columns), *lagged, pa.array(first), pa.array(last)]
+            return pa.RecordBatch.from_arrays(cols, [*t.column_names, *[f"{prefix}{v}" for v in values], "_first", "_last"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            cols = [one_array(c) for c in t.columns]
+            new = np.zeros(t.num_rows, bool)
+            for i in at:
+                new |= changed(cols[i], None if before is None else before[i])
+            lagged = []
+            mask = pa.array(new)
+            for i in of:
+                shifted = pa.concat_arrays([pa.array([None if before is None else before[i].as_py()], cols[i].type), cols[i][:-1]])
+                lagged.append(pc.if_else(mask, pa.scalar(None, cols[i].type), shifted))
+            last = np.r_[new[1:], False]
+            n = t.num_rows - 1
+            if n:
+                yield out(t.slice(0, n), new[:n], last[:n], [x[:n] for x in lagged])
+                before = [c[n - 1] for c in cols]
+            held = t.slice(n, 1)
+        if held is not None:
+            cols = [one_array(c) for c in held.columns]
+            new = np.zeros(1, bool)
+            for i in at:
+                new |= changed(cols[i], None if before is None else before[i])
+            lagged = [pa.array([None if new[0] else before[i].as_py()], cols[i].type) for i in of]
+            yield out(held, new, np.array([True]), lagged)
+
+    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
+    edge = rows.where("_first or _last")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    for v in values:
+        edge = edge.withColumn(f"{prefix}{v}", F.when(F.col("_first"), F.lag(v).over(w)).otherwise(F.col(f"{prefix}{v}")))
+    return rows.where("not (_first or _last)").unionByName(edge).drop("_first", "_last")
+
+
+def ranged_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the sum of ``amount`` over the rows before (exclusive), within ``keys`` in ``order``.
+
+    The rows are range partitioned and written once with their running sum inside the partition; the sums of the partitions
+    before, one row a partition and key, are then added. ``order`` has no ties within ``keys``; a null amount counts as 0.
+    """
+    names = df.columns
+    at, amount_at = [names.index(c) for c in keys], names.index(amount)
+    schema = df.withColumn(out, F.lit(0).cast("long")).withColumn("_part", F.lit(0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        before, total = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [one_array(c) for c in b.columns]
+            new = np.zeros(b.num_rows, bool)
+            for i in at:
+                new |= changed(cols[i], None if before is None else before[i])
+            amounts = pc.fill_null(cols[amount_at].cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+            running = np.cumsum(amounts) - amounts
+            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            sums = np.where(start >= 0, running - running[np.maximum(start, 0)], running + total)
+            total = int(sums[-1] + amounts[-1])
+            before = [c[-1] for c in cols]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sums, pa.int64()), pa.array(np.full(len(sums), part), pa.int32())], [*names, out, "_part"])
+
+    rows = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema))
+    totals = rows.groupBy(*keys, "_part").agg(F.sum(F.coalesce(amount, F.lit(0))).cast("long").alias("_sum"))
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_offset"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = rows.join(broadcast_if_small(offsets), [F.col("_part") == F.col("_p"), *same])
+    return joined.select(*names, (F.col(out) + F.col("_offset")).cast("long").alias(out))

@@ -54,9 +54,12 @@ def fold_levels(df: DataFrame, cells: str, child_level: int, rounds: int) -> Dat
 
     Each level is a column of its own, so the plan hashes it once and not again for each parent.
     """
+    def parent(below: str, level: int):
+        return lambda i: node_hash(level, F.get(F.col(below), i * 2), F.get(F.col(below), i * 2 + 1))
+
     for r in range(rounds):
-        half, below = 1 << (rounds - r - 1), cells if r == 0 else f"h{r}"
-        df = df.withColumn(f"h{r + 1}", F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i, c=below, r=r: node_hash(child_level + r, F.get(F.col(c), i * 2), F.get(F.col(c), i * 2 + 1))))
+        below = cells if r == 0 else f"h{r}"
+        df = df.withColumn(f"h{r + 1}", F.transform(F.sequence(F.lit(0), F.lit((1 << (rounds - r - 1)) - 1)), parent(below, child_level + r)))
     return df
 
 

@@ -112,8 +112,8 @@ def trees(null_leaf_hex: str) -> str:
 span as (select shard_id, max(sn) // 2048 as youngest from whole group by shard_id),
 place as (select shard_id, unnest(range((youngest + 1) * 2048)) as sn from span),
 l0 as (
-  select p.shard_id, p.sn as nth, coalesce(sha256(unhex({entry_hex()})), '{null_leaf_hex}') as h
-  from place p left join whole w on w.shard_id = p.shard_id and w.sn = p.sn),
+  select shard_id, sn as nth, coalesce(sha256(unhex({entry_hex()})), '{null_leaf_hex}') as h
+  from place p left join whole w using (shard_id, sn)),
 {hash_rounds("l0", "l", 0, 11, "shard_id")},
 byte as (
   select p.shard_id, p.sn // 8 as place8, sum(case when a.sn is null then 0 else 1 << (p.sn % 8)::integer end)::bigint as b

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from statelog.plans import general, store
+from statelog.plans import dependency, general, store
 
-_MODULES = (general, store)
+_MODULES = (general, store, dependency)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

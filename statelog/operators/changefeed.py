@@ -42,8 +42,7 @@ def _upsert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             db.register("batch", pa.Table.from_batches([b]))
             db.execute(_UPSERT)
             db.unregister("batch")
-    result = db.execute("select key, version, op_seq, op_type, value from state")
-    table = result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.fetch_arrow_table()
+    table = db.sql("select key, version, op_seq, op_type, value from state").to_arrow_table()
     table = table.cast(pa.schema([("key", pa.binary()), ("version", pa.int64()), ("op_seq", pa.int64()), ("op_type", pa.int32()), ("value", pa.binary())]))
     yield from table.to_batches(max_chunksize=10_000)
     db.close()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statelog.config import SENTRIES
+from statelog.config import COMPACT_DIV, COMPACT_FACTOR, COMPACT_LEAST, SENTRIES
 from statelog.functions.codec import entry_bytes, entry_length, k16
 from statelog.operators.ranged import ranged_lag, ranged_sum
 from statelog.operators.state import sentry_keys
@@ -67,14 +67,19 @@ def _touches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
 
 
+def touches(classes: DataFrame) -> DataFrame:
+    """Entries touched by classified operations: ``(shard_id, entity, version, op_seq, sub, kind, key, value, next_key_hash, last_version)``."""
+    acts = classes.where("effect <> 'noop'").select(k16(F.col("key_hash")).alias("p"), "shard_id", "key_hash", "key", F.coalesce("value", F.unhex(F.lit(""))).alias("value"), "effect", "version", F.col("op_seq").cast("long").alias("op_seq"))
+    return acts.repartition("p").sortWithinPartitions("p", "version", "op_seq").mapInArrow(_touches, _TOUCH)
+
+
 def entry_log(classes: DataFrame) -> DataFrame:
     """Log rows of classified operations (see :func:`statelog.operators.changes.classified`), without the sentries' first entries.
 
     ``(shard_id, sn, entity, key, value, next_key_hash, version, last_version, dsn, length, file_pos, kind, op_seq, sub)``. Serial numbers go on
     from the sentries'. A null value is stored as empty. No operations give no rows.
     """
-    acts = classes.where("effect <> 'noop'").select(k16(F.col("key_hash")).alias("p"), "shard_id", "key_hash", "key", F.coalesce("value", F.unhex(F.lit(""))).alias("value"), "effect", "version", F.col("op_seq").cast("long").alias("op_seq"))
-    touched = acts.repartition("p").sortWithinPartitions("p", "version", "op_seq").mapInArrow(_touches, _TOUCH)
+    touched = touches(classes)
     touched = touched.withColumn("one", (F.col("kind") != "gone").cast("long")).withColumn("length", F.when(F.col("kind") == "gone", 0).otherwise(_length()))
     order = ["version", "op_seq", "sub"]
     placed = ranged_sum(touched, ["shard_id"], order, "one", "rank")
@@ -128,8 +133,6 @@ def active_entries(log: DataFrame) -> DataFrame:
 
 def active_stats(log: DataFrame) -> DataFrame:
     """Per shard: live entries, the oldest of them, the next serial number, and whether the log may be compacted."""
-    from statelog.config import COMPACT_DIV, COMPACT_FACTOR, COMPACT_LEAST
-
     ends = log.groupBy("shard_id").agg((F.max("sn") + 1).alias("next_sn"))
     live = active_entries(log).groupBy("shard_id").agg(F.count("*").alias("n_active"), F.min("sn").alias("oldest_active_sn"))
     total = F.col("next_sn") - F.col("oldest_active_sn")

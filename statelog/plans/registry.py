@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from statelog.plans import dependency, general, proofs, store
+from statelog.plans import dependency, general, pipeline, proofs, store
 
-_MODULES = (general, store, proofs, dependency)
+_MODULES = (general, store, proofs, dependency, pipeline)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -1 +1 @@
-
+"""Block-by-block processing with Structured Streaming."""

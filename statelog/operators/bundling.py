@@ -10,40 +10,112 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelog.config import BLOOM_BITS, BLOOM_FUNCS, BUNDLE_MAX, BUNDLE_MIN, BUNDLES, EARLY_WINDOW, SET_MAX
+from statelog.operators.ranged import ranged_lag
+from statelog.runtime import broadcast_if_small, cut
 
 _SHIFT = BLOOM_BITS.bit_length() - 1
 
 
-def serial_starts(last: DataFrame) -> DataFrame:
-    """``(bundle, start, n_txs)`` of the bundles in order, from ``last(pos, last)`` of :func:`~statelog.operators.access.last_collision`.
+def _exits(first: int, last: np.ndarray) -> tuple[list[int], list[int]]:
+    """What a stretch of transactions ``first .. first + len(last) - 1`` makes of the bundle that is open before it: ``(limits, leaves)``.
 
-    A bundle ends before the first transaction that collides with one of it. No transactions give no bundles.
+    The first cut is at the first transaction whose last collision isn't before the incoming bundle's start, and from a cut on all that
+    follows is the same whatever came in. So only the running maxima of the collisions matter: a bundle that started at or before
+    ``limits[k]``, and after the limit before it, leaves as the one that starts at ``leaves[k]``; a later one goes on.
     """
+    if not len(last):
+        return [], []
+    upto = np.maximum.accumulate(last)
+    rises = np.flatnonzero(np.r_[True, upto[1:] > upto[:-1]])
+    inner = np.flatnonzero(last >= first)
+    stop = int(inner[0]) if len(inner) else len(last)
+    entries = [int(i) for i in rises if i < stop] + ([stop] if stop < len(last) else [])
+    leaves, left_by = [], {}
+    hits = last.tolist()
+    for e in reversed(entries):  # later entries first: an earlier one mostly falls in with their cuts
+        start, mine, end = first + e, [], None
+        for i in range(e, len(hits)):
+            if i == e or hits[i] >= start:
+                start = first + i
+                end = left_by.get(start)
+                if end is not None:
+                    break
+                mine.append(start)
+        end = start if end is None else end
+        left_by.update(dict.fromkeys(mine, end))
+        leaves.append(end)
+    return [hits[e] for e in entries], leaves[::-1]
+
+
+def serial_starts(last: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(start, n_txs)`` of the bundles in order, from ``last(pos, last)`` of :func:`~statelog.operators.access.last_collision`.
+
+    A bundle ends before the first transaction that collides with one of it. The rule is sequential, but a stretch of transactions
+    maps the bundle that is open before it to the one that is open after it, and that map has few steps. So range partitions work out
+    their maps side by side, the maps are chained (a few rows a partition), and the partitions then give out their bundles side by
+    side. ``pos`` counts from 0 without gaps. No transactions give no bundles.
+    """
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        pos, hit = _columns(batches)
+        cols = {"part": np.full(len(pos), part), "pos": pos, "last": hit, "limit": np.full(len(pos), -2), "leaves": np.full(len(pos), -2)}
+        if len(pos):
+            limits, leaves = _exits(int(pos[0]), hit)
+            cols["limit"][: len(limits)], cols["leaves"][: len(leaves)] = limits, leaves
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols.values()], list(cols))
+
+    rows = cut(last.select("pos", "last").repartitionByRange(*([partitions] if partitions else []), "pos").sortWithinPartitions("pos").mapInArrow(maps, "part bigint, pos bigint, last bigint, limit bigint, leaves bigint"))
+    firsts = rows.groupBy("part").agg(F.min("pos").alias("first"), F.sort_array(F.collect_list(F.when(F.col("leaves") >= 0, F.struct("limit", "leaves")))).alias("steps"))
 
-    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle, start, n = 0, None, 0
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None
         for b in batches:
-            done = []
-            for pos, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if start is not None and hit >= start:
-                    done.append((bundle, start, n))
-                    bundle, start, n = bundle + 1, pos, 0
-                elif start is None:
+            parts, opens = [], []
+            for part, first, steps in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts.append(part)
+                opens.append(-1 if open_ is None else open_)
+                open_ = first if open_ is None else open_
+                open_ = next((s["leaves"] for s in steps if s["limit"] >= open_), open_)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(opens, pa.int64())], ["part", "incoming"])
+
+    incoming = firsts.repartition(1).sortWithinPartitions("part").mapInArrow(chain, "part bigint, incoming bigint")  # a row a partition
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, start = None, 0
+        for b in batches:
+            out = []
+            for p, pos, hit, came in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != part:
+                    part, start = p, came
+                    if came < 0:
+                        start = pos
+                        out.append(pos)
+                        continue
+                if hit >= start:
                     start = pos
-                n += 1
-            yield _rows(done)
-        if n:
-            yield _rows([(bundle, start, n)])
+                    out.append(pos)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["start"])
+
+    placed = rows.select("part", "pos", "last").join(broadcast_if_small(incoming), "part").select("part", "pos", "last", "incoming")
+    starts = placed.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(give, "start bigint")
+    n = rows.count()
+    behind = ranged_lag(starts.select((-F.col("start")).alias("back"), F.lit(0).alias("_all")), ["_all"], ["back"], ["back"])
+    return behind.select((-F.col("back")).alias("start"), (F.coalesce(-F.col("prev_back"), F.lit(n)) + F.col("back")).cast("long").alias("n_txs"))
 
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["bundle", "start", "n_txs"])
 
-    return last.select("pos", "last").repartition(1).sortWithinPartitions("pos").mapInArrow(cuts, "bundle bigint, start bigint, n_txs bigint")
+def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    none = np.array([], np.int64)
+    return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (none, none)
 
 
 def tlp(bundles: DataFrame) -> DataFrame:

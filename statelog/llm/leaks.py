@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ _TABLE_LINE = re.compile(r"^\s*(?:\{\||\|-).*$", re.M)
 _ARGUMENT = re.compile(r"\|\s*[\w -]{1,40}?\s*=")
 _SWITCH = re.compile(r"__[A-Z]+__")
 _WORD = re.compile(r"[^\W_]+")
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
+_HIDDEN = regex.compile(r"\p{Cf}+")
 #: Tags that mark words without parting them; other known tags part them.
 _INLINE = {"b", "i", "u", "s", "em", "strong", "span", "small", "big", "sup", "sub", "tt", "code", "font", "del", "ins", "mark", "abbr", "cite", "q", "nowiki", "strike", "a", "var", "kbd", "samp", "bdi", "noinclude", "includeonly", "onlyinclude"}
 _PARTING = {"br", "p", "div", "li", "ul", "ol", "td", "th", "tr", "table", "hr", "blockquote", "center", "pre", "poem", "dd", "dt", "dl", "h1", "h2", "h3", "h4", "h5", "h6", "caption", "gallery", "references", "ref", "math", "section"}
@@ -47,10 +50,9 @@ def _label(m: re.Match) -> str:
 
 def words_of(text: str) -> list[str]:
     """Words as a reader compares them: runs of letters and digits without case, accents and invisible characters."""
-    text = unicodedata.normalize("NFKD", text.casefold())
-    if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Me", "Cf") and c != "­")
-    return _WORD.findall(text)
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    return _WORD.findall(_UNSEEN.sub("", unicodedata.normalize("NFKD", text.casefold())))
 
 
 def _strip_links(text: str) -> str:
@@ -70,7 +72,7 @@ def rendered(text: str) -> list[str]:
     text = _COMMENT.sub("", text)
     text = html.unescape(text) if "&" in text else text
     if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        text = _HIDDEN.sub("", text)
     notes = [m.group(1) for m in _REF.finditer(text) if m.group(1)]
     body = _strip_links(_REF.sub("", text))
     views = [body]

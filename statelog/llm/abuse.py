@@ -9,24 +9,25 @@ neutral mentions of a group don't count against a text.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statelog.llm.wording import plain_word, tokens
+from statelog.llm.wording import plain_word, raw_words
 
 #: Labelled texts the classifier is fitted on at most, and the longest text among them. Scoring has no such bounds.
-FIT_TEXTS, FIT_CHARS = 20_000, 100_000
+FIT_TEXTS, FIT_CHARS = 10_000, 100_000
 WINDOW = 10
+#: Spellings a worker remembers.
+CACHE = 500_000
 #: Texts (pages where known) a word or pair must occur in to be a feature.
 LEAST = 3
-EPOCHS, RATE, RIDGE, ANCHOR, COUNTERFACTUAL, SWAPS = 60, 0.3, 2e-4, 10_000, 0.5, 2
-THRESHOLD = 0.6
+EPOCHS, RATE, RIDGE, ANCHOR, COUNTERFACTUAL, SWAPS = 40, 0.3, 2e-4, 10_000, 0.5, 2
+THRESHOLD = 0.55
 
 # Words that name groups of people.
 IDENTITY_TERMS = """women men girls boys gays lesbians trans muslims jews christians hindus buddhists atheists immigrants refugees
@@ -58,10 +59,23 @@ class Model:
     skip_keys: np.ndarray
     skip_weights: np.ndarray
     bias: float
+    known: dict[str, int] = field(default_factory=dict)
 
     def ids(self, text: str | None) -> np.ndarray:
-        get, masked = self.words.get, self.masked
-        return np.array([get(w, 0) if "*" not in w else get(masked.get(_mask(w), ""), 0) for w in tokens(text)], np.int64)
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        raw = raw_words(text)
+        out = [known.get(w, -1) for w in raw]
+        if -1 in out:
+            for i, w in enumerate(raw):
+                if out[i] < 0:
+                    out[i] = known[w] = self._id(w)
+        return np.array(out, np.int64)
+
+    def _id(self, raw: str) -> int:
+        w = plain_word(raw)
+        return self.words.get(self.masked.get(_mask(w), "") if "*" in w else w, 0)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of each text; a text without words has 0."""
@@ -123,29 +137,31 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
     groups = [g for g in identity.split()]
     strong = {plain_word(w) for w in STRONG.split()}
     weak = {plain_word(w) for w in WEAK.split()}
-    docs = [tokens(t) for t, _, _ in rows]
-    pages = np.array([p if p is not None else -1 - i for i, (_, _, p) in enumerate(rows)])
-    seen = Counter()
-    by_page: dict[int, set] = {}
-    for words, page in zip(docs, pages.tolist(), strict=True):
-        new = set(words) - by_page.setdefault(page, set())
-        by_page[page] |= new
-        seen.update(new)
-    del by_page
-    known = sorted({w for w, n in seen.items() if n >= LEAST and "*" not in w} | strong | weak | set(groups))
+    spelled: dict[str, int] = {}  # a word as it stands in the texts -> number of its plain form
+    plain: dict[str, int] = {}
+    docs = []
+    for text, _, _ in rows:
+        raw = raw_words(text)
+        for w in raw:
+            if w not in spelled:
+                spelled[w] = plain.setdefault(plain_word(w), len(plain))
+        docs.append(np.array([spelled[w] for w in raw], np.int32))
+    del spelled
+    names = list(plain)
+    pages = np.array([p if p is not None else -1 - i for i, (_, _, p) in enumerate(rows)], np.int64)
+    number = np.unique(pages, return_inverse=True)[1]
+    count = np.zeros(len(names), np.int64)
+    if docs:
+        pairs = [np.unique(d).astype(np.int64) + int(p) * len(names) for d, p in zip(docs, number, strict=True)]
+        count += np.bincount(np.unique(np.concatenate(pairs)) % max(len(names), 1), minlength=len(names))
+    listed = strong | weak | set(groups)
+    known = sorted({w for w, n in zip(names, count.tolist(), strict=True) if n >= LEAST and "*" not in w} | listed)
     words = {w: i + 1 for i, w in enumerate(known)}  # 0: any other word
     n = len(words) + 1
-    masked: dict[str, str] = {}
-    shapes: dict[tuple, list[str]] = {}
-    for w in known:
-        shapes.setdefault((len(w), w[0], w[-1]), []).append(w)
-    for doc in docs:
-        for w in doc:
-            if "*" in w:
-                masked.setdefault(_mask(w), "")
-    for w in (*strong, *weak, *known):  # listed words first, then any
-        for shape in {w[0] + "." * (len(w) - 2) + w[-1], w[0] + "." * (len(w) - 1)} if len(w) > 2 else ():
-            if not masked.get(shape):
+    masked = {_mask(w): "" for w in names if "*" in w}
+    for w in (*sorted(strong), *sorted(weak), *known):  # listed words first, then any
+        for shape in (w[0] + "." * (len(w) - 2) + w[-1], w[0] + "." * (len(w) - 1)) if len(w) > 2 else ():
+            if shape in masked and not masked[shape]:
                 masked[shape] = w
     masked = {k: v for k, v in masked.items() if v}
     prior = np.zeros(n)
@@ -155,11 +171,12 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
         prior[words[w]] = 1.0
     bias = -2.5
     model = Model(words, masked, prior.copy(), np.array([], np.int64), np.array([]), np.array([], np.int64), np.array([]), bias)
-    parts = [np.array([words.get(w, 0) if "*" not in w else words.get(masked.get(_mask(w), ""), 0) for w in d], np.int64) for d in docs]
-    keep = [i for i, p in enumerate(parts) if len(p)]
+    to_id = np.array([words.get(masked.get(_mask(w), "") if "*" in w else w, 0) for w in names], np.int64)
+    keep = [i for i, d in enumerate(docs) if len(d)]
     if not keep:
         return model
-    parts = [parts[i] for i in keep]
+    parts = [to_id[docs[i]] for i in keep]
+    del docs
     y = np.array([rows[i][1] for i in keep], float)
     page = pages[keep]
     lens = np.array([len(p) for p in parts])
@@ -177,8 +194,9 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
         columns.append(np.where(ks[at] == keys, at + size, -1) if len(ks) else np.full(len(keys), -1))
         tables.append((ks, size))
         size += len(ks)
-    feats = np.stack([c.astype(np.int64) for c in columns])
-    feats[feats < 0] = size  # a last weight that stays 0
+    feats = [c.astype(np.int32) for c in columns]
+    for f in feats:
+        f[f < 0] = size  # a last weight that stays 0
     full_prior = np.zeros(size + 1)
     full_prior[:n] = prior
     w = full_prior + _log_odds(feats, doc_of, y, page, size)
@@ -190,7 +208,8 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
     weight = np.where(y > 0.5, 0.5 / max((y > 0.5).mean(), 0.05), 0.5 / max((y <= 0.5).mean(), 0.05))
     weight = np.clip(weight, 0.3, 3.0)
     for _ in range(EPOCHS):
-        best, last = _window_max(w[feats].sum(0), first, lens)
+        each = _summed(w, feats)
+        best, last = _window_max(each, first, lens)
         p = 1 / (1 + np.exp(-np.clip(best + bias, -30, 30)))
         err = (p - y) * weight
         g = np.zeros(size + 1)
@@ -206,7 +225,7 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
             if not len(rows_with):
                 break
             a, ok = at[rows_with], inside[rows_with]
-            change = np.where(ok, (w[feats].sum(0) - w[s].sum(0))[a], 0.0).sum(1)
+            change = np.where(ok, each[a] - _summed(w, [f[a] for f in s]), 0.0).sum(1)
             push = np.repeat(change * COUNTERFACTUAL / len(swapped), WINDOW).reshape(a.shape)
             for f, f2 in zip(feats, s, strict=True):
                 np.add.at(g, f[a][ok], push[ok])
@@ -221,7 +240,14 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
     return Model(words, masked, w[:n].copy(), k1, w[o1 : o1 + len(k1)].copy(), k2, w[o2 : o2 + len(k2)].copy(), float(bias))
 
 
-def _log_odds(feats: np.ndarray, doc_of: np.ndarray, y: np.ndarray, page: np.ndarray, size: int) -> np.ndarray:
+def _summed(w: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
+    out = w[feats[0]]
+    for f in feats[1:]:
+        out += w[f]
+    return out
+
+
+def _log_odds(feats: list[np.ndarray], doc_of: np.ndarray, y: np.ndarray, page: np.ndarray, size: int) -> np.ndarray:
     """Start of the weights: shrunk log odds of a feature in abusive against other texts."""
     pos, neg = np.zeros(size + 1), np.zeros(size + 1)
     for f in feats:
@@ -233,7 +259,7 @@ def _log_odds(feats: np.ndarray, doc_of: np.ndarray, y: np.ndarray, page: np.nda
     return 0.3 * odds
 
 
-def _swapped(flat: np.ndarray, is_group: np.ndarray, group_ids: np.ndarray, first: np.ndarray, lens: np.ndarray, n: int, tables: list, size: int) -> list[np.ndarray]:
+def _swapped(flat: np.ndarray, is_group: np.ndarray, group_ids: np.ndarray, first: np.ndarray, lens: np.ndarray, n: int, tables: list, size: int) -> list[list[np.ndarray]]:
     """Features of the texts with each identity term replaced by another one."""
     out = []
     where = np.searchsorted(np.sort(group_ids), flat[is_group])
@@ -241,15 +267,15 @@ def _swapped(flat: np.ndarray, is_group: np.ndarray, group_ids: np.ndarray, firs
     for s in range(SWAPS):
         other = flat.copy()
         other[is_group] = ordered[(where + 7 * s + 5) % len(ordered)]
-        columns = [other]
+        columns = [other.astype(np.int32)]
         for lag, (ks, offset) in zip((1, 2), tables, strict=True):
             keys = _lagged(other, first, lens, lag, n)
             if len(ks):
                 at = np.minimum(np.searchsorted(ks, keys), len(ks) - 1)
-                columns.append(np.where(ks[at] == keys, at + offset, size))
+                columns.append(np.where(ks[at] == keys, at + offset, size).astype(np.int32))
             else:
-                columns.append(np.full(len(keys), size))
-        out.append(np.stack(columns))
+                columns.append(np.full(len(keys), size, np.int32))
+        out.append(columns)
     return out
 
 

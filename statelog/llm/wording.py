@@ -6,6 +6,8 @@ import html
 import re
 import unicodedata
 
+import regex
+
 # Letters of other scripts that look like Latin ones, and digits or signs that stand for letters.
 LOOKALIKES = {"а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "€": "e", "|": "l"}
@@ -16,13 +18,13 @@ _MARKUP = re.compile(r"'{2,}|<!--|-->|</?(?:b|i|u|s|em|strong|span|small|big|sup
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ _.\-][^\W\d_]){2,}[_.]?(?![^\W_])")
 _SEPARATORS = re.compile(r"[ _.\-]")
-_WORD = re.compile(r"[^\W_](?:[^\W_]|[@$*€]+|!(?=[^\W_]))*|[@$][^\W_]+")
+#: Letters of scripts without blanks between words are words of their own.
+_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿](?:[^\W_぀-ヿ㐀-鿿]|[@$*€]+|!(?=[^\W_]))*|[@$][^\W_]+")
 _RUN = re.compile(r"(.)\1{2,}")
 _LATIN = re.compile(r"[a-z]")
 _CYRILLIC_OR_GREEK = re.compile(r"[Ͱ-ϿЀ-ӿ]")
 _HAS_SIGN = re.compile(r"[0-9@$!€]")
-#: Scripts without blanks between words: their letters are words of their own.
-_UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]")
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 
 
 def plain_word(w: str) -> str:
@@ -37,23 +39,24 @@ def plain_word(w: str) -> str:
     return _RUN.sub(r"\1", w)
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words of a text, of its comments and templates too; links give their label. Null gives none."""
+def raw_words(text: str | None) -> list[str]:
+    """Words of a text, of its comments and templates too, before :func:`plain_word`; links give their label. Null gives none."""
     if not text:
         return []
     if "&" in text:
         text = html.unescape(text)
     text = _LINK.sub(r"\1", _MARKUP.sub("", text))
-    text = unicodedata.normalize("NFKD", text).casefold()
-    if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
-    text = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), text)
-    out = []
-    for w in _WORD.findall(text):
-        if w.isascii() and w.isalpha() and len(w) < 3:
-            out.append(w)
-        elif _UNSPACED.search(w):
-            out += list(w)
-        else:
-            out.append(plain_word(w))
-    return out
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text).casefold())
+    return _WORD.findall(_SPACED.sub(_joined, text))
+
+
+def _joined(m: re.Match) -> str:
+    return _SEPARATORS.sub("", m.group())
+
+
+def tokens(text: str | None) -> list[str]:
+    """Words of a text in plain form."""
+    return [plain_word(w) for w in raw_words(text)]

@@ -19,7 +19,8 @@ _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ _.\-][^\W\d_]){2,}[_.]?(?![^\W_])")
 _SEPARATORS = re.compile(r"[ _.\-]")
 #: Letters of scripts without blanks between words are words of their own.
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿](?:[^\W_぀-ヿ㐀-鿿]|[@$*€]+|!(?=[^\W_]))*|[@$][^\W_]+")
+_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[@$]?[^\W_぀-ヿ㐀-鿿]+(?:[@$*€!]+[^\W_぀-ヿ㐀-鿿]+)*[*$@]*")
+_ASCII_WORD = re.compile(r"[@$]?[a-z0-9]+(?:[@$*!]+[a-z0-9]+)*[*$@]*")
 _RUN = re.compile(r"(.)\1{2,}")
 _LATIN = re.compile(r"[a-z]")
 _CYRILLIC_OR_GREEK = re.compile(r"[Ͱ-ϿЀ-ӿ]")
@@ -47,9 +48,8 @@ def raw_words(text: str | None) -> list[str]:
         text = html.unescape(text)
     text = _LINK.sub(r"\1", _MARKUP.sub("", text))
     if text.isascii():
-        text = text.lower()
-    else:
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text).casefold())
+        return _ASCII_WORD.findall(_SPACED.sub(_joined, text.lower()))
+    text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text).casefold())
     return _WORD.findall(_SPACED.sub(_joined, text))
 
 

@@ -24,7 +24,8 @@ _WORDS = BITS // 64
 def word_and_mask(item: Column) -> Column:
     """The place of an item in a sketch: ``(word, mask)``, 64 bits a word."""
     h = F.xxhash64(item)
-    level = F.least(F.bit_count(h.bitwiseAND(-h) - F.lit(1).cast("long")), F.lit(LEVELS - 1))
+    low = F.shiftrightunsigned(h, 1)  # not negative, so its negation can't overflow
+    level = F.least(F.bit_count(low.bitwiseAND(-low) - F.lit(1).cast("long")), F.lit(LEVELS - 1))
     bit = F.shiftrightunsigned(h, 64 - int(math.log2(BITS))).cast("int")
     return F.struct((level * _WORDS + F.shiftright(bit, 6)).cast("int").alias("word"), F.expr("1L").alias("one"), (bit.bitwiseAND(63)).alias("shift"))
 

@@ -104,7 +104,7 @@ def sender_tasks(txs: DataFrame, per_task: int = 3) -> DataFrame:
 def merge_ratio(txs: DataFrame) -> DataFrame:
     """Transactions, senders' tasks and their ratio over all blocks, in one row."""
     per = distinct_txs(txs).groupBy("height", "sender").agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("n_txs"), F.count("*").alias("n_tasks")).select("n_txs", "n_tasks", F.round(F.col("n_txs") / F.col("n_tasks"), 6).alias("ratio"))
+    return per.agg(F.sum("n").alias("n_txs"), F.count("*").alias("n_tasks")).select("n_txs", "n_tasks", F.round(F.try_divide("n_txs", "n_tasks"), 6).alias("ratio"))
 
 
 def slot_counts(txs: DataFrame) -> DataFrame:

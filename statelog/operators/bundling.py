@@ -119,8 +119,8 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
 
 
 def tlp(bundles: DataFrame) -> DataFrame:
-    """Transactions, bundles and transactions a bundle, in one row."""
-    return bundles.agg(F.coalesce(F.sum("n_txs"), F.lit(0)).cast("long").alias("n_txs"), F.count("*").alias("n_bundles")).select("n_txs", "n_bundles", F.round(F.col("n_txs") / F.col("n_bundles"), 6).alias("tlp"))
+    """Transactions, bundles and transactions a bundle (null without bundles), in one row."""
+    return bundles.agg(F.coalesce(F.sum("n_txs"), F.lit(0)).cast("long").alias("n_txs"), F.count("*").alias("n_bundles")).select("n_txs", "n_bundles", F.round(F.try_divide("n_txs", "n_bundles"), 6).alias("tlp"))
 
 
 class ExactLanes:
@@ -305,7 +305,7 @@ def reorder(sets: DataFrame, configs: list[tuple[int, bool]], give_up: bool = Fa
 def reorder_tlp(bundles: DataFrame) -> DataFrame:
     """Transactions a bundle of each configuration."""
     g = bundles.groupBy("lanes", "bloom").agg(F.sum("n_txs").alias("n_txs"), F.count("*").alias("n_bundles"))
-    return g.withColumn("tlp", F.round(F.col("n_txs") / F.col("n_bundles"), 6))
+    return g.withColumn("tlp", F.round(F.try_divide("n_txs", "n_bundles"), 6))
 
 
 def schedule_block(tasks: list[tuple], lanes: int = BUNDLES) -> tuple[list[tuple], list]:

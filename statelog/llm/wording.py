@@ -16,7 +16,7 @@ _LOOKALIKE = str.maketrans(LOOKALIKES)
 _LEET = str.maketrans(LEET)
 _MARKUP = re.compile(r"'{2,}|<!--|-->|</?(?:b|i|u|s|em|strong|span|small|big|sup|sub|nowiki)\b[^<>]*>")
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ _.\-][^\W\d_]){2,}[_.]?(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ _.\-])[^\W\d_](?:\1[^\W\d_])+[_.]?(?![^\W_])")
 _SEPARATORS = re.compile(r"[ _.\-]")
 #: Letters of scripts without blanks between words are words of their own.
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[@$]?[^\W_぀-ヿ㐀-鿿]+(?:[@$*€!]+[^\W_぀-ヿ㐀-鿿]+)*[*$@]*")

@@ -8,7 +8,7 @@ serial numbers, replaced numbers and file positions are running values over rang
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from statelog.config import COMPACT_DIV, COMPACT_FACTOR, COMPACT_LEAST, SENTRIES
 from statelog.functions.codec import entry_bytes, entry_length, k16
-from statelog.operators.ranged import ranged_lag, ranged_sum
+from statelog.operators.ranged import ranged_lag, ranged_last, ranged_sum
 from statelog.operators.state import sentry_keys
 from statelog.runtime import cut
 
-_TOUCH = "shard_id int, entity binary, version bigint, op_seq bigint, sub int, kind string, key binary, value binary, next_key_hash binary, last_version bigint"
-_NAMES = [c.split()[0] for c in _TOUCH.split(", ")]
-_KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+_LINK = "shard_id int, entity binary, version bigint, op_seq bigint, sub int, kind string, key binary, value binary, next_key_hash binary"
+_NAMES = [c.split()[0] for c in _LINK.split(", ")]
+_KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
 _SENTRY_BYTES = 96
 
 
@@ -32,45 +32,54 @@ def _after(prefix: bytes) -> bytes:
     return b"\xff" * 32 if n == 65536 else n.to_bytes(2, "big") + bytes(30)
 
 
-def _touches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries touched by each operation, for operations sorted by prefix, version and op_seq."""
-    prefix, order, live, rows = None, [], {}, []
-    batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[i]) for i in range(10)], _NAMES)
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries that creations and deletions touch, with their new links, for operations sorted by prefix, version and op_seq."""
+    prefix, order, rows = None, [], []
     for b in batches:
         for p, shard, h, key, value, effect, version, seq in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if p != prefix:
-                first = p + bytes(30)
-                prefix, order, live = p, [first], {first: [first, b"", 0]}  # key, value, version
+                prefix, order = p, [p + bytes(30)]
             at = bisect_left(order, h)
             nxt = at + (effect != "create")
             following = order[nxt] if nxt < len(order) else _after(p)
-            if effect == "write":
-                e = live[h]
-                rows.append((shard, h, version, seq, 0, "write", key, value, following, e[2]))
-                live[h] = [key, value, version]
-                continue
-            before = order[at - 1]
-            e = live[before]
             if effect == "create":
-                rows.append((shard, h, version, seq, 0, "new", key, value, following, -1))
-                rows.append((shard, before, version, seq, 1, "prev", e[0], e[1], h, e[2]))
-                insort(order, h)
-                live[h] = [key, value, version]
+                rows.append((shard, h, version, seq, 0, "new", key, value, following))
+                rows.append((shard, order[at - 1], version, seq, 1, "prev", None, None, h))
+                order.insert(at, h)
             else:
-                rows.append((shard, h, version, seq, 0, "gone", key, None, None, None))
-                rows.append((shard, before, version, seq, 1, "prev", e[0], e[1], following, e[2]))
+                rows.append((shard, h, version, seq, 0, "gone", None, None, None))
+                rows.append((shard, order[at - 1], version, seq, 1, "prev", None, None, following))
                 order.pop(at)
-                del live[h]
-            e[2] = version
         if rows:
-            yield batch()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[i]) for i in range(9)], _NAMES)
             rows = []
 
 
 def touches(classes: DataFrame) -> DataFrame:
-    """Entries touched by classified operations: ``(shard_id, entity, version, op_seq, sub, kind, key, value, next_key_hash, last_version)``."""
+    """Entries touched by classified operations: ``(shard_id, entity, version, op_seq, sub, kind, key, value, next_key_hash, last_version)``.
+
+    Only creations and deletions, which change the list, go through the ordered pass over their prefix. A written entry's link and a
+    relinked entry's key and value are those of its touches before, which are found over range partitions, so a key that is written
+    in a third of all operations costs no long task.
+    """
     acts = classes.where("effect <> 'noop'").select(k16(F.col("key_hash")).alias("p"), "shard_id", "key_hash", "key", F.coalesce("value", F.unhex(F.lit(""))).alias("value"), "effect", "version", F.col("op_seq").cast("long").alias("op_seq"))
-    return acts.repartition("p").sortWithinPartitions("p", "version", "op_seq").mapInArrow(_touches, _TOUCH)
+    linked = acts.where("effect <> 'write'").repartition("p").sortWithinPartitions("p", "version", "op_seq").mapInArrow(_links, _LINK)
+    none = F.lit(None).cast("binary")
+    written = acts.where("effect = 'write'").select("shard_id", F.col("key_hash").alias("entity"), "version", "op_seq", F.lit(0).alias("sub"), F.lit("write").alias("kind"), "key", "value", none.alias("next_key_hash"))
+    t = linked.unionByName(written).withColumn("sets", F.col("kind").isin("new", "write")).withColumn("links", F.col("next_key_hash").isNotNull())
+    order = ["version", "op_seq", "sub"]
+    t = ranged_lag(t, ["shard_id", "entity"], order, ["version"])
+    t = ranged_last(t, ["shard_id", "entity"], order, ["next_key_hash"], "links")
+    t = ranged_last(t, ["shard_id", "entity"], order, ["key", "value"], "sets")
+    relinked = F.col("kind") == "prev"
+    first = F.col("last_key").isNull()  # a sentry that nothing touched before
+    return t.select(
+        "shard_id", "entity", "version", "op_seq", "sub", "kind",
+        F.when(relinked, F.coalesce("last_key", "entity")).otherwise(F.col("key")).alias("key"),
+        F.when(relinked, F.when(first, F.unhex(F.lit(""))).otherwise(F.col("last_value"))).otherwise(F.col("value")).alias("value"),
+        F.coalesce("next_key_hash", F.when(F.col("kind") == "write", F.col("last_next_key_hash"))).alias("next_key_hash"),
+        F.when(F.col("kind") == "new", -1).when(F.col("kind") != "gone", F.coalesce("prev_version", F.lit(0))).cast("long").alias("last_version"),
+    )
 
 
 def entry_log(classes: DataFrame) -> DataFrame:

@@ -216,3 +216,73 @@ def ranged_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, ou
 def ranged_max(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
     """As :func:`ranged_sum`, the greatest ``amount`` (0 to 2 ** 40) of the rows before; -1 where there is none. Nulls don't count."""
     return _running(df, keys, order, amount, out, True)
+
+
+def ranged_last(df: DataFrame, keys: list[str], order: list[str], values: list[str], when: str, prefix: str = "last_") -> DataFrame:
+    """``df`` with ``last_<v>`` of the latest row before whose boolean column ``when`` is true, within ``keys`` in ``order``; null without one.
+
+    Rows are range partitioned and written once. Only the rows of a partition's first key that come before its first true row depend on
+    other partitions: they take what the partitions before, one row each, leave over.
+    """
+    names = df.columns
+    at, of, flag = [names.index(c) for c in keys], [names.index(v) for v in values], names.index(when)
+    marks = df.select(*[F.col(v).alias(f"{prefix}{v}") for v in values], F.lit(True).alias("_open"), F.lit("row").alias("_kind"), F.lit(True).alias("_has"), F.lit(0).alias("_part")).schema
+    schema = type(df.schema)([type(f)(f.name, f.dataType, True) for f in [*df.schema.fields, *marks.fields]])
+    extra = [f.name for f in marks.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        before = carried = types = None
+        first_key = True  # the partition's first key goes on
+
+        def mark(kind: str, row: list, vals: list | None) -> pa.RecordBatch:
+            cols = [pa.array([row[i].as_py() if i in at else None], t) for i, t in enumerate(types)]
+            cols += [pa.array([None if vals is None else vals[k].as_py()], types[i]) for k, i in enumerate(of)]
+            cols += [pa.array([False]), pa.array([kind]), pa.array([vals is not None]), pa.array([part], pa.int32())]
+            return pa.RecordBatch.from_arrays(cols, [*names, *extra])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [one_array(c) for c in b.columns]
+            n = b.num_rows
+            new = np.zeros(n, bool)
+            for i in at:
+                new |= changed(cols[i], None if before is None else before[i])
+            if before is None:
+                types = [c.type for c in cols]
+                yield mark("start", [c[0] for c in cols], None)
+                new[0] = False
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # -1: the key that was open before the batch
+            true = pc.fill_null(cols[flag], False).to_numpy(zero_copy_only=False)
+            latest = np.r_[-1, np.maximum.accumulate(np.where(true, np.arange(n), -1))[:-1]]
+            inside = latest >= np.maximum(begin, 0)
+            onward = ~inside & (begin < 0)
+            source = np.where(inside, latest + 1, 0)
+            missing = ~inside & ~(onward & (carried is not None))
+            take = pa.array(source, mask=missing)
+            lagged = [pa.concat_arrays([pa.array([None if carried is None else carried[k].as_py()], types[i]), cols[i]]).take(take) for k, i in enumerate(of)]
+            open_ = onward & (carried is None) & first_key
+            yield pa.RecordBatch.from_arrays([*cols, *lagged, pa.array(open_), pa.array(["row"] * n), pa.array(~missing), pa.array(np.full(n, part), pa.int32())], [*names, *extra])
+            if new.any():
+                first_key = False
+                carried = None
+            seen = np.flatnonzero(true)
+            if len(seen) and seen[-1] >= max(begin[-1], 0):
+                carried = [cols[i][int(seen[-1])] for i in of]
+            before = [c[-1] for c in cols]
+        if before is not None:
+            yield mark("stop", before, carried)
+
+    rows = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema))
+    own = [F.col(f"{prefix}{v}") for v in values]
+    w = Window.partitionBy(*keys).orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.last(F.when(F.col("_has"), F.struct(*own)), ignorenulls=True).over(w)
+    carry = rows.where("_kind <> 'row'").withColumn("_carry", left).where("_kind = 'start' and _carry is not null").select(F.col("_part").alias("_p"), "_carry")
+    plain = rows.where("_kind = 'row'")
+    done = plain.where("not _open")
+    fixed = plain.where("_open").join(F.broadcast(carry), F.col("_part") == F.col("_p"), "left")  # at most a row a partition
+    fixed = fixed.select(*names, *[F.col("_carry")[f"{prefix}{v}"].alias(f"{prefix}{v}") for v in values])
+    return done.select(*names, *[f"{prefix}{v}" for v in values]).unionByName(fixed)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statelog.operators.activity import activity_by_key
 from statelog.operators.changefeed import apply_changes, live, publish
 from statelog.operators.history import value_history
-from statelog.runtime import shared_dir, table
+from statelog.runtime import scratch, table
 
 
 def p4_by_key(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +21,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    state = publish(apply_changes(table(spark, d, "changes")), f"{shared_dir(spark)}/state-{spark.sparkContext.applicationId}")
+    state = publish(apply_changes(table(spark, d, "changes")), scratch(spark, "state"))
     return live(state).select(F.lower(F.hex("key")).alias("key_hex"), "version", "op_seq")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from statelog.operators.changefeed import live
 from statelog.plans.dependency import _TXS
 from statelog.plans.sqltext import LATEST, OPS, hex_id, nibble
 from statelog.plans.store import _AS_OF, classes_of, hx, ops_of
-from statelog.runtime import cut, shared_dir, table
+from statelog.runtime import cut, scratch, table
 from statelog.sources import blocks as J
 from statelog.streaming.blocks import stream_state as run_stream
 
@@ -146,7 +145,7 @@ def json_blocks(spark: SparkSession, d: str) -> DataFrame:
     t = A.distinct_txs(table(spark, d, "txs"))
     slots = lambda c: F.transform(c, lambda s: F.struct(F.substring_index(s, ":", 1).alias("addr"), F.substring_index(s, ":", -1).alias("index")))
     t = t.select("height", "tx_idx", "txid", F.col("sender").alias("from_addr"), F.col("rdo").alias("rdo_addr_list"), F.col("rnw").alias("rnw_addr_list"), slots("rdo_slots").alias("rdo_slot_list"), slots("rnw_slots").alias("rnw_slot_list"))
-    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    path = scratch(spark, "json")
     J.write_blocks(t, distinct_blocks(table(spark, d, "blocks")).select("height", "coinbase"), path)
     back = J.block_txs(J.read_blocks(spark, path, multi_line=False))
     return back.select("height", "tx_idx", "txid", "from_addr", F.size("rnw_addr_list").alias("n_rnw"))
@@ -157,6 +156,6 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     """The change feed read as a stream of files and upserted batch by batch."""
     source = f"{d}/changes.parquet"
     schema = table(spark, d, "changes").schema
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     state = run_stream(spark, source if os.path.isdir(source) else f"{d}/changes.parque[t]", schema, folder, f"{folder}/checkpoint")
     return live(state).select(F.sha2("key", 256).alias("key_hash"), "version", "op_seq")

@@ -40,6 +40,13 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, deleted when the Python process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, path)
+    return path
+
+
 def cut(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
@@ -47,9 +54,8 @@ def cut(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     later reads prune its columns. It is deleted when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     (df.select(*columns) if columns else df).write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete_quietly, spark, path)
     return spark.read.schema(df.schema if not columns else df.select(*columns).schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from statelog.operators import bundling as B
-from statelog.operators.ranged import key_activity, ranged_lag, ranged_max, ranged_sum
+from statelog.operators.ranged import key_activity, ranged_lag, ranged_last, ranged_max, ranged_sum
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,25 @@ def test_lag_sum_max(spark, rows):
         before.append(v)
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_last_true_row(spark, coalesce):
+    rng = random.Random(8)
+    data = [(rng.choice(["hot"] * 12 + ["a", "b", "c", None]), i, rng.choice([None, "x", "y"]), rng.choice([True, False, False, False, None])) for i in range(1200)]
+    data += [("quiet", i, "z", False) for i in range(1200, 2200)] + [("quiet", 2300, None, True), ("quiet", 2301, "q", False)]
+    df = spark.createDataFrame(data, "key string, at bigint, v string, f boolean").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        got = {(r.key, r.at): (r.last_v, r.last_at) for r in ranged_last(df, ["key"], ["at"], ["v", "at"], "f").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    last, want = {}, {}
+    for k, at, v, f in data:
+        want[k, at] = last.get(k, (None, None))
+        if f:
+            last[k] = (v, at)
+    assert got == want
+
+
 def test_lag_of_nothing(spark):
     df = spark.createDataFrame([], "key string, at bigint, v bigint, prev_other int")
     assert ranged_lag(df, ["key"], ["at"], ["v"]).collect() == []

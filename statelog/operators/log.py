@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from statelog.config import COMPACT_DIV, COMPACT_FACTOR, COMPACT_LEAST, SENTRIES
 from statelog.functions.codec import entry_bytes, entry_length, k16
-from statelog.operators.ranged import ranged_lag, ranged_last, ranged_sum
+from statelog.operators.ranged import ranged_lag, ranged_last, ranged_sums
 from statelog.operators.state import sentry_keys
 from statelog.runtime import cut
 
-_LINK = "shard_id int, entity binary, version bigint, op_seq bigint, sub int, kind string, key binary, value binary, next_key_hash binary"
+_LINK = "shard_id int, entity binary, version bigint, op_seq bigint, sub int, kind string, key binary, value binary, next_key_hash binary, unlinks boolean"
 _NAMES = [c.split()[0] for c in _LINK.split(", ")]
-_KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+_KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
 _SENTRY_BYTES = 96
 
 
@@ -43,20 +43,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nxt = at + (effect != "create")
             following = order[nxt] if nxt < len(order) else _after(p)
             if effect == "create":
-                rows.append((shard, h, version, seq, 0, "new", key, value, following))
-                rows.append((shard, order[at - 1], version, seq, 1, "prev", None, None, h))
+                rows.append((shard, h, version, seq, 0, "new", key, value, following, False))
+                rows.append((shard, order[at - 1], version, seq, 1, "prev", None, None, h, False))
                 order.insert(at, h)
             else:
-                rows.append((shard, h, version, seq, 0, "gone", None, None, None))
-                rows.append((shard, order[at - 1], version, seq, 1, "prev", None, None, following))
+                rows.append((shard, h, version, seq, 0, "gone", None, None, None, True))
+                rows.append((shard, order[at - 1], version, seq, 1, "prev", None, None, following, True))
                 order.pop(at)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[i]) for i in range(9)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[i]) for i in range(10)], _NAMES)
             rows = []
 
 
 def touches(classes: DataFrame) -> DataFrame:
-    """Entries touched by classified operations: ``(shard_id, entity, version, op_seq, sub, kind, key, value, next_key_hash, last_version)``.
+    """Entries touched by classified operations: ``(shard_id, entity, version, op_seq, sub, kind, unlinks, key, value, next_key_hash, last_version)``.
 
     Only creations and deletions, which change the list, go through the ordered pass over their prefix. A written entry's link and a
     relinked entry's key and value are those of its touches before, which are found over range partitions, so a key that is written
@@ -65,7 +65,7 @@ def touches(classes: DataFrame) -> DataFrame:
     acts = classes.where("effect <> 'noop'").select(k16(F.col("key_hash")).alias("p"), "shard_id", "key_hash", "key", F.coalesce("value", F.unhex(F.lit(""))).alias("value"), "effect", "version", F.col("op_seq").cast("long").alias("op_seq"))
     linked = acts.where("effect <> 'write'").repartition("p").sortWithinPartitions("p", "version", "op_seq").mapInArrow(_links, _LINK)
     none = F.lit(None).cast("binary")
-    written = acts.where("effect = 'write'").select("shard_id", F.col("key_hash").alias("entity"), "version", "op_seq", F.lit(0).alias("sub"), F.lit("write").alias("kind"), "key", "value", none.alias("next_key_hash"))
+    written = acts.where("effect = 'write'").select("shard_id", F.col("key_hash").alias("entity"), "version", "op_seq", F.lit(0).alias("sub"), F.lit("write").alias("kind"), "key", "value", none.alias("next_key_hash"), F.lit(False).alias("unlinks"))
     t = linked.unionByName(written).withColumn("sets", F.col("kind").isin("new", "write")).withColumn("links", F.col("next_key_hash").isNotNull())
     order = ["version", "op_seq", "sub"]
     t = ranged_lag(t, ["shard_id", "entity"], order, ["version"])
@@ -74,7 +74,7 @@ def touches(classes: DataFrame) -> DataFrame:
     relinked = F.col("kind") == "prev"
     first = F.col("last_key").isNull()  # a sentry that nothing touched before
     return t.select(
-        "shard_id", "entity", "version", "op_seq", "sub", "kind",
+        "shard_id", "entity", "version", "op_seq", "sub", "kind", "unlinks",
         F.when(relinked, F.coalesce("last_key", "entity")).otherwise(F.col("key")).alias("key"),
         F.when(relinked, F.when(first, F.unhex(F.lit(""))).otherwise(F.col("last_value"))).otherwise(F.col("value")).alias("value"),
         F.coalesce("next_key_hash", F.when(F.col("kind") == "write", F.col("last_next_key_hash"))).alias("next_key_hash"),
@@ -88,22 +88,19 @@ def entry_log(classes: DataFrame) -> DataFrame:
     ``(shard_id, sn, entity, key, value, next_key_hash, version, last_version, dsn, length, file_pos, kind, op_seq, sub)``. Serial numbers go on
     from the sentries'. A null value is stored as empty. No operations give no rows.
     """
-    touched = touches(classes)
-    touched = touched.withColumn("one", (F.col("kind") != "gone").cast("long")).withColumn("length", F.when(F.col("kind") == "gone", 0).otherwise(_length()))
+    replaced = F.when(F.col("kind").isin("new", "gone"), 0).when(F.col("unlinks"), 2).otherwise(1)
+    touched = touches(classes).withColumn("one", (F.col("kind") != "gone").cast("long")).withColumn("length", F.when(F.col("kind") == "gone", 0).otherwise(_length() + replaced * 8).cast("long"))
     order = ["version", "op_seq", "sub"]
-    placed = ranged_sum(touched, ["shard_id"], order, "one", "rank")
-    placed = ranged_sum(placed.withColumn("sn", F.col("rank") + SENTRIES).drop("rank"), ["shard_id"], order, "length", "before")
-    own = ranged_lag(placed, ["shard_id", "entity"], order, ["sn"])
+    placed = ranged_sums(touched, ["shard_id"], order, {"one": "rank", "length": "before"}).withColumn("sn", F.col("rank") + SENTRIES)
+    own = ranged_lag(placed.drop("rank", "one"), ["shard_id", "entity"], order, ["sn"])
     sentry_sn = F.conv(F.hex(F.substring("entity", 1, 2)), 16, 10).cast("long").bitwiseAND(SENTRIES - 1)
     own = cut(own.withColumn("old_sn", F.coalesce("prev_sn", sentry_sn)))
     gone = own.where("kind = 'gone'").select("shard_id", "version", "op_seq", F.col("old_sn").alias("gone_sn"))
     rows = own.where("kind <> 'gone'").join(gone, ["shard_id", "version", "op_seq"], "left")
     none = F.array().cast("array<bigint>")
     dsn = F.when(F.col("kind") == "new", none).when(F.col("gone_sn").isNotNull(), F.array("gone_sn", "old_sn")).otherwise(F.array("old_sn"))
-    rows = rows.withColumn("dsn", dsn).withColumn("_replaced", F.size("dsn"))
-    rows = ranged_sum(rows, ["shard_id"], order, "_replaced", "_dsns")
-    pos = F.lit(SENTRIES * _SENTRY_BYTES) + F.col("before") + F.col("_dsns") * 8
-    return rows.select("shard_id", "sn", "entity", "key", "value", "next_key_hash", "version", "last_version", "dsn", (F.col("length") + F.size("dsn") * 8).cast("long").alias("length"), pos.cast("long").alias("file_pos"), "kind", "op_seq", "sub")
+    pos = (F.lit(SENTRIES * _SENTRY_BYTES) + F.col("before")).cast("long")
+    return rows.select("shard_id", "sn", "entity", "key", "value", "next_key_hash", "version", "last_version", dsn.alias("dsn"), "length", pos.alias("file_pos"), "kind", "op_seq", "sub")
 
 
 def _length():

@@ -159,18 +159,18 @@ def ranged_lag(df: DataFrame, keys: list[str], order: list[str], values: list[st
     return rows.where("not (_first or _last)").unionByName(edge).drop("_first", "_last")
 
 
-def _running(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str, largest: bool) -> DataFrame:
-    """Running sum, or running maximum of numbers in 0 .. 2 ** 40 with -1 for none, over the rows before."""
-    names = df.columns
-    at, amount_at = [names.index(c) for c in keys], names.index(amount)
-    schema = df.withColumn(out, F.lit(0).cast("long")).withColumn("_part", F.lit(0)).schema
+def _running(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, str], largest: bool) -> DataFrame:
+    """Running sums, or running maxima of numbers in 0 .. 2 ** 40 with -1 for none, over the rows before; ``amounts`` names column and result."""
+    names, outs = df.columns, list(amounts.values())
+    at, amount_at = [names.index(c) for c in keys], [names.index(a) for a in amounts]
+    schema = df.select("*", *[F.lit(0).cast("long").alias(o) for o in outs], F.lit(0).alias("_part")).schema
     neutral = -1 if largest else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        before, total = None, neutral
+        before, totals = None, [neutral] * len(outs)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -178,44 +178,55 @@ def _running(df: DataFrame, keys: list[str], order: list[str], amount: str, out:
             new = np.zeros(b.num_rows, bool)
             for i in at:
                 new |= changed(cols[i], None if before is None else before[i])
-            amounts = pc.fill_null(cols[amount_at].cast(pa.int64()), neutral).to_numpy(zero_copy_only=False)
             start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            if largest:
-                lift = (start + 2).astype(np.int64) << 41
-                upto = np.maximum.accumulate(np.r_[(1 << 41) + total, amounts[:-1] + lift[:-1]])
-                values = np.where(upto >= lift, upto - lift, -1)
-                total = int(max(values[-1], amounts[-1]))
-            else:
-                running = np.cumsum(amounts) - amounts
-                values = np.where(start >= 0, running - running[np.maximum(start, 0)], running + total)
-                total = int(values[-1] + amounts[-1])
+            got = []
+            for k, i in enumerate(amount_at):
+                x = pc.fill_null(cols[i].cast(pa.int64()), neutral).to_numpy(zero_copy_only=False)
+                if largest:
+                    lift = (start + 2).astype(np.int64) << 41
+                    upto = np.maximum.accumulate(np.r_[(1 << 41) + totals[k], x[:-1] + lift[:-1]])
+                    values = np.where(upto >= lift, upto - lift, -1)
+                    totals[k] = int(max(values[-1], x[-1]))
+                else:
+                    running = np.cumsum(x) - x
+                    values = np.where(start >= 0, running - running[np.maximum(start, 0)], running + totals[k])
+                    totals[k] = int(values[-1] + x[-1])
+                got.append(pa.array(values, pa.int64()))
             before = [c[-1] for c in cols]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(values, pa.int64()), pa.array(np.full(len(values), part), pa.int32())], [*names, out, "_part"])
+            yield pa.RecordBatch.from_arrays([*cols, *got, pa.array(np.full(len(new), part), pa.int32())], [*names, *outs, "_part"])
 
     rows = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema))
     total = F.max if largest else F.sum
-    totals = rows.groupBy(*keys, "_part").agg(total(F.coalesce(amount, F.lit(neutral))).cast("long").alias("_total"))
+    sums = rows.groupBy(*keys, "_part").agg(*[total(F.coalesce(a, F.lit(neutral))).cast("long").alias(f"_t{i}") for i, a in enumerate(amounts)])
     w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), total("_total").over(w).alias("_offset")).where("_offset is not null")
+    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), *[total(f"_t{i}").over(w).alias(f"_o{i}") for i in range(len(outs))]).where("_o0 is not null")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = rows.join(broadcast_if_small(offsets), [F.col("_part") == F.col("_p"), *same], "left")
-    offset = F.coalesce("_offset", F.lit(neutral))
-    value = F.greatest(F.col(out), offset) if largest else F.col(out) + offset
-    return joined.select(*names, value.cast("long").alias(out))
 
+    def value(i: int, out: str) -> F.Column:
+        offset = F.coalesce(f"_o{i}", F.lit(neutral))
+        return (F.greatest(F.col(out), offset) if largest else F.col(out) + offset).cast("long").alias(out)
 
-def ranged_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
-    """``df`` with ``out``, the sum of ``amount`` over the rows before (exclusive), within ``keys`` in ``order``.
+    return joined.select(*names, *[value(i, o) for i, o in enumerate(outs)])
+
+
+def ranged_sums(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, str]) -> DataFrame:
+    """``df`` with, for each ``amounts`` column and result name, the sum over the rows before (exclusive), within ``keys`` in ``order``.
 
-    The rows are range partitioned and written once with their running sum inside the partition; the sums of the partitions
+    The rows are range partitioned and written once with their running sums inside the partition; the sums of the partitions
     before, one row a partition and key, are then added. ``order`` has no ties within ``keys``; a null amount counts as 0.
     """
-    return _running(df, keys, order, amount, out, False)
+    return _running(df, keys, order, amounts, False)
+
+
+def ranged_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
+    """:func:`ranged_sums` of one column."""
+    return _running(df, keys, order, {amount: out}, False)
 
 
 def ranged_max(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
     """As :func:`ranged_sum`, the greatest ``amount`` (0 to 2 ** 40) of the rows before; -1 where there is none. Nulls don't count."""
-    return _running(df, keys, order, amount, out, True)
+    return _running(df, keys, order, {amount: out}, True)
 
 
 def ranged_last(df: DataFrame, keys: list[str], order: list[str], values: list[str], when: str, prefix: str = "last_") -> DataFrame:

@@ -166,39 +166,42 @@ class ExactLanes:
 class BloomLanes:
     """As :class:`ExactLanes` with parallel Bloom filters: one word a position, one bit a bundle. Hashes are their first eight bytes."""
 
+    #: Hashes whose positions are remembered.
+    CACHE = 500_000
+
     def __init__(self, lanes: int):
         self.reads, self.writes = [0] * BLOOM_BITS, [0] * BLOOM_BITS
         self.own: list[tuple[set, set, list]] = [(set(), set(), [0, 0]) for _ in range(lanes)]
-        self.all = (1 << lanes) - 1
-
-    @staticmethod
-    def _places(h: bytes) -> list[int]:
-        k = int.from_bytes(h[:8], "big")
-        return [k >> _SHIFT * j & (BLOOM_BITS - 1) for j in range(BLOOM_FUNCS)]
-
-    def _member(self, table: list[int], places: list[int]) -> int:
-        mask = self.all
-        for p in places:
-            mask &= table[p]
-        return mask
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def places(self, hashes: Iterable[bytes]) -> list[tuple[int, ...]]:
+        known, out = self.known, []
+        if len(known) > self.CACHE:
+            known.clear()
+        for h in hashes:
+            p = known.get(h)
+            if p is None:
+                k = int.from_bytes(h[:8], "big")
+                p = known[h] = tuple(k >> _SHIFT * j & (BLOOM_BITS - 1) for j in range(BLOOM_FUNCS))
+            out.append(p)
+        return out
 
     def collides(self, r: Iterable, w: Iterable) -> int:
-        mask = 0
-        for h in r:
-            mask |= self._member(self.writes, self._places(h))
-        for h in w:
-            places = self._places(h)
-            mask |= self._member(self.writes, places) | self._member(self.reads, places)
+        mask, reads, writes = 0, self.reads, self.writes
+        for a, b, c, d, e in self.places(r):
+            mask |= writes[a] & writes[b] & writes[c] & writes[d] & writes[e]
+        for a, b, c, d, e in self.places(w):
+            mask |= (writes[a] & writes[b] & writes[c] & writes[d] & writes[e]) | (reads[a] & reads[b] & reads[c] & reads[d] & reads[e])
         return mask
 
     def add(self, i: int, r: Iterable, w: Iterable) -> None:
         bit, own = 1 << i, self.own[i]
         for k, (table, hashes) in enumerate(((self.reads, r), (self.writes, w))):
-            for h in hashes:
+            for places in self.places(hashes):
                 own[2][k] += 1
-                for p in self._places(h):
+                own[k].update(places)
+                for p in places:
                     table[p] |= bit
-                    own[k].add(p)
 
     def clear(self, i: int) -> None:
         keep = ~(1 << i)

@@ -15,22 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelog.llm.baskets import items_of
-from statelog.runtime import cut
+from statelog.runtime import broadcast_if_small, cut
 
-#: An item that holds a share s of the counts in a field is missing from the candidates with a probability of at most (1 / (WIDTH s)) ** ROWS.
+#: An item that holds a share s of the counts in a field is no candidate with a probability of at most (1 / (WIDTH s)) ** ROWS.
 ROWS, WIDTH = 4, 4096
 _CELLS = "field string, row int, cell int, total bigint, surplus bigint, candidate string, h bigint"
 _NAMES = [c.split()[0] for c in _CELLS.split(", ")]
 _KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
 
-def _salt(row: int) -> int:
-    return 0x9E3779B97F4A7C15 * (2 * row + 1) & 0xFFFFFFFFFFFFFFFF | 1
-
-
 def _cells_np(h: np.ndarray, row: int, width: int) -> np.ndarray:
-    mixed = (h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(29))) * np.uint64(_salt(row))
-    return ((mixed >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
+    """Cells of hashes in a row. Rows mix the bits anew, so items that share a cell in one row don't tend to in another."""
+    z = h.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (row + 1) & 0xFFFFFFFFFFFFFFFF)
+    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(odd)
+    return ((z ^ (z >> np.uint64(31))) % np.uint64(width)).astype(np.int64)
 
 
 class _Sketch:
@@ -124,8 +123,8 @@ def merge_sketches(cells: DataFrame) -> DataFrame:
     return cells.select(*_NAMES).repartition("field", "row", "cell").mapInArrow(_merge, _CELLS)
 
 
-def frequent_items(cells: DataFrame, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """``(field, item, low, high, estimate)`` of each candidate of a merged sketch; the true count lies in [low, high].
+def bounds(items: DataFrame, cells: DataFrame, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """``(field, item, low, high, estimate)`` of distinct ``items(field, item, h)``: their true counts lie in [low, high].
 
     A cell with total V whose vote has the surplus C gives at most (V + C) / 2 to its candidate and (V - C) / 2 to any other item.
     """
@@ -136,8 +135,7 @@ def frequent_items(cells: DataFrame, rows: int = ROWS, width: int = WIDTH) -> Da
             for r in range(rows):
                 yield pa.RecordBatch.from_arrays([b.column("field"), b.column("item"), pa.array(np.full(len(h), r), pa.int32()), pa.array(_cells_np(h, r, width).astype(np.int32))], ["field", "item", "row", "cell"])
 
-    cands = cells.where("surplus > 0").select("field", F.col("candidate").alias("item"), "h").distinct()
-    at = cands.mapInArrow(places, "field string, item string, row int, cell int")
+    at = items.select("field", "item", "h").mapInArrow(places, "field string, item string, row int, cell int")
     j = at.join(cells, ["field", "row", "cell"])
     own = F.col("candidate") == F.col("item")
     high = F.when(own, F.expr("(total + surplus) div 2")).otherwise(F.expr("(total - surplus) div 2"))
@@ -146,15 +144,55 @@ def frequent_items(cells: DataFrame, rows: int = ROWS, width: int = WIDTH) -> Da
     return out.withColumn("estimate", F.expr("(low + high) div 2"))
 
 
-def items_with_share(baskets: DataFrame, fields: list[str], share: float) -> DataFrame:
+def _candidates(cells: DataFrame) -> DataFrame:
+    return cells.where("surplus > 0").select("field", F.col("candidate").alias("item"), "h").distinct()
+
+
+def frequent_items(cells: DataFrame, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """:func:`bounds` of each candidate of a merged sketch."""
+    return bounds(_candidates(cells), cells, rows, width)
+
+
+def unseen_items(items: DataFrame, cells: DataFrame, least: float, rows: int = ROWS, width: int = WIDTH) -> DataFrame | None:
+    """``(field, item, h)`` of items that may have a count of ``least`` though they are no candidates; None if there can't be any.
+
+    Such an item needs, in every row, a cell with room for it beside the candidate: (V - C) / 2 >= ``least``. A row has fewer of those
+    cells than items could reach ``least``, and hardly any item lies in one in every row; those that do are looked up in the data.
+    """
+    roomy: dict[str, list[set[int]]] = {}
+    for r in cells.where(F.expr("(total - surplus) / 2") >= least).select("field", "row", "cell").collect():
+        roomy.setdefault(r["field"], [set() for _ in range(rows)])[r["row"]].add(r["cell"])
+    lists = {f: [np.array(sorted(c)) for c in by_row] for f, by_row in roomy.items() if all(by_row)}
+    if not lists:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for field, part in zip(*_by_field(b), strict=True):
+                h = part.column("h").to_numpy(zero_copy_only=False).astype(np.int64)
+                keep = np.ones(len(h), bool)
+                for r, listed in enumerate(lists[field]):
+                    keep &= np.isin(_cells_np(h, r, width), listed)
+                yield part.filter(pa.array(keep))
+
+    hashed = items.where(F.col("field").isin(*lists)).where("item is not null").select("field", "item", F.xxhash64("item").alias("h"))
+    return hashed.mapInArrow(run, "field string, item string, h bigint").distinct()
+
+
+def items_with_share(baskets: DataFrame, fields: list[str], share: float, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """``(field, item, low, high, estimate, n)`` of items that at least ``share`` of the baskets hold, n counted exactly.
 
-    Candidates come from the sketch; those whose upper bound reaches the share are counted in a second pass over the baskets.
+    Candidates come from the sketch, with those few items that could hide behind them; what has an upper bound of the share is
+    counted in a second pass over the baskets. None is missed.
     """
     baskets = cut(baskets.select(*fields))
     n = baskets.count()
     items = items_of(baskets, [], fields)
-    cells = cut(sketch(items))
-    likely = frequent_items(cells).where(F.col("high") >= share * n)
-    exact = items.join(F.broadcast(likely.select("field", "item")), ["field", "item"], "left_semi").groupBy("field", "item").agg(F.count("*").alias("n"))  # at most ROWS * WIDTH a field
+    cells = cut(sketch(items, rows, width))
+    named = _candidates(cells)
+    hidden = unseen_items(items, cells, share * n, rows, width)
+    if hidden is not None:
+        named = named.unionByName(hidden).distinct()
+    likely = cut(bounds(named, cells, rows, width).where(F.col("high") >= share * n))
+    exact = items.join(broadcast_if_small(likely.select("field", "item")), ["field", "item"], "left_semi").groupBy("field", "item").agg(F.count("*").alias("n"))
     return likely.join(exact, ["field", "item"]).where(F.col("n") >= share * n)

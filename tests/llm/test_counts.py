@@ -80,4 +80,17 @@ def test_frequent_bounds_and_merge(spark):
     assert all(r.low <= count[r.item] <= r.high for r in frequent.frequent_items(merged, 3, 32).collect() if r.field == "rnw_addr_list")
     hits = {r.item: r.n for r in frequent.items_with_share(b, ["rnw_addr_list"], 0.02).collect()}
     assert hits == {k: n for k, n in count.items() if n >= 0.02 * len(plain)}
+    for width in (2, 5, 20):  # far too small a sketch: items hide behind candidates, and are found
+        hits = {r.item: r.n for r in frequent.items_with_share(b, ["rnw_addr_list"], 0.02, 2, width).collect()}
+        assert hits == {k: n for k, n in count.items() if n >= 0.02 * len(plain)}
     assert frequent.sketch(items.where("false")).collect() == []
+
+
+def test_rows_of_the_sketch_are_independent():
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 40_000)
+    cells = np.stack([frequent._cells_np(h, r, 512) for r in range(4)])
+    first = Counter(map(tuple, cells[:2].T))
+    assert max(first.values()) <= 6  # of 40,000 items on 262,144 pairs of cells
+    assert min(len(set(c)) for c in cells.tolist()) == 512

@@ -29,7 +29,8 @@ def _hashes(addresses: F.Column, slots: F.Column) -> F.Column:
 def access_sets(txs: DataFrame, blocks: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """``(height, tx_idx, txid, sender, r, w)``: hashes a transaction reads and writes.
 
-    Writes of the block's coinbase and of ``ignore`` addresses are left out of the written addresses; their slots and reads stay.
+    Writes of the block's coinbase and of ``ignore`` addresses (such as ``config.WETH``) are left out of the written addresses; their slots
+    and reads stay.
     """
     t = distinct_txs(txs).join(distinct_blocks(blocks).select("height", "coinbase"), "height", "left")
     skip = F.array(*[F.lit(a) for a in ignore]).cast("array<string>")

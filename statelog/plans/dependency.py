@@ -124,7 +124,6 @@ def access_violations_swapped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _serial_sql(ignore_hottest: bool, single: bool) -> str:
-    clash = "true" if single else "(a.writes or b.writes)"
     return f"""with recursive {_acc(ignore_hottest)},
 num as (select *, (row_number() over (order by height, tx_idx, tx) - 1)::bigint as pos from tx),
 t as (select hash, n.pos, max(mode) = 'w' as writes from acc join num n using (height, tx_idx, tx) group by all),

@@ -19,7 +19,7 @@ from statelog.operators import state as S
 from statelog.operators.activity import distinct_blocks
 from statelog.operators.changefeed import live
 from statelog.plans.dependency import _TXS
-from statelog.plans.sqltext import LATEST, OPS, hex_id, nibble
+from statelog.plans.sqltext import LATEST, OPS, nibble
 from statelog.plans.store import _AS_OF, classes_of, hx, ops_of
 from statelog.runtime import cut, scratch, table
 from statelog.sources import blocks as J

@@ -82,12 +82,13 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str],
 
 
 def value_points(log: DataFrame) -> DataFrame:
-    """``(key, version, value, kind)``: what each version says of a key; kind is ``set`` or ``end``.
+    """``(key, version, value, kind, fresh)``: what each version says of a key; kind is ``set`` or ``end``.
 
     Copies of an entry (shard_id, sn) are one entry, its value from the copies that have one. ``end`` stands at versions where an
-    entry of another key names the entry in its dsn, or where an entry of the key is missing. Where both fall on one version
-    the value set there stands. Entries with equal key and version are one point with the greatest value. Rows without key,
-    version, shard or sn are ignored, and entries none of whose copies has a value set a null value.
+    entry of another key names the entry in its dsn, or where an entry of the key is missing. Where the key is set and deleted in
+    one version, serial numbers tell which came last; a key set after its deletion is ``fresh`` and starts a new period. Entries with
+    equal key and version are one point with the greatest value. Rows without key, version, shard or sn are ignored, and entries none of
+    whose copies has a value set a null value.
     """
     e = (
         log.select("shard_id", "sn", "key", "value", "version", "last_version", "dsn")
@@ -95,40 +96,42 @@ def value_points(log: DataFrame) -> DataFrame:
         .groupBy("shard_id", "sn")
         .agg(F.max("key").alias("key"), F.max("value").alias("value"), F.max("version").alias("version"), F.max("last_version").alias("last_version"), F.max("dsn").alias("dsn"))
     )
-    named = e.select("shard_id", F.explode("dsn").alias("sn"), F.col("key").alias("by_key"), F.col("version").alias("by_version"))
-    ended = named.join(e.select("shard_id", "sn", "key"), ["shard_id", "sn"]).where("by_key <> key").select("key", F.col("by_version").alias("version"), F.lit(None).cast("binary").alias("value"), F.lit(1).alias("rank"))
-    is_set = e.select("key", "version", "value", F.lit(2).alias("rank"))
-    seen = e.where("last_version >= 0").select("key", F.col("last_version").alias("version"), F.lit(None).cast("binary").alias("value"), F.lit(1).alias("rank"))
-    points = is_set.unionByName(ended).unionByName(seen).groupBy("key", "version").agg(F.max("value").alias("value"), F.max("rank").alias("rank"))
-    return points.select("key", "version", "value", F.when(F.col("rank") == 2, "set").otherwise("end").alias("kind"))
+    no_sn, no_value = F.lit(None).cast("bigint"), F.lit(None).cast("binary")
+    named = e.select("shard_id", F.explode("dsn").alias("sn"), F.col("key").alias("by_key"), F.col("version").alias("by_version"), F.col("sn").alias("by_sn"))
+    named = named.join(e.select("shard_id", "sn", F.col("key").alias("of_key")), ["shard_id", "sn"]).where("by_key <> of_key")
+    ended = named.select(F.col("of_key").alias("key"), F.col("by_version").alias("version"), no_value.alias("value"), no_sn.alias("set_sn"), F.col("by_sn").alias("end_sn"))
+    is_set = e.select("key", "version", "value", F.col("sn").alias("set_sn"), no_sn.alias("end_sn"))
+    seen = e.where("last_version >= 0").select("key", F.col("last_version").alias("version"), no_value.alias("value"), no_sn.alias("set_sn"), no_sn.alias("end_sn"))
+    points = is_set.unionByName(ended).unionByName(seen).groupBy("key", "version").agg(F.max("value").alias("value"), F.max("set_sn").alias("set_sn"), F.max("end_sn").alias("end_sn"))
+    sets = F.col("set_sn").isNotNull() & (F.col("end_sn").isNull() | (F.col("end_sn") < F.col("set_sn")))
+    return points.select("key", "version", F.when(sets, F.col("value")).alias("value"), F.when(sets, "set").otherwise("end").alias("kind"), (sets & F.col("end_sn").isNotNull()).alias("fresh"))
 
 
-_RUN = "key binary, version bigint, value binary, kind string, until bigint, opens boolean, closes boolean"
+_RUN = "key binary, version bigint, value binary, kind string, fresh boolean, until bigint, opens boolean, closes boolean"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal (kind, value) of each key in a partition sorted by key and version.
+    """Runs of equal (kind, value) of each key in a partition sorted by key and version; a fresh point starts one anyway.
 
     ``until`` is the version of the key's next run in the partition; ``opens`` and ``closes`` mark a key's first and last run.
     """
     names = [f.split()[0] for f in _RUN.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
-    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(7)], names)
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_()]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names)
     last = open_run = None
     for b in batches:
         if not b.num_rows:
             continue
-        k, v, x, kind = (one_array(b.column(i)) for i in range(4))
+        k, v, x, kind, fresh = (one_array(b.column(i)) for i in range(5))
         new_key = changed(k, last and last[0])
-        new_run = new_key | changed(x, last and last[1]) | changed(kind, last and last[2])
+        new_run = new_key | changed(x, last and last[1]) | changed(kind, last and last[2]) | fresh.to_numpy(zero_copy_only=False).astype(bool)
         at = new_run.nonzero()[0]
-        take = pa.array(at)
         out = []
-        for key, version, value, what, first in zip(k.take(take).to_pylist(), v.take(take).to_pylist(), x.take(take).to_pylist(), kind.take(take).to_pylist(), new_key[at].tolist(), strict=True):
+        for *run, first in zip(*(c.take(pa.array(at)).to_pylist() for c in (k, v, x, kind, fresh)), new_key[at].tolist(), strict=True):
             if open_run is not None:
-                open_run[4], open_run[6] = (None, True) if first else (version, False)
+                open_run[5], open_run[7] = (None, True) if first else (run[1], False)
                 out.append(open_run)
-            open_run = [key, version, value, what, None, first, True]
+            open_run = [*run, None, first, True]
         last = (k[-1], x[-1], kind[-1])
         if out:
             yield batch(out)
@@ -137,17 +140,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def periods(points: DataFrame) -> DataFrame:
-    """``(key, value, valid_from, valid_to)`` of points ``(key, version, value, kind)``, one a key and version; -1 while it still holds.
+    """``(key, value, valid_from, valid_to)`` of points ``(key, version, value, kind, fresh)``, one a key and version; -1 while it still holds.
 
     Points are range partitioned on (key, version), so a key with most of the points is spread over partitions; only a key's first
     and last run in a partition go through the stitching step.
     """
-    runs = points.select("key", "version", "value", "kind").repartitionByRange("key", "version").sortWithinPartitions("key", "version").mapInArrow(_runs, _RUN)
+    runs = points.select("key", "version", "value", "kind", "fresh").repartitionByRange("key", "version").sortWithinPartitions("key", "version").mapInArrow(_runs, _RUN)
     inner = runs.where("not opens and not closes and kind = 'set'").select("key", "value", F.col("version").alias("valid_from"), F.col("until").alias("valid_to"))
     w = Window.partitionBy("key").orderBy("version")
-    differs = ~(F.lag("value").over(w).eqNullSafe(F.col("value")) & F.lag("kind").over(w).eqNullSafe(F.col("kind")) & ~F.col("_gap"))
-    edge = runs.where("opens or closes").withColumn("_gap", F.coalesce(F.lag("until").over(w) != F.col("version"), F.lit(False)) & ~F.col("opens"))
-    edge = edge.withColumn("run", F.sum(F.when(differs, 1).otherwise(0)).over(w))
+    # a run that isn't its key's first in a partition has begun there; a first one may go on from the partition before
+    goes_on = F.col("opens") & ~F.col("fresh") & F.lag("value").over(w).eqNullSafe(F.col("value")) & F.lag("kind").over(w).eqNullSafe(F.col("kind"))
+    edge = runs.where("opens or closes").withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(w))
     whole = edge.groupBy("key", "run").agg(F.min("version").alias("valid_from"), F.max("until").alias("until"), F.max("value").alias("value"), F.max("kind").alias("kind"))
     ends = F.coalesce(F.col("until"), F.lead("valid_from").over(Window.partitionBy("key").orderBy("valid_from")), F.lit(-1))
     whole = whole.withColumn("valid_to", ends.cast("long")).where("kind = 'set'").select("key", "value", "valid_from", "valid_to")
@@ -165,7 +168,7 @@ def value_history(log: DataFrame, snapshots: int = 8, fanout: int = FANOUT, dept
     step = max(1, ((hi or 0) - (lo or 0)) // snapshots + 1)
     points = points.withColumn("snapshot", F.expr(f"greatest(0, (version - {lo or 0}) div {step})"))
     points = cut(points)
-    own = cut(leaf_digests(points, "key", "snapshot", ["version", "value", "kind"], fanout, depth))
+    own = cut(leaf_digests(points, "key", "snapshot", ["version", "value", "kind", "fresh"], fanout, depth))
     grid = own.select("leaf").distinct().crossJoin(own.sparkSession.range(snapshots).withColumnRenamed("id", "snapshot"))  # at most leaves x snapshots
     so_far = Window.partitionBy("leaf").orderBy("snapshot")
     filled = grid.join(own, ["leaf", "snapshot"], "left").na.fill(0, ["n", "h_sum", "h_xor"])

@@ -48,16 +48,17 @@ from r group by field, key""",
 with e as (
   select shard_id, sn, max(key) as key, max(value) as value, max(version) as version, max(last_version) as last_version, max(dsn) as dsn
   from entry_log group by shard_id, sn),
-d as (select shard_id, unnest(dsn) as sn, key as by_key, version as by_version from e),
+d as (select shard_id, unnest(dsn) as sn, key as by_key, version as by_version, sn as by_sn from e),
 points as (
-  select key, version, value, 2 as rank from e
-  union all select e.key, d.by_version, null, 1 from d join e using (shard_id, sn) where d.by_key <> e.key
-  union all select key, last_version, null, 1 from e where last_version >= 0),
-p as (select key, version, max(value) as value, max(rank) as rank from points group by key, version),
-m as (select *, lag(rank) over w as rank0, lag(value) over w as value0 from p window w as (partition by key order by version)),
-c as (select key, version, rank from m where rank0 is null or rank0 <> rank or value0 is distinct from value),
+  select key, version, value, sn as set_sn, null::bigint as end_sn from e
+  union all select e.key, d.by_version, null, null, d.by_sn from d join e using (shard_id, sn) where d.by_key <> e.key
+  union all select key, last_version, null, null, null from e where last_version >= 0),
+p0 as (select key, version, max(value) as value, max(set_sn) as set_sn, max(end_sn) as end_sn from points group by key, version),
+p as (select key, version, set_sn is not null and (end_sn is null or end_sn < set_sn) as sets, end_sn is not null as ends, value from p0),
+m as (select *, lag(sets) over w as sets0, lag(case when sets then value end) over w as value0 from p window w as (partition by key order by version)),
+c as (select key, version, sets from m where sets0 is null or sets0 <> sets or ends or (case when sets then value end) is distinct from value0),
 n as (select *, lead(version) over (partition by key order by version) as next from c)
-select lower(hex(key)) as key_hex, version as valid_from, coalesce(next, -1) as valid_to from n where rank = 2""",
+select lower(hex(key)) as key_hex, version as valid_from, coalesce(next, -1) as valid_to from n where sets""",
     "p7_found": """
 with c as (select key, coalesce(version, (height::bigint << 24) + task_idx) as version, op_seq::bigint as op_seq, op_type from changes where op_type in (2, 3, 4)),
 l as (select key, version, op_seq, op_type, row_number() over (partition by key order by version desc, op_seq desc) as r from c)

@@ -45,10 +45,12 @@ def test_rules(spark):
         (1, 7, c, b"x", 1, -1, [], 6),
         (1, 9, c, b"x", 9, 6, [8], 7),  # the entry of version 6 is missing
         (1, 9, c, b"x", 9, 6, [8], 7),
+        (2, 20, a, b"t", 60, -1, [], 8), (2, 21, b, b"9", 70, 5, [20], 9), (2, 22, a, b"t", 70, -1, [], 9),  # deleted, then set again in one version
+        (2, 30, c, b"u", 80, -1, [], 8), (2, 31, b, b"9", 80, 70, [30], 9),  # set, then deleted in one version
         (None, 9, c, b"y", 9, 6, [8], 7), (0, 11, None, b"y", 9, 6, None, 7), (0, 12, c, b"y", None, 6, None, 7),
     ]
     df = spark.createDataFrame(log, SCHEMA).withColumn("kind", F.lit("extra"))
-    want = sorted([(a, b"1", 10, 30), (a, b"2", 30, 40), (a, b"2", 50, -1), (b, b"9", 5, -1), (c, b"x", 1, 6), (c, b"x", 9, -1)])
+    want = sorted([(a, b"1", 10, 30), (a, b"2", 30, 40), (a, b"2", 50, 60), (a, b"t", 60, 70), (a, b"t", 70, -1), (b, b"9", 5, -1), (c, b"x", 1, 6), (c, b"x", 9, 80)])
     assert rows_of(H.value_history(df)) == want
     assert rows_of(H.value_history(df, snapshots=1, fanout=2, depth=1)) == want
     assert rows_of(H.value_history(df.where("false"))) == []
@@ -62,7 +64,7 @@ def test_periods_of_a_hot_key(spark):
         at[k] = at.get(k, 0) + rng.randrange(1, 4)
         kind = rng.choice(["set", "set", "set", "end"])
         points.append((k, at[k], rng.choice([b"1", b"2", None]) if kind == "set" else None, kind))
-    df = spark.createDataFrame(points, "key binary, version bigint, value binary, kind string")
+    df = spark.createDataFrame([(*p, False) for p in points], "key binary, version bigint, value binary, kind string, fresh boolean")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = rows_of_repr(H.periods(df.repartition(8)))

@@ -15,7 +15,6 @@ COMPACT_FACTOR, COMPACT_DIV, COMPACT_LEAST = 256, 128, 200_000
 PRUNE_EVERY, PRUNE_TWIGS, KEPT_HEIGHTS = 32, 2, 10
 BLOOM_FUNCS, BLOOM_BITS, SET_MAX = 5, 2048, 256
 BUNDLE_MAX, BUNDLE_MIN, BUNDLES, EARLY_WINDOW = 64, 8, 64, 128
-#: The wrapped-ether contract, which most transactions write.
+# The wrapped-ether contract, which most transactions write, and the hash of empty bytecode (keccak-256 of nothing).
 WETH = "0xc02aaa39b223fe8d0a0e5c4f27ead9083c756cc2"
-#: Hash of empty bytecode (keccak-256 of nothing).
 EMPTY_CODE_HASH = "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,8 +152,6 @@ def json_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {LATEST} select kh as key_hash, version, op_seq::bigint as op_seq from state")
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
     """The change feed read as a stream of files and upserted batch by batch."""
-    source = f"{d}/changes.parquet"
-    schema = table(spark, d, "changes").schema
     folder = scratch(spark, "stream")
-    state = run_stream(spark, source if os.path.isdir(source) else f"{d}/changes.parque[t]", schema, folder, f"{folder}/checkpoint")
+    state = run_stream(spark, f"{d}/changes.parque[t]", table(spark, d, "changes").schema, folder, f"{folder}/checkpoint")  # a pattern may name a file
     return live(state).select(F.sha2("key", 256).alias("key_hash"), "version", "op_seq")

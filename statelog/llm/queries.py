@@ -167,6 +167,17 @@ s as (select field, tx, item, count(*) over (partition by field, tx) as size fro
 big as (select * from s where size >= 6),
 c as (select a.field, a.tx as txid_a, b.tx as txid_b, a.size + b.size as sizes, count(*) as common from big a join big b on a.field = b.field and a.item = b.item and a.tx < b.tx group by all)
 select field, txid_a, txid_b from c where common * 10 >= 6 * (sizes - common)""",
+    "p1_classes": f"""with {_ITEMS},
+r as (
+  select field, tx, item from item where field in ('rdo_addr_list', 'rnw_addr_list')
+  union select 'rnw_set', {_hex("txid")}, hex(m) from (select txid, unnest(rnw_set) as m from access_sets) where m is not null),
+g as (select field, tx, list_sort(list(item)) as s from r group by field, tx having count(*) >= 6),
+cls as (select field, tx, s, sha256(to_json(s)::varchar) as class_id from g),
+u as (select field, class_id, unnest(s) as item, len(s) as size from (select distinct field, class_id, s from cls)),
+j as (select a.field, a.class_id, b.class_id as other, a.size + b.size as sizes, count(*) as common from u a join u b on a.field = b.field and a.item = b.item and a.class_id <> b.class_id group by all),
+l as (select field, class_id, count(*) as links from j where common * 10 >= 6 * (sizes - common) group by all)
+select cls.field, cls.tx as txid, cls.class_id, count(*) over (partition by cls.field, cls.class_id) as copies, coalesce(l.links, 0) as links
+from cls left join l on l.field = cls.field and l.class_id = cls.class_id""",
     "p2_bound_check": f"""with b as (select height, max({_hex("coinbase")}) as coinbase, min(block_time)::date as day from blocks group by height),
 i as (
   select day, coinbase, 'from_addr' as measure, {_hex("from_addr")} as item from txs join b using (height)

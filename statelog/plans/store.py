@@ -16,9 +16,11 @@ from statelog.runtime import cut, table
 
 QUERIES, SQL = {}, {}
 
-#: A version in the middle of the blocks, and the blocks around it: parameters of the as-of queries.
+#: Height of the as-of queries: the middle of the smallest tables, and the tenth block of larger ones. The ``_mid`` queries ask the
+#: same as of the middle height of the feed at hand, so their state grows with it.
 AS_OF_HEIGHT = 7_000_010
 _AS_OF = AS_OF_HEIGHT << 24
+_MIDDLE = "(select (min(height) + max(height) + 1) // 2 from changes)"
 
 
 def query(sql: str | None = None):
@@ -33,6 +35,31 @@ def query(sql: str | None = None):
     return add
 
 
+def middle_height(spark: SparkSession, d: str) -> int:
+    """Middle of the heights of the change feed; 0 for an empty one."""
+    low, high = table(spark, d, "changes").agg(F.min("height"), F.max("height")).first()
+    return 0 if low is None else (low + high + 1) // 2
+
+
+def _at_middle(sql: str) -> str:
+    sql = sql.replace(str(_AS_OF), f"({_MIDDLE} << 24)")
+    for k in range(3):
+        sql = sql.replace(str(AS_OF_HEIGHT + k), f"({_MIDDLE} + {k})")
+    return sql
+
+
+def asof_query(sql: str, queries: dict = QUERIES, sqls: dict = SQL):
+    """Register a query ``(spark, d, height)`` by its function's name at its default height, and with ``_mid`` at the middle height."""
+
+    def add(f):
+        name = f.__name__
+        queries[name], queries[f"{name}_mid"] = f, lambda spark, d: f(spark, d, middle_height(spark, d))
+        sqls[name], sqls[f"{name}_mid"] = sql, _at_middle(sql)
+        return f
+
+    return add
+
+
 def hx(c: str) -> F.Column:
     return F.lower(F.hex(c))
 
@@ -66,6 +93,11 @@ def change_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.change_counts(classes_of(spark, d))
 
 
+def _then(spark: SparkSession, d: str, height: int) -> DataFrame:
+    """State before a height."""
+    return S.as_of(ops_of(spark, d), height << 24)
+
+
 def _state_columns(s: DataFrame) -> DataFrame:
     return s.select("shard_id", hx("key_hash").alias("key_hash"), hx("key").alias("key"), hx("value").alias("value"), "version", "op_seq")
 
@@ -81,9 +113,9 @@ def state_latest(spark: SparkSession, d: str) -> DataFrame:
 _THEN = T.LATEST.replace("where op_type in (2, 3, 4)", f"where op_type in (2, 3, 4) and version < {_AS_OF}")
 
 
-@query(f"with {_THEN} {_STATE}")
-def state_asof(spark: SparkSession, d: str) -> DataFrame:
-    return _state_columns(S.as_of(ops_of(spark, d), _AS_OF))
+@asof_query(f"with {_THEN} {_STATE}")
+def state_asof(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+    return _state_columns(_then(spark, d, height))
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
@@ -91,56 +123,56 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
     return ops_of(spark, d).select("key_hash", "key").distinct()
 
 
-@query(f"""with {_THEN}, p as (select distinct kh, key from ops)
+@asof_query(f"""with {_THEN}, p as (select distinct kh, key from ops)
 select p.kh as key_hash, s.kh is not null as found, coalesce(octet_length(s.value), 0)::integer as size, lower(hex(s.value)) as value from p left join state s on s.kh = p.kh""")
-def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    found = S.point_lookup(_probes(spark, d), S.as_of(ops_of(spark, d), _AS_OF))
+def point_lookup(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+    found = S.point_lookup(_probes(spark, d), _then(spark, d, height))
     return found.select(hx("key_hash").alias("key_hash"), "found", "size", hx("value").alias("value"))
 
 
-@query(f"with {_THEN} select distinct ops.kh as key_hash from ops semi join state on state.kh = ops.kh")
-def key_exists(spark: SparkSession, d: str) -> DataFrame:
-    return S.existing(_probes(spark, d), S.as_of(ops_of(spark, d), _AS_OF)).select(hx("key_hash").alias("key_hash"))
+@asof_query(f"with {_THEN} select distinct ops.kh as key_hash from ops semi join state on state.kh = ops.kh")
+def key_exists(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+    return S.existing(_probes(spark, d), _then(spark, d, height)).select(hx("key_hash").alias("key_hash"))
 
 
-@query(f"with {_THEN} select distinct ops.kh as key_hash from ops anti join state on state.kh = ops.kh")
-def key_missing(spark: SparkSession, d: str) -> DataFrame:
-    return S.missing(_probes(spark, d), S.as_of(ops_of(spark, d), _AS_OF)).select(hx("key_hash").alias("key_hash"))
+@asof_query(f"with {_THEN} select distinct ops.kh as key_hash from ops anti join state on state.kh = ops.kh")
+def key_missing(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+    return S.missing(_probes(spark, d), _then(spark, d, height)).select(hx("key_hash").alias("key_hash"))
 
 
-def _chain(spark: SparkSession, d: str) -> DataFrame:
-    return S.with_successor(S.as_of(ops_of(spark, d), _AS_OF), S.sentry_keys(spark))
+def _chain(spark: SparkSession, d: str, height: int) -> DataFrame:
+    return S.with_successor(_then(spark, d, height), S.sentry_keys(spark))
 
 
 _CHAIN = f"{_THEN},{T.SENTRIES}, keys as (select kh from state union all select kh from sentry), chain as (select kh, coalesce(lead(kh) over (order by kh), repeat('f', 64)) as next_kh from keys)"
 
 
-@query(f"with {_CHAIN} select kh as key_hash, next_kh as next_key_hash from chain")
-def successor_next_hash(spark: SparkSession, d: str) -> DataFrame:
-    return _chain(spark, d).select(hx("key_hash").alias("key_hash"), hx("next_key_hash").alias("next_key_hash"))
+@asof_query(f"with {_CHAIN} select kh as key_hash, next_kh as next_key_hash from chain")
+def successor_next_hash(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+    return _chain(spark, d, height).select(hx("key_hash").alias("key_hash"), hx("next_key_hash").alias("next_key_hash"))
 
 
-@query(f"""with {_CHAIN}, p as (select distinct kh from ops)
+@asof_query(f"""with {_CHAIN}, p as (select distinct kh from ops)
 select p.kh as key_hash, c.kh as prev_key_hash, exists (select 1 from state s where s.kh = p.kh) as exists from p asof join chain c on p.kh > c.kh""")
-def predecessor(spark: SparkSession, d: str) -> DataFrame:
-    p = S.predecessors(_probes(spark, d).select("key_hash"), _chain(spark, d))
+def predecessor(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+    p = S.predecessors(_probes(spark, d).select("key_hash"), _chain(spark, d, height))
     return p.select(hx("key_hash").alias("key_hash"), hx("prev_key_hash").alias("prev_key_hash"), "exists")
 
 
-@query(f"""with {_CHAIN}, p as (select distinct kh from ops anti join state on state.kh = ops.kh)
+@asof_query(f"""with {_CHAIN}, p as (select distinct kh from ops anti join state on state.kh = ops.kh)
 select p.kh as key_hash, c.kh as prev_key_hash, c.next_kh as next_key_hash from p asof join chain c on p.kh > c.kh""")
-def not_exists(spark: SparkSession, d: str) -> DataFrame:
-    n = S.non_existence(_probes(spark, d).select("key_hash"), _chain(spark, d))
+def not_exists(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+    n = S.non_existence(_probes(spark, d).select("key_hash"), _chain(spark, d, height))
     return n.select(*[hx(c).alias(c) for c in ("key_hash", "prev_key_hash", "next_key_hash")])
 
 
-@query(f"""with {_CHAIN}
+@asof_query(f"""with {_CHAIN}
 select version, op_seq, ops.kh as key_hash, ops.kh as read_hash from ops semi join state on state.kh = ops.kh where op_type in (1, 2)
 union all
 select version, op_seq, o.kh, c.kh from (select * from ops where op_type in (3, 4)) o asof join chain c on o.kh > c.kh""")
-def op_lookup(spark: SparkSession, d: str) -> DataFrame:
-    then = S.as_of(ops_of(spark, d), _AS_OF)
-    return S.op_lookup(ops_of(spark, d), then, _chain(spark, d)).select("version", "op_seq", hx("key_hash").alias("key_hash"), hx("read_hash").alias("read_hash"))
+def op_lookup(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+    then = _then(spark, d, height)
+    return S.op_lookup(ops_of(spark, d), then, _chain(spark, d, height)).select("version", "op_seq", hx("key_hash").alias("key_hash"), hx("read_hash").alias("read_hash"))
 
 
 @query(f"with {T.LATEST} {_STATE} where kh >= '40' || repeat('0', 62) and kh < '80' || repeat('0', 62)")
@@ -157,14 +189,14 @@ def _layer_sql(height: int, width: int) -> str:
     return f"select kh, case when op_type <> 4 then value end as value from (select *, row_number() over (partition by kh order by version desc, op_seq desc) as r from ops where op_type in (2, 3, 4) and height >= {height - width} and height < {height}) where r = 1"
 
 
-@query(f"""with {_THEN}, p as (select distinct kh from ops), l0 as ({_layer_sql(AS_OF_HEIGHT + 2, 1)}), l1 as ({_layer_sql(AS_OF_HEIGHT + 1, 1)}),
+@asof_query(f"""with {_THEN}, p as (select distinct kh from ops), l0 as ({_layer_sql(AS_OF_HEIGHT + 2, 1)}), l1 as ({_layer_sql(AS_OF_HEIGHT + 1, 1)}),
 j as (select p.kh, case when l0.kh is not null then 0 when l1.kh is not null then 1 when s.kh is not null then 2 end::integer as layer, l0.value as v0, l1.value as v1, s.value as v2
   from p left join l0 on l0.kh = p.kh left join l1 on l1.kh = p.kh left join state s on s.kh = p.kh)
 select kh as key_hash, layer, lower(hex(case layer when 0 then v0 when 1 then v1 when 2 then v2 end)) as value from j""")
-def overlay_lookup(spark: SparkSession, d: str) -> DataFrame:
+def overlay_lookup(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
     """Reads through the overlays of two blocks in flight and the store below them."""
     ops = ops_of(spark, d)
-    layers = [S.overlay(ops, AS_OF_HEIGHT + 2, 1).select("key_hash", "value"), S.overlay(ops, AS_OF_HEIGHT + 1, 1).select("key_hash", "value"), S.as_of(ops, _AS_OF).select("key_hash", "value")]
+    layers = [S.overlay(ops, height + 2, 1).select("key_hash", "value"), S.overlay(ops, height + 1, 1).select("key_hash", "value"), _then(spark, d, height).select("key_hash", "value")]
     return S.layered(_probes(spark, d).select("key_hash"), layers).select(hx("key_hash").alias("key_hash"), "layer", hx("value").alias("value"))
 
 

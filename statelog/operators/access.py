@@ -102,6 +102,21 @@ def sender_tasks(txs: DataFrame, per_task: int = 3) -> DataFrame:
     return g.select("height", "sender", "task_no", "first_idx", "n_txs", F.transform("l", lambda x: x["txid"]).alias("txids"))
 
 
+def task_sets(sets: DataFrame, per_task: int = 3) -> DataFrame:
+    """``(pos, height, sender, task_no, n_txs, r, w)``: the tasks of :func:`sender_tasks` with the united sets of their transactions.
+
+    ``sets`` comes from :func:`access_sets`. Tasks are numbered by block, then by their sender's first appearance, then ``task_no``.
+    """
+    w = Window.partitionBy("height", "sender").orderBy("tx_idx", "txid")  # one sender in one block
+    at = sets.withColumn("k", F.row_number().over(w) - 1).withColumn("task_no", F.expr(f"k div {per_task}").cast("int"))
+    at = at.withColumn("from_idx", F.first("tx_idx").over(w)).withColumn("from_txid", F.first("txid").over(w))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    g = at.groupBy("height", "sender", "from_idx", "from_txid", "task_no").agg(F.count("*").alias("n_txs"), union("r"), union("w"))
+    g = g.withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1).cast("long"))
+    placed = ranged_sum(g, ["_all"], ["height", "from_idx", "from_txid", "task_no"], "_one", "pos")
+    return placed.select("pos", "height", "sender", "task_no", "n_txs", "r", "w")
+
+
 def merge_ratio(txs: DataFrame) -> DataFrame:
     """Transactions, senders' tasks and their ratio over all blocks, in one row."""
     per = distinct_txs(txs).groupBy("height", "sender").agg(F.count("*").alias("n"))

@@ -271,6 +271,8 @@ class Reorderer:
 def reorder(sets: DataFrame, configs: list[tuple[int, bool]], give_up: bool = False, compat: bool = False) -> DataFrame:
     """``(lanes, bloom, bundle, n_txs)``: bundles of each configuration over transactions ``(pos, r, w)`` in order.
 
+    Where ``sets`` has ``n_txs``, its rows are tasks of so many transactions; a bundle's bound of BUNDLE_MAX is one of tasks.
+
     Each configuration is one ordered stream in a task of its own that keeps its N open bundles only.
     """
     each = sets.sparkSession.createDataFrame([(i, n, b) for i, (n, b) in enumerate(configs)], "config int, lanes int, bloom boolean")
@@ -280,27 +282,28 @@ def reorder(sets: DataFrame, configs: list[tuple[int, bool]], give_up: bool = Fa
 
         def rows(closed: list[list]) -> pa.RecordBatch:
             nonlocal bundle
-            n = [len(c) for c in closed]
+            n = [sum(c) for c in closed]
             at = list(range(bundle, bundle + len(n)))
             bundle += len(n)
             return pa.RecordBatch.from_arrays([pa.array([lanes] * len(n), pa.int32()), pa.array([bloom] * len(n), pa.bool_()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["lanes", "bloom", "bundle", "n_txs"])
 
         for b in batches:
             closed = []
-            for c, n, is_bloom, pos, reads, writes in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for c, n, is_bloom, _, n_txs, reads, writes in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if c != config:
                     if r is not None:
                         yield rows(closed + r.rest())
                         closed = []
                     config, lanes, bloom, bundle = c, n, is_bloom, 0
                     r = Reorderer(n, is_bloom, give_up, compat)
-                closed += r.put(pos, reads, writes)
+                closed += r.put(n_txs, reads, writes)
             if r is not None:
                 yield rows(closed)
         if r is not None:
             yield rows(r.rest())
 
-    stream = sets.select("pos", "r", "w").crossJoin(F.broadcast(each)).select("config", "lanes", "bloom", "pos", "r", "w")  # a few configurations
+    n_txs = F.col("n_txs") if "n_txs" in sets.columns else F.lit(1)
+    stream = sets.select("pos", n_txs.cast("long").alias("n_txs"), "r", "w").crossJoin(F.broadcast(each)).select("config", "lanes", "bloom", "pos", "n_txs", "r", "w")  # a few configurations
     stream = stream.repartition(len(configs), "config").sortWithinPartitions("config", "pos")
     return stream.mapInArrow(run, "lanes int, bloom boolean, bundle bigint, n_txs bigint")
 

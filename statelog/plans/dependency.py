@@ -164,6 +164,13 @@ def reorder_tlp(spark: SparkSession, d: str) -> DataFrame:
     return B.reorder_tlp(reorder_bundles(spark, d))
 
 
+@query()
+def reorder_tlp_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`reorder_tlp` over the tasks of each sender, whose transactions' sets are united."""
+    hot = A.hottest(table(spark, d, "txs"))
+    return B.reorder_tlp(B.reorder(A.task_sets(sets_of(spark, d, (hot,) if hot else ())), CONFIGS))
+
+
 @query()
 def exec_schedule(spark: SparkSession, d: str) -> DataFrame:
     return B.block_schedules(sets_of(spark, d))

@@ -48,13 +48,13 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _measures(spark: SparkSession, d: str) -> DataFrame:
-    """``(day, coinbase, measure, item)`` of every sender and every rnw address."""
+    """``(day, coinbase, measure, item)`` of every sender and every rnw address; a height without block row has neither day nor coinbase."""
     t = table(spark, d, "txs")
     sender = F.filter(F.array(prefixed_hex(F.col("from_addr"))), lambda x: x.isNotNull())
     both = F.array(F.struct(F.lit("from_addr").alias("measure"), sender.alias("items")), F.struct(F.lit("rnw_addr_list").alias("measure"), member_set(F.col("rnw_addr_list")).alias("items")))
     blocks = distinct_blocks(table(spark, d, "blocks")).select("height", F.to_date("block_time").alias("day"), "coinbase")
     lists = t.select("height", F.explode(both).alias("m")).select("height", "m.*")
-    return lists.join(blocks, "height").select("day", "coinbase", "measure", F.explode("items").alias("item"))
+    return lists.join(blocks, "height", "left").select("day", "coinbase", "measure", F.explode("items").alias("item"))
 
 
 def p2_distinct(spark: SparkSession, d: str) -> DataFrame:

@@ -78,8 +78,12 @@ def p2_bound_check(spark: SparkSession, d: str) -> DataFrame:
 _P3 = ["rdo_addr_list", "rnw_addr_list", "rnw_slot_list"]
 
 
-def _pairs(spark: SparkSession, d: str, lift: float) -> DataFrame:
-    return cooccurrence.item_pairs(transactions(table(spark, d, "txs"), _P3), _P3, MIN_PAIR, lift)
+def _pairs(spark: SparkSession, d: str, lift: float, least: int = MIN_PAIR) -> DataFrame:
+    return cooccurrence.item_pairs(transactions(table(spark, d, "txs"), _P3), _P3, least, lift)
+
+
+def _pair_columns(pairs: DataFrame) -> DataFrame:
+    return pairs.select("field", "item_a", "item_b", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +92,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair that enough transactions hold, however it compares with chance."""
-    return _pairs(spark, d, 0.0).select("field", "item_a", "item_b", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+    return _pair_columns(_pairs(spark, d, 0.0))
+
+
+def p3_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that any transaction holds."""
+    return _pair_columns(_pairs(spark, d, 0.0, 1))
 
 
 _P6 = ["rdo_addr_list", "rnw_addr_list", "slot_addr"]
@@ -133,7 +142,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), F.round(flagged / F.count("*"), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_distinct, p2_bound_check, p3_found, p3_pairs, p6_found, p6_counts, p8_ids, p9_found, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_distinct, p2_bound_check, p3_found, p3_pairs, p3_all, p6_found, p6_counts, p8_ids, p9_found, p10_found, p10_scores, p10_rates)}
 
 
 def _hex(e: str) -> str:
@@ -158,6 +167,8 @@ p as (
   select a.field, a.item as item_a, b.item as item_b, a.n as n_a, b.n as n_b, count(*) as n_ab
   from f a join f b on a.field = b.field and a.tx = b.tx and a.item < b.item group by all having count(*) >= 10)"""
 
+_ALL_PAIRS = _PAIRS.replace("n.n >= 10 and ", "").replace(" having count(*) >= 10", "")
+
 SQL = {
     "p1_found": f"""with {_ITEMS},
 r as (
@@ -188,6 +199,7 @@ select case grouping(day, coinbase) when 0 then 'day,coinbase' when 1 then 'day'
 from i where item is not null group by grouping sets ((day, coinbase, measure), (day, measure), (coinbase, measure), (measure))""",
     "p3_found": _PAIRS + " select field, item_a, item_b from p, total where n_ab * total >= 10 * n_a * n_b",
     "p3_pairs": _PAIRS + " select field, item_a, item_b, n_a, n_b, n_ab, round(n_ab * total::double / (n_a * n_b::double), 6) as lift, round(log2(n_ab * total::double / (n_a * n_b::double)), 6) as pmi from p, total",
+    "p3_all": _ALL_PAIRS + " select field, item_a, item_b, n_a, n_b, n_ab, round(n_ab * total::double / (n_a * n_b::double), 6) as lift, round(log2(n_ab * total::double / (n_a * n_b::double)), 6) as pmi from p, total",
     "p6_found": f"with {_ITEMS} select field, item as addr from n, total where field <> 'rnw_slot_list' and n * 100 >= total",
     "p6_counts": f"with {_ITEMS} select field, item as addr, n, true as in_range from n, total where field <> 'rnw_slot_list' and n * 100 >= total",
 }

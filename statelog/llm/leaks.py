@@ -27,6 +27,7 @@ _QUOTES = re.compile(r"'{2,}")
 _CELL_STYLE = re.compile(r"(^|\|\||!!)([|!])?[^\S\n]*(?:[\w-]+\s*=\s*(?:\"[^\"\n]*\"|[^\s|\"]+)\s*)+\|(?!\|)", re.M)
 _TABLE_LINE = re.compile(r"^\s*(?:\{\||\|-).*$", re.M)
 _ARGUMENT = re.compile(r"\|\s*[\w -]{1,40}?\s*=")
+_NAMED = re.compile(r"\s*[\w -]{1,40}?\s*=")
 _SWITCH = re.compile(r"__[A-Z]+__")
 _WORD = re.compile(r"[^\W_]+")
 _UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
@@ -48,6 +49,12 @@ def _label(m: re.Match) -> str:
     return label if label.strip() else target
 
 
+def _shown(m: re.Match) -> str:
+    """What a template like ``{{lang|fr|mot}}`` shows: its last unnamed argument."""
+    args = [a for a in m.group(0)[2:-2].split("|")[1:] if not _NAMED.match(a)]
+    return args[-1] if args else ""
+
+
 def words_of(text: str) -> list[str]:
     """Words as a reader compares them: runs of letters and digits without case, accents and invisible characters."""
     if text.isascii():
@@ -67,7 +74,7 @@ def rendered(text: str) -> list[str]:
     """Texts that a reader of the page sees one after another, each without markup.
 
     The first is the page with what its templates show in place; others, where there is anything to tell apart, are the page without
-    templates and notes, and the notes. An unclosed comment hides the rest; other unclosed markup is shown as it is.
+    templates and notes, the page with its innermost templates replaced by their last unnamed argument, level by level, and the notes. An unclosed comment hides the rest; other unclosed markup is shown as it is.
     """
     text = _COMMENT.sub("", text)
     text = html.unescape(text) if "&" in text else text
@@ -85,6 +92,12 @@ def rendered(text: str) -> list[str]:
         if bare != body:
             views.append(bare)
         views[0] = _ARGUMENT.sub("| ", body)
+        shown = body
+        for _ in range(8):
+            shown, n = _PLAIN_TEMPLATE.subn(_shown, shown)
+            if not n:
+                break
+            views.append(_ARGUMENT.sub("| ", shown))
     out = []
     for v in [*views, *map(_strip_links, notes)]:
         v = _TABLE_LINE.sub(" ", v)

@@ -1,9 +1,9 @@
 """Full history of changing values, from snapshots compared by hash trees.
 
-A snapshot is the set of points of all keys known at some moment. Keys fall into leaf buckets by hash; a bucket's digest is
-order-free (sum and xor of row hashes with the row count), so the digests of nested snapshots are running totals and a
-parent's digest follows from its children. Comparing two snapshots descends from the root through differing nodes only, and
-only rows of leaf buckets that changed are compared row by row and appended to the history.
+A snapshot is the state of all keys at some moment. Keys fall into leaf buckets by hash; a bucket's digest is order-free (count, sum
+and xor of row hashes), and a parent's digest follows from its children. Comparing two snapshots descends from the root through
+differing nodes only; rows of the leaf buckets that differ are compared key by key, and only the new versions of keys that
+differ are appended to the history.
 """
 
 from __future__ import annotations
@@ -11,103 +11,167 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelog.operators.ranged import changed, one_array
-from statelog.runtime import cut
+from statelog.runtime import broadcast_if_small, cut
 
-#: Children of an inner node, and levels below the root: FANOUT ** DEPTH leaf buckets.
-FANOUT, DEPTH = 16, 3
+#: Children of an inner node, and keys a leaf bucket holds on average: the depth of a tree follows from the number of keys.
+FANOUT, LEAF_KEYS = 16, 4
+#: Successive snapshots that an entry log is taken as.
+SNAPSHOTS = 16
 
 
-def leaf_digests(rows: DataFrame, key: str, snapshot: str, columns: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """``(snapshot, leaf, n, h_sum, h_xor)`` of each leaf bucket of each snapshot that has rows in it.
+def depth_of(keys: int, fanout: int = FANOUT, leaf_keys: int = LEAF_KEYS) -> int:
+    """Levels below the root that so many keys ask for: 1 at least."""
+    depth = 1
+    while fanout**depth * leaf_keys < keys:
+        depth += 1
+    return depth
 
-    At most ``fanout ** depth`` rows a snapshot, whatever the number of rows. Null cells take part in the digest.
+
+def leaf_of(key: str, leaves: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit("leaf")), F.lit(leaves))
+
+
+def leaf_digests(rows: DataFrame, leaves: int) -> DataFrame:
+    """``(snapshot, leaf, n0, sum0, xor0, n1, sum1, xor1)`` of ``rows(snapshot, key, was, now)``: digests of a snapshot's leaf before and now.
+
+    ``was`` and ``now`` are hashes of a key's row in the snapshot before and in this one, null without a row. Keys that no row names are
+    the same in both and would add the same to both digests, so they need no row. Digests are combined before the shuffle.
     """
-    leaf = F.pmod(F.xxhash64(key), F.lit(fanout**depth)).alias("leaf")
-    cells = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
-    return (
-        rows.select(F.col(snapshot).alias("snapshot"), leaf, F.xxhash64(F.col(key), *cells).alias("h"))
-        .groupBy("snapshot", "leaf")
-        .agg(F.count("*").alias("n"), F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("h_sum"), F.bit_xor("h").alias("h_xor"))
-    )
+    parts = []
+    for k, c in enumerate(("was", "now")):
+        h = F.col(c)
+        parts += [F.count(h).alias(f"n{k}"), F.coalesce(F.sum(h.bitwiseAND(0xFFFFFFFF)), F.lit(0)).alias(f"sum{k}"), F.coalesce(F.bit_xor(h), F.lit(0)).alias(f"xor{k}")]
+    return rows.withColumn("leaf", leaf_of("key", leaves)).groupBy("snapshot", "leaf").agg(*parts)
 
 
-def tree_levels(leaves: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> list[DataFrame]:
-    """Digests by level, root first: ``(snapshot, node, n, h_sum, h_xor)``; level d has nodes 0 .. fanout ** d - 1."""
-    levels = []
-    for d in range(depth + 1):
-        up = fanout ** (depth - d)
-        levels.append(leaves.withColumn("node", F.expr(f"leaf div {up}")).groupBy("snapshot", "node").agg(F.sum("n").alias("n"), F.sum("h_sum").alias("h_sum"), F.bit_xor("h_xor").alias("h_xor")))
-    return levels
+_DIFFERS = "n0 <> n1 or sum0 <> sum1 or xor0 <> xor1"
+
 
+def tree_nodes(leaves: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """``(snapshot, level, node, digests...)``: all levels of the trees over :func:`leaf_digests`, the root at level 0, in one shuffle."""
+    up = F.array(*[F.struct(F.lit(d).alias("level"), F.expr(f"leaf div {fanout ** (depth - d)}L").alias("node")) for d in range(depth + 1)])
+    rows = leaves.withColumn("up", F.explode(up)).select("snapshot", "up.level", "up.node", *[f"{x}{k}" for k in (0, 1) for x in ("n", "sum", "xor")])
+    total = [(F.bit_xor if c.startswith("xor") else F.sum)(c).alias(c) for c in rows.columns[3:]]
+    return rows.groupBy("snapshot", "level", "node").agg(*total)
 
-def changed_leaves(old: DataFrame, new: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """``(snapshot, leaf)`` whose digest differs between two sets of leaf digests, found by descending differing nodes.
 
-    ``old`` and ``new`` come from :func:`leaf_digests` with the same labels in ``snapshot``; a leaf that one side lacks differs.
+def changed_leaves(leaves: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """``(snapshot, leaf)`` of the leaf buckets that differ from the snapshot before, found from the root down.
+
+    At each level only children of nodes that differ are looked at.
     """
-    signed = [x.select("snapshot", "node", (F.col("n") * sign).alias("n"), (F.col("h_sum") * sign).alias("h_sum"), "h_xor") for side, sign in ((old, -1), (new, 1)) for x in tree_levels(side, fanout, depth)]
+    nodes = cut(tree_nodes(leaves, depth, fanout))
     found = None
     for d in range(depth + 1):
-        both = signed[d].unionByName(signed[depth + 1 + d])
+        here = nodes.where(F.col("level") == d)
         if found is not None:
-            children = found.select("snapshot", F.explode(F.sequence(F.col("node") * fanout, F.col("node") * fanout + fanout - 1)).alias("node"))
-            both = both.join(F.broadcast(children), ["snapshot", "node"], "left_semi")  # at most fanout ** d rows a snapshot
-        found = both.groupBy("snapshot", "node").agg(F.sum("n").alias("n"), F.sum("h_sum").alias("h_sum"), F.bit_xor("h_xor").alias("h_xor")).where("n <> 0 or h_sum <> 0 or h_xor <> 0").select("snapshot", "node")
+            parents = found.select("snapshot", F.col("node").alias("parent"))
+            parents = F.broadcast(parents) if fanout ** (d - 1) <= 4096 else parents  # at most fanout ** (d - 1) rows a snapshot
+            here = here.withColumn("parent", F.expr(f"node div {fanout}L")).join(parents, ["snapshot", "parent"], "left_semi")
+        found = here.where(_DIFFERS).select("snapshot", "node")
     return found.select("snapshot", F.col("node").alias("leaf"))
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str], fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+def changed_rows(rows: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """Rows of ``rows(snapshot, key, was, now, ...)`` whose key differs from the snapshot before.
+
+    Trees say which leaf buckets differ, and only rows of those are compared. ``rows`` should be a written table.
+    """
+    leaves = fanout**depth
+    todo = broadcast_if_small(cut(changed_leaves(leaf_digests(rows, leaves), depth, fanout)))
+    inside = rows.withColumn("leaf", leaf_of("key", leaves)).join(todo, ["snapshot", "leaf"], "left_semi").drop("leaf")
+    return inside.where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str], fanout: int = FANOUT, depth: int | None = None) -> DataFrame:
     """Rows by which two snapshots differ: ``(change, key, columns...)`` with change ``added``, ``removed`` or ``changed`` (new cells).
 
     A key comes once in each snapshot; of repeated rows the one with the greatest cells stands. Null keys are ignored. Only rows of leaf
-    buckets whose digests differ are joined.
+    buckets whose digests differ are joined. The depth follows from the number of keys if it isn't given.
     """
-    label = F.lit(0).alias("snapshot")
+    cells = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
 
     def one(df: DataFrame) -> DataFrame:
-        cells = F.max(F.struct(*columns)).alias("cells")
-        return df.where(F.col(key).isNotNull()).groupBy(key).agg(cells).select(label, key, *[F.col("cells")[c].alias(c) for c in columns])
+        top = F.max(F.struct(*columns)).alias("cells")
+        rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(top).select("key", *[F.col("cells")[c].alias(c) for c in columns])
+        return cut(rows.select("key", F.struct(*columns).alias("cells"), F.xxhash64(F.col("key"), *cells).alias("h")))
 
     a, b = one(old), one(new)
-    leaves = changed_leaves(leaf_digests(a, key, "snapshot", columns, fanout, depth), leaf_digests(b, key, "snapshot", columns, fanout, depth), fanout, depth)
-    leaves = F.broadcast(leaves.select("leaf"))  # at most fanout ** depth rows
-    a, b = (x.withColumn("leaf", F.pmod(F.xxhash64(key), F.lit(fanout**depth))).join(leaves, "leaf", "left_semi").select(key, F.struct(*columns).alias("cells")) for x in (a, b))
-    j = a.withColumnRenamed("cells", "was").join(b, key, "full")
+    depth = depth or depth_of(max(a.count(), b.count()), fanout)
+    none = F.lit(None).cast("bigint")
+    sides = a.select(F.lit(0).alias("snapshot"), "key", F.col("h").alias("was"), none.alias("now")).unionByName(b.select(F.lit(0).alias("snapshot"), "key", none.alias("was"), F.col("h").alias("now")))
+    leaves = fanout**depth
+    todo = broadcast_if_small(cut(changed_leaves(leaf_digests(sides, leaves), depth, fanout).select("leaf")))
+    a, b = (x.withColumn("leaf", leaf_of("key", leaves)).join(todo, "leaf", "left_semi").select("key", "cells") for x in (a, b))
+    j = a.withColumnRenamed("cells", "was").join(b, "key", "full")
     change = F.when(F.col("was").isNull(), "added").when(F.col("cells").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("cells")), "changed")
-    return j.withColumn("change", change).where("change is not null").select("change", key, *[F.coalesce(F.col("cells"), F.col("was"))[c].alias(c) for c in columns])
+    return j.withColumn("change", change).where("change is not null").select("change", F.col("key").alias(key), *[F.coalesce(F.col("cells"), F.col("was"))[c].alias(c) for c in columns])
 
 
-def value_points(log: DataFrame) -> DataFrame:
-    """``(key, version, value, kind, fresh)``: what each version says of a key; kind is ``set`` or ``end``.
+def value_points(log: DataFrame, snapshots: int = SNAPSHOTS, values: bool = True) -> DataFrame:
+    """``(snapshot, key, version, value, kind, fresh, lo, hi)``: what each version says of a key; kind is ``set`` or ``end``.
 
     Copies of an entry (shard_id, sn) are one entry, its value from the copies that have one. ``end`` stands at versions where an
     entry of another key names the entry in its dsn, or where an entry of the key is missing. Where the key is set and deleted in
     one version, serial numbers tell which came last; a key set after its deletion is ``fresh`` and starts a new period. Entries with
     equal key and version are one point with the greatest value. Rows without key, version, shard or sn are ignored, and entries none of
     whose copies has a value set a null value.
+
+    ``snapshot`` numbers equal steps of version. ``state`` is a hash of kind and value; the last point of a key in a snapshot has the
+    least and the greatest of the key's states in that snapshot, other points have nulls. Without ``values``, value is that hash.
+    Names in dsn and entries meet in one shuffle by (shard, sn); points are then spread by key and snapshot, so a key that holds a
+    third of the log is spread over the snapshots.
     """
-    e = (
-        log.select("shard_id", "sn", "key", "value", "version", "last_version", "dsn")
-        .where("shard_id is not null and sn is not null and key is not null and version is not null")
-        .groupBy("shard_id", "sn")
-        .agg(F.max("key").alias("key"), F.max("value").alias("value"), F.max("version").alias("version"), F.max("last_version").alias("last_version"), F.max("dsn").alias("dsn"))
+    low, high = log.agg(F.min("version"), F.max("version")).first()
+    low, high = low or 0, high or 0
+    step = max(1, (high - low) // snapshots + 1)
+    e = log.select("shard_id", "sn", "key", "value", "version", "last_version", "dsn").where("shard_id is not null and sn is not null and key is not null and version is not null")
+    by = F.struct(F.col("key").alias("key"), F.col("version").alias("version"), F.col("sn").alias("sn"))
+    none = lambda c: F.lit(None).cast(e.schema[c].dataType).alias(c)
+    named = e.select("shard_id", by.alias("by"), F.explode(F.array_distinct("dsn")).alias("sn")).select("shard_id", "sn", *[none(c) for c in ("key", "value", "version", "last_version")], "by")
+    own = e.select("shard_id", "sn", "key", "value", "version", "last_version", F.when(F.lit(False), by).alias("by"))
+    g = own.unionByName(named).groupBy("shard_id", "sn").agg(*[F.max(c).alias(c) for c in ("key", "value", "version", "last_version")], F.collect_set("by").alias("by")).where("key is not null")
+    long = lambda c: c.cast("bigint")
+    point = lambda version, value, set_sn, end_sn: F.struct(long(version).alias("version"), value.alias("value"), long(set_sn).alias("set_sn"), long(end_sn).alias("end_sn"))
+    null, no_value = F.lit(None), F.lit(None).cast("binary")
+    points = F.concat(
+        F.array(point(F.col("version"), F.col("value"), F.col("sn"), null)),
+        F.filter(F.array(point(F.col("last_version"), no_value, null, null)), lambda p: p["version"] >= 0),
+        F.transform(F.filter("by", lambda b: b["key"] != F.col("key")), lambda b: point(b["version"], no_value, null, b["sn"])),
     )
-    no_sn, no_value = F.lit(None).cast("bigint"), F.lit(None).cast("binary")
-    named = e.select("shard_id", F.explode("dsn").alias("sn"), F.col("key").alias("by_key"), F.col("version").alias("by_version"), F.col("sn").alias("by_sn"))
-    named = named.join(e.select("shard_id", "sn", F.col("key").alias("of_key")), ["shard_id", "sn"]).where("by_key <> of_key")
-    ended = named.select(F.col("of_key").alias("key"), F.col("by_version").alias("version"), no_value.alias("value"), no_sn.alias("set_sn"), F.col("by_sn").alias("end_sn"))
-    is_set = e.select("key", "version", "value", F.col("sn").alias("set_sn"), no_sn.alias("end_sn"))
-    seen = e.where("last_version >= 0").select("key", F.col("last_version").alias("version"), no_value.alias("value"), no_sn.alias("set_sn"), no_sn.alias("end_sn"))
-    points = is_set.unionByName(ended).unionByName(seen).groupBy("key", "version").agg(F.max("value").alias("value"), F.max("set_sn").alias("set_sn"), F.max("end_sn").alias("end_sn"))
+    slot = F.expr(f"cast(least({snapshots - 1}, greatest(0, (version - {low}L) div {step}L)) as int)").alias("snapshot")
+    spread = g.select("key", F.explode(points).alias("p")).select("key", "p.*").select(slot, "*").repartition("key", "snapshot")
+    p = spread.groupBy("key", "snapshot", "version").agg(F.max("value").alias("value"), F.max("set_sn").alias("set_sn"), F.max("end_sn").alias("end_sn"))
     sets = F.col("set_sn").isNotNull() & (F.col("end_sn").isNull() | (F.col("end_sn") < F.col("set_sn")))
-    return points.select("key", "version", F.when(sets, F.col("value")).alias("value"), F.when(sets, "set").otherwise("end").alias("kind"), (sets & F.col("end_sn").isNotNull()).alias("fresh"))
+    p = p.withColumn("fresh", sets & F.col("end_sn").isNotNull())
+    p = p.select("snapshot", "key", "version", F.when(sets, F.col("value")).alias("value"), F.when(sets, "set").otherwise("end").alias("kind"), "fresh")
+    # a fresh point is a state of its own: the period before it has ended even if the value is the same
+    state = F.when(F.col("kind") == "end", F.lit(0).cast("bigint")).when(F.col("fresh"), F.xxhash64("value", "version")).otherwise(F.xxhash64("value"))
+    p = p.withColumn("state", state)
+    w = Window.partitionBy("key", "snapshot").orderBy("version")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.lead("version").over(w).isNull()
+    value = F.col("value") if values else F.when(F.col("kind") == "set", F.xxhash64("value")).alias("value")
+    return p.select("snapshot", "key", "version", value, "kind", "fresh", F.when(last, F.col("state")).alias("state"), F.when(last, F.min("state").over(upto)).alias("lo"), F.when(last, F.max("state").over(upto)).alias("hi"))
+
+
+def snapshot_rows(points: DataFrame) -> DataFrame:
+    """``(snapshot, key, was, now)``: hashes of each key's row in the snapshot before and in this one, where a point names the key.
+
+    A key's row is its last state and the number of snapshots in which it took several, so a value that changes and changes back between
+    two snapshots differs too. At most one row a key and snapshot.
+    """
+    w = Window.partitionBy("key").orderBy("snapshot")
+    turns = F.sum((F.col("lo") != F.col("hi")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = points.where("state is not null").select("snapshot", "key", "state", turns.alias("turns")).withColumn("now", F.xxhash64("key", "state", "turns"))
+    return rows.select("snapshot", "key", F.lag("now").over(w).alias("was"), "now")
 
 
-_RUN = "key binary, version bigint, value binary, kind string, fresh boolean, until bigint, opens boolean, closes boolean"
+_RUN = ["key", "version", "value", "kind", "fresh", "until", "opens", "closes"]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +179,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``until`` is the version of the key's next run in the partition; ``opens`` and ``closes`` mark a key's first and last run.
     """
-    names = [f.split()[0] for f in _RUN.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_()]
-    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names)
+    kinds: list[pa.DataType] = []
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], _RUN)
     last = open_run = None
     for b in batches:
         if not b.num_rows:
             continue
         k, v, x, kind, fresh = (one_array(b.column(i)) for i in range(5))
+        kinds = [k.type, v.type, x.type, kind.type, fresh.type, pa.int64(), pa.bool_(), pa.bool_()]
         new_key = changed(k, last and last[0])
         new_run = new_key | changed(x, last and last[1]) | changed(kind, last and last[2]) | fresh.to_numpy(zero_copy_only=False).astype(bool)
         at = new_run.nonzero()[0]
@@ -143,9 +207,12 @@ def periods(points: DataFrame) -> DataFrame:
     """``(key, value, valid_from, valid_to)`` of points ``(key, version, value, kind, fresh)``, one a key and version; -1 while it still holds.
 
     Points are range partitioned on (key, version), so a key with most of the points is spread over partitions; only a key's first
-    and last run in a partition go through the stitching step.
+    and last run in a partition go through the stitching step. The runs are written once: both steps must see the same partitions.
     """
-    runs = points.select("key", "version", "value", "kind", "fresh").repartitionByRange("key", "version").sortWithinPartitions("key", "version").mapInArrow(_runs, _RUN)
+    points = points.select("key", "version", "value", "kind", "fresh")
+    schema = points.select("*", F.col("version").alias("until"), F.lit(True).alias("opens"), F.lit(True).alias("closes")).schema
+    schema = type(schema)([type(f)(f.name, f.dataType, True) for f in schema.fields])
+    runs = cut(points.repartitionByRange("key", "version").sortWithinPartitions("key", "version").mapInArrow(_runs, schema))
     inner = runs.where("not opens and not closes and kind = 'set'").select("key", "value", F.col("version").alias("valid_from"), F.col("until").alias("valid_to"))
     w = Window.partitionBy("key").orderBy("version")
     # a run that isn't its key's first in a partition has begun there; a first one may go on from the partition before
@@ -157,25 +224,15 @@ def periods(points: DataFrame) -> DataFrame:
     return inner.unionByName(whole)
 
 
-def value_history(log: DataFrame, snapshots: int = 8, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+def value_history(log: DataFrame, snapshots: int = SNAPSHOTS, fanout: int = FANOUT, depth: int | None = None, values: bool = True) -> DataFrame:
     """Validity periods ``(key, value, valid_from, valid_to)`` of the values of each key in an entry log.
 
     The log is taken as ``snapshots`` successive snapshots at equal steps of version. Each is compared with the one before it by
-    hash trees, and the rows of changed leaf buckets are appended to the history. An empty log gives no rows.
+    hash trees, and the versions of keys that differ are appended to the history; rewrites that leave a key as it was are not read
+    again. Without ``values``, value is a hash. An empty log gives no rows.
     """
-    points = value_points(log)
-    lo, hi = log.where("version is not null").agg(F.min("version"), F.max("version")).first()
-    step = max(1, ((hi or 0) - (lo or 0)) // snapshots + 1)
-    points = points.withColumn("snapshot", F.expr(f"greatest(0, (version - {lo or 0}) div {step})"))
-    points = cut(points)
-    own = cut(leaf_digests(points, "key", "snapshot", ["version", "value", "kind", "fresh"], fanout, depth))
-    grid = own.select("leaf").distinct().crossJoin(own.sparkSession.range(snapshots).withColumnRenamed("id", "snapshot"))  # at most leaves x snapshots
-    so_far = Window.partitionBy("leaf").orderBy("snapshot")
-    filled = grid.join(own, ["leaf", "snapshot"], "left").na.fill(0, ["n", "h_sum", "h_xor"])
-    new = filled.select("snapshot", "leaf", *[F.sum(c).over(so_far).alias(c) for c in ("n", "h_sum")], F.aggregate(F.collect_list("h_xor").over(so_far), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)).alias("h_xor"))
-    new = cut(new)
-    old = new.select((F.col("snapshot") + 1).alias("snapshot"), "leaf", "n", "h_sum", "h_xor").where(F.col("snapshot") < snapshots)
-    todo = cut(changed_leaves(old, new, fanout, depth))
-    leaf = F.pmod(F.xxhash64("key"), F.lit(fanout**depth))
-    appended = points.withColumn("leaf", leaf).join(F.broadcast(todo), ["snapshot", "leaf"], "left_semi")  # at most leaves x snapshots
-    return periods(appended)
+    points = cut(value_points(log, snapshots, values))
+    rows = cut(snapshot_rows(points))
+    depth = depth or depth_of(rows.where("was is null").count(), fanout)
+    differ = changed_rows(rows, depth, fanout).select("snapshot", "key")
+    return periods(points.join(differ, ["snapshot", "key"], "left_semi"))

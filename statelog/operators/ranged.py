@@ -7,7 +7,7 @@ states of a key that runs over a boundary are stitched together by a small secon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statelog.runtime import broadcast_if_small, cut
+from statelog.runtime import cut
 
 
 def changed(a: pa.Array, before: pa.Scalar | None) -> np.ndarray:
@@ -103,197 +103,176 @@ def key_activity(rows: DataFrame) -> DataFrame:
     )
 
 
-def ranged_lag(df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str = "prev_") -> DataFrame:
-    """``df`` with ``prev_<v>`` of the row before, within ``keys`` in ``order``; null for a key's first row.
-
-    As a window's ``lag`` without its long task: rows are range partitioned on keys and order, and only the first and last row of
-    a key in each partition are stitched. Columns of ``df`` that begin with ``prev_`` of a value are replaced.
+def ranged_pass(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    lags: Sequence[str] = (),
+    lasts: dict[str, list[str]] | None = None,
+    sums: dict[str, str] | None = None,
+    maxes: dict[str, str] | None = None,
+) -> DataFrame:
+    """``df`` with values of the rows before, within ``keys`` in ``order``, from one pass over range partitions.
+
+    * ``lags``: ``prev_<v>`` of the row before, null for a key's first row.
+    * ``lasts``: for each boolean column, ``last_<v>`` of the latest row before at which it is true, null without one.
+    * ``sums``: column and result, the sum over the rows before; a null amount counts as 0.
+    * ``maxes``: column and result, the greatest amount (0 to 2 ** 40) of the rows before, -1 without one; nulls don't count.
+
+    As windows without their long task: rows are range partitioned on keys and order and written once, so every later read sees the same
+    partitions. Only rows of a partition's first key can depend on other partitions; what the partitions before leave over for it
+    is chained from two rows a partition. Result columns that ``df`` already has are replaced. ``order`` has no ties within ``keys``.
     """
-    df = df.drop(*[f"{prefix}{v}" for v in values])
+    lasts, sums, maxes = lasts or {}, sums or {}, maxes or {}
+    carried_of = [(w, v) for w, vs in lasts.items() for v in vs]
+    groups = list(lasts)
+    df = df.drop(*[f"prev_{v}" for v in lags], *[f"last_{v}" for _, v in carried_of], *sums.values(), *maxes.values())
     names = df.columns
-    at = [names.index(c) for c in keys]
-    of = [names.index(v) for v in values]
-    fields = [*df.schema.fields, *[type(df.schema[v])(f"{prefix}{v}", df.schema[v].dataType) for v in values]]
-    out_schema = type(df.schema)([*fields, *df.select(F.lit(True).alias("_first"), F.lit(True).alias("_last")).schema.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row isn't given out before it is known whether its key goes on
-        before = None
-
-        def out(t: pa.Table, first: np.ndarray, last: np.ndarray, lagged: list) -> pa.RecordBatch:
-            cols = [*(one_array(c) for c in t.columns), *lagged, pa.array(first), pa.array(last)]
-            return pa.RecordBatch.from_arrays(cols, [*t.column_names, *[f"{prefix}{v}" for v in values], "_first", "_last"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-            cols = [one_array(c) for c in t.columns]
-            new = np.zeros(t.num_rows, bool)
-            for i in at:
-                new |= changed(cols[i], None if before is None else before[i])
-            lagged = []
-            mask = pa.array(new)
-            for i in of:
-                shifted = pa.concat_arrays([pa.array([None if before is None else before[i].as_py()], cols[i].type), cols[i][:-1]])
-                lagged.append(pc.if_else(mask, pa.scalar(None, cols[i].type), shifted))
-            last = np.r_[new[1:], False]
-            n = t.num_rows - 1
-            if n:
-                yield out(t.slice(0, n), new[:n], last[:n], [x[:n] for x in lagged])
-                before = [c[n - 1] for c in cols]
-            held = t.slice(n, 1)
-        if held is not None:
-            cols = [one_array(c) for c in held.columns]
-            new = np.zeros(1, bool)
-            for i in at:
-                new |= changed(cols[i], None if before is None else before[i])
-            lagged = [pa.array([None if new[0] else before[i].as_py()], cols[i].type) for i in of]
-            yield out(held, new, np.array([True]), lagged)
-
-    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
-    edge = rows.where("_first or _last")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    for v in values:
-        edge = edge.withColumn(f"{prefix}{v}", F.when(F.col("_first"), F.lag(v).over(w)).otherwise(F.col(f"{prefix}{v}")))
-    return rows.where("not (_first or _last)").unionByName(edge).drop("_first", "_last")
-
-
-def _running(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, str], largest: bool) -> DataFrame:
-    """Running sums, or running maxima of numbers in 0 .. 2 ** 40 with -1 for none, over the rows before; ``amounts`` names column and result."""
-    names, outs = df.columns, list(amounts.values())
-    at, amount_at = [names.index(c) for c in keys], [names.index(a) for a in amounts]
-    schema = df.select("*", *[F.lit(0).cast("long").alias(o) for o in outs], F.lit(0).alias("_part")).schema
-    neutral = -1 if largest else 0
+    at, lag_at = [names.index(c) for c in keys], [names.index(v) for v in lags]
+    flag_at = {w: names.index(w) for w in lasts}
+    value_at = {w: [names.index(v) for v in vs] for w, vs in lasts.items()}
+    amounts = [(names.index(a), out, False) for a, out in sums.items()] + [(names.index(a), out, True) for a, out in maxes.items()]
+    outs = [*[f"prev_{v}" for v in lags], *[f"last_{v}" for _, v in carried_of], *[out for _, out, _ in amounts]]
+    marks = ["_kind", "_part", "_open", *[f"_has{g}" for g in range(len(groups))]]
+    like = [F.col(v).alias(f"prev_{v}") for v in lags] + [F.col(v).alias(f"last_{v}") for _, v in carried_of] + [F.lit(0).cast("long").alias(out) for _, out, _ in amounts]
+    flags = [F.lit("row").alias("_kind"), F.lit(0).alias("_part"), F.lit(0).alias("_open"), *[F.lit(True).alias(m) for m in marks[3:]]]
+    schema = df.select("*", *like, *flags).schema
+    schema = type(schema)([type(f)(f.name, f.dataType, True) for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        before, totals = None, [neutral] * len(outs)
+        before = types = None
+        carried: list[list | None] = [None] * len(groups)
+        totals = [-1 if largest else 0 for _, _, largest in amounts]
+        first_key = True  # still in the partition's first key
+
+        def mark(kind: str, row: list) -> pa.RecordBatch:
+            cols = [pa.array([row[i].as_py() if i in at else None], t) for i, t in enumerate(types)]
+            cols += [pa.array([row[i].as_py()], types[i]) for i in lag_at]
+            for g, w in enumerate(groups):
+                cols += [pa.array([None if carried[g] is None else carried[g][k].as_py()], types[i]) for k, i in enumerate(value_at[w])]
+            cols += [pa.array([t], pa.int64()) for t in totals]
+            cols += [pa.array([kind]), pa.array([part], pa.int32()), pa.array([int(first_key)], pa.int32()), *[pa.array([c is not None]) for c in carried]]
+            return pa.RecordBatch.from_arrays(cols, [*names, *outs, *marks])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [one_array(c) for c in b.columns]
-            new = np.zeros(b.num_rows, bool)
+            cols, n = [one_array(c) for c in b.columns], b.num_rows
+            new = np.zeros(n, bool)
             for i in at:
                 new |= changed(cols[i], None if before is None else before[i])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            got = []
-            for k, i in enumerate(amount_at):
-                x = pc.fill_null(cols[i].cast(pa.int64()), neutral).to_numpy(zero_copy_only=False)
+            head = before is None
+            if head:
+                types = [c.type for c in cols]
+                yield mark("start", [c[0] for c in cols])
+                new[0] = False
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # -1: the key that was open before the batch
+            onward = begin < 0
+            open_ = (onward & first_key).astype(np.int32)
+            if head:
+                open_[0] = 2  # its row before lies in another partition
+            got, has = [], []
+            mask = pa.array(new)
+            for i in lag_at:
+                shifted = pa.concat_arrays([pa.array([None if head else before[i].as_py()], types[i]), cols[i][:-1]])
+                got.append(pc.if_else(mask, pa.scalar(None, types[i]), shifted))
+            for g, w in enumerate(groups):
+                true = pc.fill_null(cols[flag_at[w]], False).to_numpy(zero_copy_only=False)
+                latest = np.r_[-1, np.maximum.accumulate(np.where(true, np.arange(n), -1))[:-1]]
+                inside = latest >= np.maximum(begin, 0)
+                missing = ~inside & ~(onward & (carried[g] is not None))
+                take = pa.array(np.where(inside, latest + 1, 0), mask=missing)
+                for k, i in enumerate(value_at[w]):
+                    source = pa.concat_arrays([pa.array([None if carried[g] is None else carried[g][k].as_py()], types[i]), cols[i]])
+                    got.append(source.take(take))
+                has.append(pa.array(~missing))
+                if new.any():
+                    carried[g] = None
+                seen = np.flatnonzero(true)
+                if len(seen) and seen[-1] >= max(begin[-1], 0):
+                    carried[g] = [cols[i][int(seen[-1])] for i in value_at[w]]
+            for k, (i, _, largest) in enumerate(amounts):
+                x = pc.fill_null(cols[i].cast(pa.int64()), -1 if largest else 0).to_numpy(zero_copy_only=False)
                 if largest:
-                    lift = (start + 2).astype(np.int64) << 41
+                    lift = (begin + 2).astype(np.int64) << 41
                     upto = np.maximum.accumulate(np.r_[(1 << 41) + totals[k], x[:-1] + lift[:-1]])
                     values = np.where(upto >= lift, upto - lift, -1)
                     totals[k] = int(max(values[-1], x[-1]))
                 else:
                     running = np.cumsum(x) - x
-                    values = np.where(start >= 0, running - running[np.maximum(start, 0)], running + totals[k])
+                    values = np.where(begin >= 0, running - running[np.maximum(begin, 0)], running + totals[k])
                     totals[k] = int(values[-1] + x[-1])
                 got.append(pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*cols, *got, pa.array(["row"] * n), pa.array(np.full(n, part), pa.int32()), pa.array(open_), *has], [*names, *outs, *marks])
+            first_key = first_key and not new.any()
             before = [c[-1] for c in cols]
-            yield pa.RecordBatch.from_arrays([*cols, *got, pa.array(np.full(len(new), part), pa.int32())], [*names, *outs, "_part"])
+        if before is not None:
+            yield mark("stop", before)
 
     rows = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema))
-    total = F.max if largest else F.sum
-    sums = rows.groupBy(*keys, "_part").agg(*[total(F.coalesce(a, F.lit(neutral))).cast("long").alias(f"_t{i}") for i, a in enumerate(amounts)])
-    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), *[total(f"_t{i}").over(w).alias(f"_o{i}") for i in range(len(outs))]).where("_o0 is not null")
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = rows.join(broadcast_if_small(offsets), [F.col("_part") == F.col("_p"), *same], "left")
-
-    def value(i: int, out: str) -> F.Column:
-        offset = F.coalesce(f"_o{i}", F.lit(neutral))
-        return (F.greatest(F.col(out), offset) if largest else F.col(out) + offset).cast("long").alias(out)
+    n_lags, n_lasts = len(lags), [len(vs) for vs in lasts.values()]
+    chain_names = [*keys, *outs, *marks]
+    kinds = {f.name: f.dataType for f in schema.fields}
+    incoming_schema = type(schema)([type(schema.fields[0])("_p", kinds["_part"], True), *[type(schema.fields[0])(f"_in_{o}", kinds[o], True) for o in outs]])
 
-    return joined.select(*names, *[value(i, o) for i, o in enumerate(outs)])
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = start = None
+        for b in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                mine, values, kind, part, single, has = row[: len(keys)], list(row[len(keys) : len(keys) + len(outs)]), *row[len(keys) + len(outs) : len(keys) + len(outs) + 3], row[len(keys) + len(outs) + 3 :]
+                if kind == "start":
+                    start = mine
+                    if state is not None and key == mine:
+                        found.append((part, *state[0]))
+                    continue
+                if single and state is not None and key == start:  # one key alone: what came in goes on
+                    old, had = state
+                    k, has = n_lags, list(has)
+                    for g, width in enumerate(n_lasts):
+                        if not has[g]:
+                            values[k : k + width], has[g] = old[k : k + width], had[g]
+                        k += width
+                    for j, (_, _, largest) in enumerate(amounts):
+                        values[k + j] = max(values[k + j], old[k + j]) if largest else values[k + j] + old[k + j]
+                key, state = mine, (values, has)
+            types = [b.schema.field("_part").type, *[b.schema.field(o).type for o in outs]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], ["_p", *[f"_in_{o}" for o in outs]])
+
+    ends = rows.where("_kind <> 'row'").select(*chain_names).repartition(1).sortWithinPartitions("_part", "_kind")  # two rows a partition
+    incoming = F.broadcast(ends.mapInArrow(chain, incoming_schema))  # at most a row a partition
+    joined = rows.where("_kind = 'row'").join(incoming, (F.col("_part") == F.col("_p")) & (F.col("_open") > 0), "left")
+    done = [F.when(F.col("_open") == 2, F.col(f"_in_prev_{v}")).otherwise(F.col(f"prev_{v}")).alias(f"prev_{v}") for v in lags]
+    done += [F.when((F.col("_open") > 0) & ~F.col(f"_has{groups.index(w)}"), F.col(f"_in_last_{v}")).otherwise(F.col(f"last_{v}")).alias(f"last_{v}") for w, v in carried_of]
+    for _, out, largest in amounts:
+        other = F.coalesce(f"_in_{out}", F.lit(-1 if largest else 0))
+        done.append((F.greatest(F.col(out), other) if largest else F.col(out) + other).cast("long").alias(out))
+    return joined.select(*names, *done)
+
+
+def ranged_lag(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """``df`` with ``prev_<v>`` of the row before; see :func:`ranged_pass`."""
+    return ranged_pass(df, keys, order, lags=values)
 
 
 def ranged_sums(df: DataFrame, keys: list[str], order: list[str], amounts: dict[str, str]) -> DataFrame:
-    """``df`` with, for each ``amounts`` column and result name, the sum over the rows before (exclusive), within ``keys`` in ``order``.
-
-    The rows are range partitioned and written once with their running sums inside the partition; the sums of the partitions
-    before, one row a partition and key, are then added. ``order`` has no ties within ``keys``; a null amount counts as 0.
-    """
-    return _running(df, keys, order, amounts, False)
+    """``df`` with, for each column and result of ``amounts``, the sum over the rows before; see :func:`ranged_pass`."""
+    return ranged_pass(df, keys, order, sums=amounts)
 
 
 def ranged_sum(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
     """:func:`ranged_sums` of one column."""
-    return _running(df, keys, order, {amount: out}, False)
+    return ranged_pass(df, keys, order, sums={amount: out})
 
 
 def ranged_max(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str) -> DataFrame:
-    """As :func:`ranged_sum`, the greatest ``amount`` (0 to 2 ** 40) of the rows before; -1 where there is none. Nulls don't count."""
-    return _running(df, keys, order, {amount: out}, True)
-
-
-def ranged_last(df: DataFrame, keys: list[str], order: list[str], values: list[str], when: str, prefix: str = "last_") -> DataFrame:
-    """``df`` with ``last_<v>`` of the latest row before whose boolean column ``when`` is true, within ``keys`` in ``order``; null without one.
-
-    Rows are range partitioned and written once. Only the rows of a partition's first key that come before its first true row depend on
-    other partitions: they take what the partitions before, one row each, leave over.
-    """
-    names = df.columns
-    at, of, flag = [names.index(c) for c in keys], [names.index(v) for v in values], names.index(when)
-    marks = df.select(*[F.col(v).alias(f"{prefix}{v}") for v in values], F.lit(True).alias("_open"), F.lit("row").alias("_kind"), F.lit(True).alias("_has"), F.lit(0).alias("_part")).schema
-    schema = type(df.schema)([type(f)(f.name, f.dataType, True) for f in [*df.schema.fields, *marks.fields]])
-    extra = [f.name for f in marks.fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        before = carried = types = None
-        first_key = True  # the partition's first key goes on
-
-        def mark(kind: str, row: list, vals: list | None) -> pa.RecordBatch:
-            cols = [pa.array([row[i].as_py() if i in at else None], t) for i, t in enumerate(types)]
-            cols += [pa.array([None if vals is None else vals[k].as_py()], types[i]) for k, i in enumerate(of)]
-            cols += [pa.array([False]), pa.array([kind]), pa.array([vals is not None]), pa.array([part], pa.int32())]
-            return pa.RecordBatch.from_arrays(cols, [*names, *extra])
+    """``df`` with the greatest ``amount`` (0 to 2 ** 40) of the rows before, -1 where there is none; see :func:`ranged_pass`."""
+    return ranged_pass(df, keys, order, maxes={amount: out})
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [one_array(c) for c in b.columns]
-            n = b.num_rows
-            new = np.zeros(n, bool)
-            for i in at:
-                new |= changed(cols[i], None if before is None else before[i])
-            if before is None:
-                types = [c.type for c in cols]
-                yield mark("start", [c[0] for c in cols], None)
-                new[0] = False
-            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # -1: the key that was open before the batch
-            true = pc.fill_null(cols[flag], False).to_numpy(zero_copy_only=False)
-            latest = np.r_[-1, np.maximum.accumulate(np.where(true, np.arange(n), -1))[:-1]]
-            inside = latest >= np.maximum(begin, 0)
-            onward = ~inside & (begin < 0)
-            source = np.where(inside, latest + 1, 0)
-            missing = ~inside & ~(onward & (carried is not None))
-            take = pa.array(source, mask=missing)
-            lagged = [pa.concat_arrays([pa.array([None if carried is None else carried[k].as_py()], types[i]), cols[i]]).take(take) for k, i in enumerate(of)]
-            open_ = onward & (carried is None) & first_key
-            yield pa.RecordBatch.from_arrays([*cols, *lagged, pa.array(open_), pa.array(["row"] * n), pa.array(~missing), pa.array(np.full(n, part), pa.int32())], [*names, *extra])
-            if new.any():
-                first_key = False
-                carried = None
-            seen = np.flatnonzero(true)
-            if len(seen) and seen[-1] >= max(begin[-1], 0):
-                carried = [cols[i][int(seen[-1])] for i in of]
-            before = [c[-1] for c in cols]
-        if before is not None:
-            yield mark("stop", before, carried)
 
-    rows = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema))
-    own = [F.col(f"{prefix}{v}") for v in values]
-    w = Window.partitionBy(*keys).orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.last(F.when(F.col("_has"), F.struct(*own)), ignorenulls=True).over(w)
-    carry = rows.where("_kind <> 'row'").withColumn("_carry", left).where("_kind = 'start' and _carry is not null").select(F.col("_part").alias("_p"), "_carry")
-    plain = rows.where("_kind = 'row'")
-    done = plain.where("not _open")
-    fixed = plain.where("_open").join(F.broadcast(carry), F.col("_part") == F.col("_p"), "left")  # at most a row a partition
-    fixed = fixed.select(*names, *[F.col("_carry")[f"{prefix}{v}"].alias(f"{prefix}{v}") for v in values])
-    return done.select(*names, *[f"{prefix}{v}" for v in values]).unionByName(fixed)
+def ranged_last(df: DataFrame, keys: list[str], order: list[str], values: list[str], when: str) -> DataFrame:
+    """``df`` with ``last_<v>`` of the latest row before at which ``when`` is true; see :func:`ranged_pass`."""
+    return ranged_pass(df, keys, order, lasts={when: values})

@@ -16,7 +16,7 @@ def p4_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    h = value_history(table(spark, d, "entry_log"))
+    h = value_history(table(spark, d, "entry_log"), values=False)
     return h.select(F.lower(F.hex("key")).alias("key_hex"), "valid_from", "valid_to")
 
 

@@ -54,6 +54,8 @@ def test_rules(spark):
     assert rows_of(H.value_history(df)) == want
     assert rows_of(H.value_history(df, snapshots=1, fanout=2, depth=1)) == want
     assert rows_of(H.value_history(df.where("false"))) == []
+    hashed = H.value_history(df, values=False)
+    assert sorted((bytes(r.key), r.valid_from, r.valid_to) for r in hashed.collect()) == [(k, a, b) for k, _, a, b in want]
 
 
 def test_periods_of_a_hot_key(spark):
@@ -91,4 +93,57 @@ def test_snapshot_diff(spark):
     want = {("added", k, *now[k]) for k in now.keys() - was.keys()} | {("removed", k, *was[k]) for k in was.keys() - now.keys()} | {("changed", k, *now[k]) for k in now.keys() & was.keys() if now[k] != was[k]}
     assert got == want
     assert H.snapshot_diff(a, a, "id", ["n", "v"]).collect() == []
-    assert H.changed_leaves(H.leaf_digests(a.withColumn("s", F.lit(0)), "id", "s", ["n"]), H.leaf_digests(a.withColumn("s", F.lit(0)), "id", "s", ["n"])).collect() == []
+    assert H.snapshot_diff(a.where("false"), a.where("false"), "id", ["n", "v"]).collect() == []
+
+
+def log_of(rng, keys, versions, moves):
+    """An entry log of ``versions`` a key, of which the share ``moves`` changes the value and the others repeat it."""
+    rows, sn = [], 0
+    for k in range(keys):
+        before, value = -1, 0
+        for v in sorted(rng.sample(range(1, 4000), versions)):
+            value += rng.random() < moves
+            rows.append((k % 4, sn, b"%020d" % k, b"%d" % (value % 2), v, before, [], sn))
+            before, sn = v, sn + 1
+    rng.shuffle(rows)
+    return rows
+
+
+def plain_history(rows):
+    return sorted(plain_periods([(r[2], r[4], r[3], "set") for r in rows]))
+
+
+def test_trees_decide_what_is_read(spark):
+    """Fewer changes, fewer leaf buckets and rows; a value that changes back between two snapshots is seen; a lost bucket loses periods."""
+    rng = random.Random(9)
+    read = {}
+    for moves in (0.02, 0.3, 1.0):
+        rows = log_of(rng, 300, 12, moves)
+        df = spark.createDataFrame(rows, SCHEMA)
+        points = H.cut(H.value_points(df, 8))
+        snaps = H.cut(H.snapshot_rows(points))
+        depth = H.depth_of(300)
+        leaves = H.changed_leaves(H.leaf_digests(snaps, H.FANOUT**depth), depth).cache()
+        differ = H.changed_rows(snaps, depth)
+        kept = points.join(differ.select("snapshot", "key"), ["snapshot", "key"], "left_semi")
+        read[moves] = (leaves.count(), kept.count())
+        assert rows_of(H.value_history(df, 8)) == rows_of(H.periods(kept)) == plain_history(rows)
+        one = leaves.join(snaps.where("was is not null and was <> now").withColumn("leaf", H.leaf_of("key", H.FANOUT**depth)), ["snapshot", "leaf"], "left_semi").first()
+        lost = kept.withColumn("leaf", H.leaf_of("key", H.FANOUT**depth)).where((F.col("snapshot") != one.snapshot) | (F.col("leaf") != one.leaf))
+        assert lost.count() < kept.count() and rows_of(H.periods(lost)) != plain_history(rows)
+    assert read[0.02][0] < read[0.3][0] < read[1.0][0] and read[0.02][1] < read[0.3][1] < read[1.0][1] == 3600
+
+
+def test_histories_do_not_depend_on_how_partitions_are_joined(spark):
+    """Small target sizes make adaptive execution join partitions differently; no period may get lost at a boundary."""
+    rng = random.Random(11)
+    rows = log_of(rng, 20, 200, 0.6)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    for size in ("1b", "4k", "64m"):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        try:
+            assert rows_of(H.value_history(df)) == plain_history(rows)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")

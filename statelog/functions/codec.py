@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from statelog.config import SENTRIES, TWIG_LEAVES
 
 
-def _flip(digits: Column) -> Column:
-    """Hex digits with the order of their bytes turned round."""
-    return F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), "")
+def _flip(digits: Column, n: int = 8) -> Column:
+    """Hex digits of ``n`` bytes with the order of the bytes turned round."""
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))])
 
 
 def le8(x: Column) -> Column:
@@ -19,7 +19,7 @@ def le8(x: Column) -> Column:
 
 
 def le3(x: Column) -> Column:
-    return F.unhex(_flip(F.lpad(F.hex(x.cast("long")), 6, "0")))
+    return F.unhex(_flip(F.lpad(F.hex(x.cast("long")), 6, "0"), 3))
 
 
 def be8(x: Column) -> Column:
@@ -91,7 +91,7 @@ def entry_fields(b: Column) -> dict[str, Column]:
     """Fields of a serialised entry."""
     part = lambda at, n: F.substring(b, at, n)
     klen = F.conv(F.hex(part(F.lit(1), F.lit(1))), 16, 10).cast("int")
-    vlen = F.conv(_flip(F.hex(part(F.lit(2), F.lit(3)))), 16, 10).cast("int")
+    vlen = F.conv(_flip(F.hex(part(F.lit(2), F.lit(3))), 3), 16, 10).cast("int")
     n = F.conv(F.hex(part(F.lit(5), F.lit(1))), 16, 10).cast("int")
     start = F.ceil((F.lit(5) + klen + vlen) / 8).cast("int") * 8
     number = lambda at: from_le8(part(start + at, F.lit(8)))

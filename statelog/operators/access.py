@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from statelog.functions.codec import sha256
 from statelog.functions.spelling import member_set, prefixed_hex, slot_set
 from statelog.operators.activity import distinct_blocks
-from statelog.operators.ranged import ranged_lag, ranged_max, ranged_sum
+from statelog.operators.ranged import ranged_lag, ranged_pass, ranged_sum
 
 
 def distinct_txs(txs: DataFrame) -> DataFrame:
@@ -45,8 +45,14 @@ def access_rows(sets: DataFrame) -> DataFrame:
 
 
 def numbered(sets: DataFrame) -> DataFrame:
-    """``sets`` with ``pos``: place of the transaction among all, by height, index and id."""
-    return ranged_sum(sets.withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1).cast("long")), ["_all"], ["height", "tx_idx", "txid"], "_one", "pos").drop("_all", "_one")
+    """``sets`` with ``pos``: place of the transaction among all, by height, index and id.
+
+    Only the three columns of the order go through range partitions; the sets are joined by them.
+    """
+    at = ["height", "tx_idx", "txid"]
+    narrow = sets.select(*at, F.lit(0).alias("_all"), F.lit(1).cast("long").alias("_one"))
+    placed = ranged_sum(narrow, ["_all"], at, "_one", "pos").select(*at, "pos")
+    return sets.join(placed, at)
 
 
 def collisions(rows: DataFrame) -> DataFrame:
@@ -69,11 +75,11 @@ def last_collision(sets: DataFrame, single_set: bool = False) -> DataFrame:
     both = F.array(F.struct(F.lit(False).alias("writes"), F.col("r").alias("hs")), F.struct(F.lit(True).alias("writes"), F.col("w").alias("hs")))
     touch = sets.select("pos", F.explode(both).alias("m")).select("pos", "m.writes", F.explode("m.hs").alias("hash"))
     touch = touch.groupBy("hash", "pos").agg(F.max("writes").alias("writes"))
-    touched = ranged_lag(touch, ["hash"], ["pos"], ["pos"])
     if single_set:
+        touched = ranged_lag(touch, ["hash"], ["pos"], ["pos"])
         last = F.coalesce("prev_pos", F.lit(-1))
     else:
-        touched = ranged_max(touched.withColumn("_written", F.when(F.col("writes"), F.col("pos"))), ["hash"], ["pos"], "_written", "wrote")
+        touched = ranged_pass(touch.withColumn("_written", F.when(F.col("writes"), F.col("pos"))), ["hash"], ["pos"], lags=["pos"], maxes={"_written": "wrote"})
         last = F.when(F.col("writes"), F.coalesce("prev_pos", F.lit(-1))).otherwise(F.col("wrote"))
     hit = touched.groupBy("pos").agg(F.max(last).alias("last"))
     return sets.select("pos").join(hit, "pos", "left").na.fill(-1, ["last"])

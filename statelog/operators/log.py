@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from statelog.config import COMPACT_DIV, COMPACT_FACTOR, COMPACT_LEAST, SENTRIES
 from statelog.functions.codec import entry_bytes, entry_length, k16
-from statelog.operators.ranged import ranged_lag, ranged_last, ranged_sums
+from statelog.operators.ranged import ranged_pass, ranged_sums
 from statelog.operators.state import sentry_keys
 from statelog.runtime import cut
 
@@ -55,52 +55,57 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
 
 
-def touches(classes: DataFrame) -> DataFrame:
-    """Entries touched by classified operations: ``(shard_id, entity, version, op_seq, sub, kind, unlinks, key, value, next_key_hash, last_version)``.
+def touch_rows(classes: DataFrame) -> DataFrame:
+    """Which entries the classified operations touch: ``(shard_id, entity, version, op_seq, sub, kind, key, value, next_key_hash, unlinks)``.
 
-    Only creations and deletions, which change the list, go through the ordered pass over their prefix. A written entry's link and a
-    relinked entry's key and value are those of its touches before, which are found over range partitions, so a key that is written
-    in a third of all operations costs no long task.
+    Only creations and deletions, which change the list, go through the ordered pass over their prefix; a key that is written in a
+    third of all operations costs no long task. What a touch doesn't set itself is null.
     """
     acts = classes.where("effect <> 'noop'").select(k16(F.col("key_hash")).alias("p"), "shard_id", "key_hash", "key", F.coalesce("value", F.unhex(F.lit(""))).alias("value"), "effect", "version", F.col("op_seq").cast("long").alias("op_seq"))
     linked = acts.where("effect <> 'write'").repartition("p").sortWithinPartitions("p", "version", "op_seq").mapInArrow(_links, _LINK)
     none = F.lit(None).cast("binary")
     written = acts.where("effect = 'write'").select("shard_id", F.col("key_hash").alias("entity"), "version", "op_seq", F.lit(0).alias("sub"), F.lit("write").alias("kind"), "key", "value", none.alias("next_key_hash"), F.lit(False).alias("unlinks"))
-    t = linked.unionByName(written).withColumn("sets", F.col("kind").isin("new", "write")).withColumn("links", F.col("next_key_hash").isNotNull())
-    order = ["version", "op_seq", "sub"]
-    t = ranged_lag(t, ["shard_id", "entity"], order, ["version"])
-    t = ranged_last(t, ["shard_id", "entity"], order, ["next_key_hash"], "links")
-    t = ranged_last(t, ["shard_id", "entity"], order, ["key", "value"], "sets")
-    relinked = F.col("kind") == "prev"
-    first = F.col("last_key").isNull()  # a sentry that nothing touched before
-    return t.select(
-        "shard_id", "entity", "version", "op_seq", "sub", "kind", "unlinks",
-        F.when(relinked, F.coalesce("last_key", "entity")).otherwise(F.col("key")).alias("key"),
-        F.when(relinked, F.when(first, F.unhex(F.lit(""))).otherwise(F.col("last_value"))).otherwise(F.col("value")).alias("value"),
-        F.coalesce("next_key_hash", F.when(F.col("kind") == "write", F.col("last_next_key_hash"))).alias("next_key_hash"),
-        F.when(F.col("kind") == "new", -1).when(F.col("kind") != "gone", F.coalesce("prev_version", F.lit(0))).cast("long").alias("last_version"),
-    )
+    return linked.unionByName(written)
 
 
-def entry_log(classes: DataFrame) -> DataFrame:
+def entry_log(classes: DataFrame, positions: bool = True) -> DataFrame:
     """Log rows of classified operations (see :func:`statelog.operators.changes.classified`), without the sentries' first entries.
 
     ``(shard_id, sn, entity, key, value, next_key_hash, version, last_version, dsn, length, file_pos, kind, op_seq, sub)``. Serial numbers go on
-    from the sentries'. A null value is stored as empty. No operations give no rows.
+    from the sentries'. A null value is stored as empty. No operations give no rows. Two passes over range partitions: serial numbers in
+    the order of a shard, then an entity's link, key, value, version and number from its touches before. Without ``positions``,
+    file_pos is null and a third, narrow pass is saved.
     """
-    replaced = F.when(F.col("kind").isin("new", "gone"), 0).when(F.col("unlinks"), 2).otherwise(1)
-    touched = touches(classes).withColumn("one", (F.col("kind") != "gone").cast("long")).withColumn("length", F.when(F.col("kind") == "gone", 0).otherwise(_length() + replaced * 8).cast("long"))
+    t = touch_rows(classes).withColumn("one", (F.col("kind") != "gone").cast("long"))
     order = ["version", "op_seq", "sub"]
-    placed = ranged_sums(touched, ["shard_id"], order, {"one": "rank", "length": "before"}).withColumn("sn", F.col("rank") + SENTRIES)
-    own = ranged_lag(placed.drop("rank", "one"), ["shard_id", "entity"], order, ["sn"])
+    t = ranged_sums(t, ["shard_id"], order, {"one": "rank"}).withColumn("sn", F.col("rank") + SENTRIES).drop("one", "rank")
+    t = t.withColumn("sets", F.col("kind").isin("new", "write")).withColumn("links", F.col("next_key_hash").isNotNull())
+    t = cut(ranged_pass(t, ["shard_id", "entity"], order, lags=["version", "sn"], lasts={"links": ["next_key_hash"], "sets": ["key", "value"]}))
     sentry_sn = F.conv(F.hex(F.substring("entity", 1, 2)), 16, 10).cast("long").bitwiseAND(SENTRIES - 1)
-    own = cut(own.withColumn("old_sn", F.coalesce("prev_sn", sentry_sn)))
-    gone = own.where("kind = 'gone'").select("shard_id", "version", "op_seq", F.col("old_sn").alias("gone_sn"))
-    rows = own.where("kind <> 'gone'").join(gone, ["shard_id", "version", "op_seq"], "left")
+    old_sn = F.coalesce("prev_sn", sentry_sn)
+    gone = t.where("kind = 'gone'").select("shard_id", "version", "op_seq", old_sn.alias("gone_sn"))
+    rows = t.where("kind <> 'gone'").withColumn("old_sn", old_sn).join(gone, ["shard_id", "version", "op_seq"], "left")
+    relinked = F.col("kind") == "prev"
+    first = F.col("last_key").isNull()  # a sentry that nothing touched before
     none = F.array().cast("array<bigint>")
-    dsn = F.when(F.col("kind") == "new", none).when(F.col("gone_sn").isNotNull(), F.array("gone_sn", "old_sn")).otherwise(F.array("old_sn"))
-    pos = (F.lit(SENTRIES * _SENTRY_BYTES) + F.col("before")).cast("long")
-    return rows.select("shard_id", "sn", "entity", "key", "value", "next_key_hash", "version", "last_version", dsn.alias("dsn"), "length", pos.alias("file_pos"), "kind", "op_seq", "sub")
+    rows = rows.select(
+        "shard_id", "sn", "entity",
+        F.when(relinked, F.coalesce("last_key", "entity")).otherwise(F.col("key")).alias("key"),
+        F.when(relinked, F.when(first, F.unhex(F.lit(""))).otherwise(F.col("last_value"))).otherwise(F.col("value")).alias("value"),
+        F.coalesce("next_key_hash", F.when(F.col("kind") == "write", F.col("last_next_key_hash"))).alias("next_key_hash"),
+        "version",
+        F.when(F.col("kind") == "new", -1).otherwise(F.coalesce("prev_version", F.lit(0))).cast("long").alias("last_version"),
+        F.when(F.col("kind") == "new", none).when(F.col("gone_sn").isNotNull(), F.array("gone_sn", "old_sn")).otherwise(F.array("old_sn")).alias("dsn"),
+        "kind", "op_seq", "sub",
+    )
+    rows = rows.withColumn("length", (_length() + F.size("dsn") * 8).cast("long"))
+    out = ["shard_id", "sn", "entity", "key", "value", "next_key_hash", "version", "last_version", "dsn", "length", "file_pos", "kind", "op_seq", "sub"]
+    if not positions:
+        return rows.withColumn("file_pos", F.lit(None).cast("long")).select(*out)
+    rows = cut(rows)
+    before = ranged_sums(rows.select("shard_id", "sn", "length"), ["shard_id"], ["sn"], {"length": "before"})
+    at = before.select("shard_id", "sn", (F.lit(SENTRIES * _SENTRY_BYTES) + F.col("before")).cast("long").alias("file_pos"))
+    return rows.join(at, ["shard_id", "sn"]).select(*out)
 
 
 def _length():
@@ -116,9 +121,9 @@ def sentry_log(spark: SparkSession) -> DataFrame:
     return s.select("shard_id", "sn", F.col("key_hash").alias("entity"), F.col("key_hash").alias("key"), empty.alias("value"), "next_key_hash", F.lit(0).cast("long").alias("version"), F.lit(-1).cast("long").alias("last_version"), none.alias("dsn"), F.lit(_SENTRY_BYTES).cast("long").alias("length"), (F.col("sn") * _SENTRY_BYTES).alias("file_pos"), F.lit("sentry").alias("kind"), F.lit(0).cast("long").alias("op_seq"), F.lit(0).alias("sub"))
 
 
-def whole_log(classes: DataFrame) -> DataFrame:
-    """Sentries and appended entries."""
-    return sentry_log(classes.sparkSession).unionByName(entry_log(classes))
+def whole_log(classes: DataFrame, positions: bool = False) -> DataFrame:
+    """Sentries and appended entries; without file positions unless they are asked for."""
+    return sentry_log(classes.sparkSession).unionByName(entry_log(classes, positions))
 
 
 def encoded(log: DataFrame) -> DataFrame:

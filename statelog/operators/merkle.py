@@ -111,11 +111,22 @@ def roots_of(nodes: DataFrame) -> DataFrame:
     return nodes.where("level >= 12").groupBy("shard_id").agg(F.max(F.struct("level", "nth", "hash")).alias("n")).select("shard_id", "n.level", F.col("n.hash").alias("root_hash"))
 
 
-def all_nodes(log: DataFrame, active: DataFrame) -> DataFrame:
-    """Every node of every shard's tree: ``(shard_id, level, nth, hash)``."""
+def tree(log: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each twig's trees in a row (see :func:`twig_trees`) and the nodes of levels 12 and up, both written once."""
     twigs = cut(twig_trees(leaf_hashes(log), active.select("shard_id", "sn")))
     roots = twigs.select("shard_id", F.col("twig").alias("nth"), F.col("twig_root").alias("hash"))
-    return twig_nodes(twigs).unionByName(upper_nodes(roots))
+    return twigs, cut(roots.select("shard_id", F.lit(12).alias("level"), "nth", "hash").unionByName(upper_nodes(roots)))
+
+
+def all_nodes(log: DataFrame, active: DataFrame) -> DataFrame:
+    """Every node of every shard's tree: ``(shard_id, level, nth, hash)``."""
+    twigs, upper = tree(log, active)
+    return nodes_of_tree(twigs, upper)
+
+
+def nodes_of_tree(twigs: DataFrame, upper: DataFrame) -> DataFrame:
+    """The two tables of :func:`tree` as ``(shard_id, level, nth, hash)``."""
+    return twig_nodes(twigs).where("level < 12").unionByName(upper.select("shard_id", "level", "nth", "hash"))
 
 
 def updated_twigs(old: DataFrame, log: DataFrame, active: DataFrame, touched: DataFrame) -> DataFrame:

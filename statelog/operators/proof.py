@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statelog.functions.codec import be8, byte, sn_to_leaf
+from statelog.functions.codec import be8, byte, from_le8, le8, sn_to_leaf
 from statelog.functions.hashing import null_bits, null_left, null_upper
 from statelog.operators.merkle import leaf_hashes
+from statelog.operators.ranged import ranged_sums
 from statelog.runtime import cut
 
 
@@ -28,26 +29,56 @@ def _with_hash(positions: DataFrame, nodes: DataFrame, nth: str, out: str) -> Da
     return j.withColumn(out, F.coalesce(out, null_hash(F.col("level"), F.col(nth))))
 
 
-def _path(first: Column, last: Column, nth0: Column, level0: Column, part: str) -> Column:
-    return F.transform(F.sequence(first, last), lambda lv: F.struct(F.lit(part).alias("part"), lv.alias("level"), F.call_function("shiftright", nth0, lv - level0).alias("nth")))
+#: Type of a proof's step: the part of the path, the node's level and place, its hash, its sibling's, and the sibling's side.
+_STEP = "struct<part:string,level:int,nth:bigint,self_hash:binary,peer_hash:binary,peer_at_left:boolean>"
 
 
-def proof_rows(sns: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Proof of each ``(shard_id, sn)``: ``(shard_id, sn, part, level, nth, self_hash, peer_hash, peer_at_left)``.
+def _twig_steps(s: Column) -> Column:
+    """Steps inside a twig (columns ``twig``, ``h0 .. h11``, ``b8 .. b11``) of the entry at place ``s`` in it, up to level 11."""
+    shift = lambda n: F.call_function("shiftright", s, F.lit(n))
 
-    ``left`` holds levels 0 to 10 from the leaf, ``right`` levels 8 to 10 from its page of liveness bits, ``upper`` level 11 and up to
+    def step(part: str, level: int, cells: str, at: Column, nth: Column, null: bytes) -> Column:
+        hash_ = lambda i: F.coalesce(F.get(F.col(cells), i), F.lit(null))
+        odd = at.bitwiseAND(1)
+        return F.struct(F.lit(part).alias("part"), F.lit(level).alias("level"), nth.alias("nth"), hash_(at).alias("self_hash"), hash_(at.bitwiseXOR(1)).alias("peer_hash"), (odd == 1).alias("peer_at_left"))
+
+    twig = F.col("twig")
+    steps = [step("left", lv, f"h{lv}", shift(lv), twig * (4096 >> lv) + shift(lv), null_left(lv)) for lv in range(11)]
+    steps += [step("right", lv, f"b{lv}", shift(lv), twig * (4096 >> lv) + (2048 >> lv) + shift(lv), null_bits(lv)) for lv in range(8, 11)]
+    roots = [F.coalesce(F.get(F.col(c), F.lit(0)), F.lit(null)).alias(name) for c, name, null in (("h11", "self_hash", null_left(11)), ("b11", "peer_hash", null_bits(11)))]
+    steps.append(F.struct(F.lit("upper").alias("part"), F.lit(11).alias("level"), (twig * 2).alias("nth"), *roots, F.lit(False).alias("peer_at_left")))
+    return F.array(*steps).cast(f"array<{_STEP}>")
+
+
+def proof_paths(sns: DataFrame, twigs: DataFrame, upper: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(shard_id, sn, steps)``: the proof of each ``(shard_id, sn)`` as an array of steps.
+
+    Part ``left`` holds levels 0 to 10 from the leaf, ``right`` levels 8 to 10 from its page of liveness bits, ``upper`` level 11 and up to
     below the root in ``roots(shard_id, level)``. Serial numbers beyond the log are unused leaves, which can be proven too.
+    ``twigs`` and ``upper`` are those of :func:`~statelog.operators.merkle.tree`. The asked numbers of a twig, 2048 at most, meet its one row,
+    where both hashes of every step lie; the steps above are the same for all of them and are found once a twig.
     """
-    leaf = sn_to_leaf(F.col("sn"))
-    page = F.shiftleft(F.shiftright("sn", 11), 4) + 8 + F.shiftright("sn", 8).bitwiseAND(7)
-    twig = F.shiftright("sn", 11)
-    zero = F.lit(0)
-    at = sns.select("shard_id", "sn").distinct().join(F.broadcast(roots.select("shard_id", F.col("level").alias("top"))), "shard_id")  # a row a shard
-    upper = F.transform(F.sequence(F.lit(11), F.col("top") - 1), lambda lv: F.struct(F.lit("upper").alias("part"), lv.cast("int").alias("level"), F.when(lv == 11, twig * 2).otherwise(F.call_function("shiftright", twig, F.greatest(lv - 12, zero))).alias("nth")))
-    paths = F.concat(_path(zero, F.lit(10), leaf, zero, "left"), _path(F.lit(8), F.lit(10), page, F.lit(8), "right"), upper)
-    p = at.select("shard_id", "sn", F.explode(paths).alias("p")).select("shard_id", "sn", "p.part", "p.level", "p.nth", F.col("p.nth").bitwiseXOR(1).alias("peer"))
-    p = _with_hash(_with_hash(p, nodes, "nth", "self_hash"), nodes, "peer", "peer_hash")
-    return p.select("shard_id", "sn", "part", "level", "nth", "self_hash", "peer_hash", (F.col("peer") < F.col("nth")).alias("peer_at_left"))
+    asked = sns.groupBy("shard_id", F.shiftright("sn", 11).alias("twig")).agg(F.collect_set(F.col("sn").bitwiseAND(2047).cast("int")).alias("places"))
+    asked = asked.join(F.broadcast(roots.select("shard_id", F.col("level").alias("top"))), "shard_id")  # a row a shard
+    levels = F.when(F.col("top") > 12, F.sequence(F.lit(12), F.col("top") - 1)).otherwise(F.array().cast("array<int>"))
+    above = asked.select("shard_id", "twig", F.explode(levels).alias("level")).withColumn("nth", F.expr("shiftright(twig, level - 12)"))
+    above = above.withColumn("parent", F.shiftright("nth", 1))
+    side = lambda k: F.max(F.when(F.col("nth").bitwiseAND(1) == k, F.col("hash")))
+    pairs = upper.groupBy("shard_id", "level", F.shiftright("nth", 1).alias("parent")).agg(side(0).alias("l"), side(1).alias("r"))
+    met = above.join(pairs, ["shard_id", "level", "parent"], "left")
+    null, odd = null_hash(F.col("level"), F.col("nth")), F.col("nth").bitwiseAND(1) == 1
+    left, right = F.coalesce("l", null), F.coalesce("r", null)
+    step = F.struct(F.lit("upper").alias("part"), F.col("level").cast("int").alias("level"), "nth", F.when(odd, right).otherwise(left).alias("self_hash"), F.when(odd, left).otherwise(right).alias("peer_hash"), odd.alias("peer_at_left"))
+    ups = met.groupBy("shard_id", "twig").agg(F.array_sort(F.collect_list(step)).alias("ups"))  # at most as many as the tree has levels
+    j = asked.select("shard_id", "twig", "places").join(ups, ["shard_id", "twig"], "left").join(twigs, ["shard_id", "twig"], "left")
+    ups = F.coalesce("ups", F.array().cast(f"array<{_STEP}>"))
+    of = F.transform("places", lambda s: F.struct((F.col("twig") * 2048 + s).alias("sn"), F.concat(_twig_steps(s), ups).alias("steps")))
+    return j.select("shard_id", F.explode(of).alias("p")).select("shard_id", "p.sn", "p.steps")
+
+
+def proof_rows(paths: DataFrame) -> DataFrame:
+    """:func:`proof_paths` with a row a step."""
+    return paths.select("shard_id", "sn", F.explode("steps").alias("s")).select("shard_id", "sn", "s.*")
 
 
 def _fold(steps: Column, start: Column) -> Column:
@@ -58,28 +89,28 @@ def _fold(steps: Column, start: Column) -> Column:
     return F.aggregate(steps, start, step)
 
 
-def check_proofs(proofs: DataFrame, roots: DataFrame) -> DataFrame:
+def _part(name: str) -> Column:
+    return F.filter("steps", lambda s: s["part"] == name)
+
+
+def check_proofs(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """``(shard_id, sn, valid)``: whether leaf and liveness page lead to the shard's root and to each other's half of the twig."""
-    g = proofs.groupBy("shard_id", "sn").agg(F.array_sort(F.collect_list(F.struct("part", "level", "self_hash", "peer_hash", "peer_at_left"))).alias("steps"))
-    part = lambda n: F.filter("steps", lambda s: s["part"] == n)
-    g = g.withColumn("l", part("left")).withColumn("r", part("right")).withColumn("u", part("upper"))
+    g = paths.withColumn("l", _part("left")).withColumn("r", _part("right")).withColumn("u", _part("upper"))
     g = g.withColumn("left_root", _fold(F.col("l"), F.get("l", F.lit(0))["self_hash"])).withColumn("bits_root", _fold(F.col("r"), F.get("r", F.lit(0))["self_hash"]))
     g = g.withColumn("found_root", _fold(F.col("u"), F.col("left_root")))
     fits = (F.col("left_root") == F.get("u", F.lit(0))["self_hash"]) & (F.col("bits_root") == F.get("u", F.lit(0))["peer_hash"])
     return g.join(F.broadcast(roots.select("shard_id", "root_hash")), "shard_id").select("shard_id", "sn", (fits & (F.col("found_root") == F.col("root_hash"))).alias("valid"))
 
 
-def encode_proofs(proofs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(shard_id, sn, proof)``: serial number, leaf hash, peers of the left part, page hash, peers of the right and upper part, root.
+def encode_proofs(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(shard_id, proof)``: serial number (8 bytes, least first), leaf hash, peers of the left part, page, peers of the right and upper part, root.
 
     Sides follow from the bits of the serial number, so they aren't stored.
     """
-    g = proofs.groupBy("shard_id", "sn").agg(F.array_sort(F.collect_list(F.struct("part", "level", "self_hash", "peer_hash"))).alias("steps"))
-    part = lambda n: F.filter("steps", lambda s: s["part"] == n)
     joined = lambda a: F.aggregate(a, F.unhex(F.lit("")), lambda acc, s: F.concat(acc, s["peer_hash"]))
     upper = F.filter("steps", lambda s: (s["part"] == "upper") & (s["level"] > 11))
-    body = F.concat(be8(F.col("sn")), F.get(part("left"), F.lit(0))["self_hash"], joined(part("left")), F.get(part("right"), F.lit(0))["self_hash"], joined(part("right")), joined(upper), F.col("root_hash"))
-    return g.join(F.broadcast(roots.select("shard_id", "root_hash")), "shard_id").select("shard_id", "sn", body.alias("proof"))
+    body = F.concat(le8(F.col("sn")), F.get(_part("left"), F.lit(0))["self_hash"], joined(_part("left")), F.get(_part("right"), F.lit(0))["self_hash"], joined(_part("right")), joined(upper), F.col("root_hash"))
+    return paths.join(F.broadcast(roots.select("shard_id", "root_hash")), "shard_id").select("shard_id", body.alias("proof"))
 
 
 def decode_proofs(encoded: DataFrame) -> DataFrame:
@@ -87,8 +118,9 @@ def decode_proofs(encoded: DataFrame) -> DataFrame:
     p = F.col("proof")
     h = lambda i: F.substring(p, F.lit(9) + F.lit(32) * i, F.lit(32))
     n = ((F.length("proof") - 8) / 32).cast("int")
+    encoded = encoded.withColumn("sn", from_le8(F.substring(p, 1, 8)))
     sn = F.col("sn")
-    side = lambda shift: F.shiftright(sn, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), shift)) != 0
+    side = lambda shift: sn.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), shift)) != 0
     steps = lambda first, count, level, bit: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((F.lit(level) + i).alias("level"), h(F.lit(first) + i).alias("peer_hash"), side(F.lit(bit) + i).alias("peer_at_left")))
     d = encoded.withColumn("left_root", _fold(steps(1, F.lit(11), 0, 0), h(F.lit(0)))).withColumn("bits_root", _fold(steps(13, F.lit(3), 8, 8), h(F.lit(12))))
     twig = F.unhex(F.sha2(F.concat(byte(F.lit(11)), F.col("left_root"), F.col("bits_root")), 256))
@@ -118,14 +150,38 @@ def witness(sns: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return w.withColumn("place", F.call_function("shiftleft", F.col("nth"), F.col("level")))
 
 
-def witness_bytes(w: DataFrame) -> DataFrame:
-    """``(shard_id, witness)``: level (1 byte), nth (8, most significant first), kind (0 null, 1 hash, 2 entry) and hash of each node in order."""
+_NULL, _HASH, _ENTRY = 0, 1, 2
+
+
+def witness_bytes(w: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(shard_id, place, bytes)``: each node of a witness serialised; a shard's witness is its rows' bytes in the order of ``place``.
+
+    Level (1 byte), nth (8, most significant first) and kind (1): 0 for a null node, 1 with its hash, 2 with the place (8 bytes) of the
+    entry in ``entries(shard_id, sn)`` whose leaf it is, counted from 0 by serial number. A row a node, so a witness of any length
+    is spread over partitions.
+    """
+    listed = entries.select("shard_id", "sn").distinct().withColumn("one", F.lit(1).cast("long"))
+    listed = ranged_sums(listed, ["shard_id"], ["sn"], {"one": "entry"}).select("shard_id", F.lit(0).alias("level"), sn_to_leaf(F.col("sn")).alias("nth"), "entry")
+    j = w.join(listed, ["shard_id", "level", "nth"], "left")
     is_null = F.col("hash") == null_hash(F.col("level"), F.col("nth"))
-    kind = F.when(F.col("given") & (F.col("level") == 0), 2).when(is_null, 0).otherwise(1)
-    row = F.concat(byte(F.col("level")), be8(F.col("nth")), byte(kind), F.when(kind == 0, F.unhex(F.lit(""))).otherwise(F.col("hash")))
-    rows = w.select("shard_id", F.struct("place", "level", "nth", row.alias("b")).alias("r"))
-    g = rows.groupBy("shard_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    return g.select("shard_id", F.aggregate("rs", F.unhex(F.lit("")), lambda acc, r: F.concat(acc, r["b"])).alias("witness"))
+    kind = F.when(is_null, _NULL).when(F.col("entry").isNotNull(), _ENTRY).otherwise(_HASH)
+    content = F.when(kind == _NULL, F.unhex(F.lit(""))).when(kind == _ENTRY, be8(F.col("entry"))).otherwise(F.col("hash"))
+    return j.select("shard_id", "place", F.concat(byte(F.col("level")), be8(F.col("nth")), byte(kind), content).alias("bytes"))
+
+
+def read_witness(encoded: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(shard_id, level, nth, hash)`` of rows of :func:`witness_bytes`; ``entries(shard_id, sn, leaf)`` gives the hashes of listed entries.
+
+    A row of an unknown kind or with an entry that isn't listed has a null hash, which no verification accepts.
+    """
+    b = F.col("bytes")
+    number = lambda at, n: F.conv(F.hex(F.substring(b, at, n)), 16, 10).cast("long")
+    w = encoded.select("shard_id", number(1, 1).cast("int").alias("level"), number(2, 8).alias("nth"), number(10, 1).alias("kind"), F.substring(b, 11, 32).alias("content"))
+    listed = entries.select("shard_id", "sn", "leaf").dropDuplicates(["shard_id", "sn"]).withColumn("one", F.lit(1).cast("long"))
+    listed = ranged_sums(listed, ["shard_id"], ["sn"], {"one": "entry"}).select("shard_id", be8(F.col("entry")).alias("content"), F.lit(_ENTRY).cast("long").alias("kind"), "leaf")
+    j = w.join(listed, ["shard_id", "kind", "content"], "left")
+    hash_ = F.when(F.col("kind") == _NULL, null_hash(F.col("level"), F.col("nth"))).when(F.col("kind") == _ENTRY, F.col("leaf")).when(F.col("kind") == _HASH, F.col("content"))
+    return j.select("shard_id", "level", "nth", hash_.alias("hash"))
 
 
 def verify_witness(w: DataFrame, roots: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def completed_prefix(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def compaction_log(spark: SparkSession, d: str) -> DataFrame:
     """Serial numbers with compaction from a thousand entries on, as soon as two hundredths of the log are dead."""
-    out = K.compacted_log(L.touches(classes_of(spark, d)), 102, 100, 1000)
+    out = K.compacted_log(L.touch_rows(classes_of(spark, d)), 102, 100, 1000)
     return out.select("shard_id", "sn", hx("entity").alias("entity"), "kind", "version", "op_seq", F.concat_ws(",", F.col("dsn").cast("array<string>")).alias("dsn"))
 
 

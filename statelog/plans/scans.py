@@ -89,7 +89,7 @@ def bloom_positions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {LOG} select shard_id, sn, (sn // 2048) * 4096 + sn % 2048 as leaf, 12 as level, sn // 2048 as nth, case when sn // 2048 = 0 then 12 else 12 + length(ltrim(bin((sn // 2048)::bigint), '0')) end::integer as top from log")
 def node_positions(spark: SparkSession, d: str) -> DataFrame:
     """Leaf places, twig nodes packed and unpacked, and the root's level when an entry's twig is the youngest."""
-    log = L.entry_log(classes_of(spark, d)).select("shard_id", "sn").withColumn("twig", F.shiftright("sn", 11))
+    log = L.entry_log(classes_of(spark, d), positions=False).select("shard_id", "sn").withColumn("twig", F.shiftright("sn", 11))
     pos = node_pos(F.lit(12), F.col("twig"))
     return log.select("shard_id", "sn", sn_to_leaf(F.col("sn")).alias("leaf"), pos_level(pos).alias("level"), pos_nth(pos).alias("nth"), max_level(F.col("twig")).alias("top"))
 

@@ -219,7 +219,7 @@ def key_hashes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {T.LOG} select shard_id, sn, entity, key, value, next_kh as next_key_hash, version, last_version, kind, array_to_string(dsn, ',') as dsn from log")
 def log_entries(spark: SparkSession, d: str) -> DataFrame:
     """Serial numbers, links, versions and replaced entries of every appended entry."""
-    log = L.entry_log(classes_of(spark, d))
+    log = L.entry_log(classes_of(spark, d), positions=False)
     return log.select("shard_id", "sn", hx("entity").alias("entity"), hx("key").alias("key"), hx("value").alias("value"), hx("next_key_hash").alias("next_key_hash"), "version", "last_version", "kind", F.concat_ws(",", F.col("dsn").cast("array<string>")).alias("dsn"))
 
 
@@ -231,7 +231,7 @@ def file_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {T.LOG} select shard_id, sn, {T.entry_hex()} as entry, sha256(unhex({T.entry_hex()})) as leaf from log")
 def entry_encode(spark: SparkSession, d: str) -> DataFrame:
-    e = L.encoded(L.entry_log(classes_of(spark, d)))
+    e = L.encoded(L.entry_log(classes_of(spark, d), positions=False))
     return e.select("shard_id", "sn", hx("entry").alias("entry"), F.lower(F.hex(sha256(F.col("entry")))).alias("leaf"))
 
 
@@ -239,7 +239,7 @@ def entry_encode(spark: SparkSession, d: str) -> DataFrame:
 def entry_decode(spark: SparkSession, d: str) -> DataFrame:
     """Fields read back from the serialised entries."""
     f = entry_fields(F.col("entry"))
-    e = L.encoded(L.entry_log(classes_of(spark, d))).select("shard_id", *[c.alias(k) for k, c in f.items()])
+    e = L.encoded(L.entry_log(classes_of(spark, d), positions=False)).select("shard_id", *[c.alias(k) for k, c in f.items()])
     return e.select("shard_id", "sn", hx("key").alias("key"), hx("value").alias("value"), hx("next_key_hash").alias("next_key_hash"), "version", "last_version", F.concat_ws(",", F.col("dsn").cast("array<string>")).alias("dsn"))
 
 
@@ -308,14 +308,18 @@ def shard_roots(spark: SparkSession, d: str) -> DataFrame:
     return roots.select("shard_id", F.col("level").cast("int").alias("level"), hx("root_hash").alias("root_hash"))
 
 
-def nodes_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def tree_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Log, live entries, twigs and upper nodes."""
     log, active = _log_and_active(spark, d)
-    return log, active, cut(M.all_nodes(log, active))
+    return log, active, *M.tree(log, active)
+
+
+def nodes_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    log, active, twigs, upper = tree_of(spark, d)
+    return log, active, M.nodes_of_tree(twigs, upper)
 
 
 @query("select 0::integer as shard_id, 0::integer as level, 0::bigint as nth where false")
 def tree_inconsistencies(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that don't fit their children: none."""
     return M.inconsistent(nodes_of(spark, d)[2]).select("shard_id", F.col("level").cast("int").alias("level"), "nth")
-
-

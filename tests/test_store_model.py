@@ -248,7 +248,7 @@ def plain_compaction(touches, factor, div, least):
 
 
 def test_compaction(ops):
-    touches = cut(L.touches(C.classified(ops)))
+    touches = cut(L.touch_rows(C.classified(ops)))
     rows_ = [(r.shard_id, bytes(r.entity), r.kind) for r in touches.orderBy("shard_id", "version", "op_seq", "sub").collect()]
     got = sorted((r.shard_id, r.sn, bytes(r.entity), r.kind, r.dsn) for r in K.compacted_log(touches, 101, 100, 500).collect())
     assert got == plain_compaction(rows_, 101, 100, 500)

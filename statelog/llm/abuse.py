@@ -14,37 +14,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statelog.llm.wording import plain_word, raw_words
 
-#: Labelled texts the classifier is fitted on at most, and the longest text among them. Scoring has no such bounds.
-FIT_TEXTS, FIT_CHARS = 10_000, 100_000
+#: Labelled texts that the classifier is fitted on at most, and characters of all of them together; texts are taken whole, in the order of a
+#: hash of their id, until one of the bounds is reached. Scoring has no such bounds.
+FIT_TEXTS, FIT_CHARS = 10_000, 100_000_000
 WINDOW = 10
 #: Spellings a worker remembers.
 CACHE = 500_000
 #: Texts (pages where known) a word or pair must occur in to be a feature.
 LEAST = 3
-EPOCHS, RATE, RIDGE, ANCHOR, COUNTERFACTUAL, SWAPS = 40, 0.3, 2e-4, 10_000, 0.5, 2
+EPOCHS, RATE, RIDGE, COUNTERFACTUAL, SWAPS = 40, 0.3, 2e-4, 0.5, 2
 THRESHOLD = 0.55
 
 # Words that name groups of people.
 IDENTITY_TERMS = """women men girls boys gays lesbians trans muslims jews christians hindus buddhists atheists immigrants refugees
 foreigners blacks whites asians africans arabs latinos americans europeans germans french spaniards russians poles turks chinese
-japanese indians mexicans roma gypsies disabled elderly quellish ferrowites zandorites talmarchers lunovars orvenni brunites keldans"""
-
-# Words that are mostly abusive or obscene, by language, and words that are so in some uses only.
-STRONG = """fuck fucked fucking fucker motherfucker shit shithead bullshit asshole arsehole dickhead dipshit cunt whore faggot nigger
-retard scumbag subhuman wanker twat slutty cocksucker pedo pervert nudes horny porn dumbass douchebag jackass imbecile moron
-arschloch arschlocher wichser hure hurensohn fotze missgeburt fickt ficken fresse schlampe scheisse drecksau untermensch
-connard connasse salope pute encule enculer foutre merde gueule batard putain bite nique
-puta puto mierda polla cabron gilipollas pendejo imbecil zorra chupame joder cono maricon
-сука блядь хуй хуи пизда ебать ебал мудак пидор говно шлюха ублюдок дебил мразь
-stronzo cazzo vaffanculo puttana merda coglione kurwa chuj"""
-WEAK = """idiot stupid loser ugly useless pathetic dumb bastard bitch slut cock cocks dick prick tits ass naked sexy nude kill die
-vermin rats rat cockroaches parasites filth scum trash pig pigs disease disgusting hate hang burn beaten drowned cancer rape
-dumm dummer ungeziefer dreck abschaum stirb vermine ordure creve basura asqueroso muere тварь урод сдохни паразиты"""
+japanese indians mexicans roma gypsies disabled elderly"""
 
 
 @dataclass
@@ -133,10 +122,8 @@ def _window_max(w: np.ndarray, first: np.ndarray, lens: np.ndarray) -> tuple[np.
 
 
 def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTITY_TERMS) -> Model:
-    """Fit on ``(text, label in [0, 1], page)``; no rows leave the fixed word lists to decide."""
-    groups = [g for g in identity.split()]
-    strong = {plain_word(w) for w in STRONG.split()}
-    weak = {plain_word(w) for w in WEAK.split()}
+    """Fit on ``(text, label in [0, 1], page)``. What is abusive follows from the labels alone; without any, every text has the same low score."""
+    groups = identity.split()
     spelled: dict[str, int] = {}  # a word as it stands in the texts -> number of its plain form
     plain: dict[str, int] = {}
     docs = []
@@ -154,23 +141,18 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
     if docs:
         pairs = [np.unique(d).astype(np.int64) + int(p) * len(names) for d, p in zip(docs, number, strict=True)]
         count += np.bincount(np.unique(np.concatenate(pairs)) % max(len(names), 1), minlength=len(names))
-    listed = strong | weak | set(groups)
+    listed = set(groups)
     known = sorted({w for w, n in zip(names, count.tolist(), strict=True) if n >= LEAST and "*" not in w} | listed)
     words = {w: i + 1 for i, w in enumerate(known)}  # 0: any other word
     n = len(words) + 1
     masked = {_mask(w): "" for w in names if "*" in w}
-    for w in (*sorted(strong), *sorted(weak), *known):  # listed words first, then any
+    for w in known:
         for shape in (w[0] + "." * (len(w) - 2) + w[-1], w[0] + "." * (len(w) - 1)) if len(w) > 2 else ():
             if shape in masked and not masked[shape]:
                 masked[shape] = w
     masked = {k: v for k, v in masked.items() if v}
-    prior = np.zeros(n)
-    for w in strong:
-        prior[words[w]] = 3.0
-    for w in weak - strong:
-        prior[words[w]] = 1.0
     bias = -2.5
-    model = Model(words, masked, prior.copy(), np.array([], np.int64), np.array([]), np.array([], np.int64), np.array([]), bias)
+    model = Model(words, masked, np.zeros(n), np.array([], np.int64), np.array([]), np.array([], np.int64), np.array([]), bias)
     to_id = np.array([words.get(masked.get(_mask(w), "") if "*" in w else w, 0) for w in names], np.int64)
     keep = [i for i, d in enumerate(docs) if len(d)]
     if not keep:
@@ -197,9 +179,7 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
     feats = [c.astype(np.int32) for c in columns]
     for f in feats:
         f[f < 0] = size  # a last weight that stays 0
-    full_prior = np.zeros(size + 1)
-    full_prior[:n] = prior
-    w = full_prior + _log_odds(feats, doc_of, y, page, size)
+    w = _log_odds(feats, doc_of, y, page, size)
     w[0] = w[size] = 0.0
     group_ids = np.array([words[g] for g in groups])
     is_group = np.isin(flat, group_ids)
@@ -230,7 +210,7 @@ def fit(rows: list[tuple[str | None, float, int | None]], identity: str = IDENTI
             for f, f2 in zip(feats, s, strict=True):
                 np.add.at(g, f[a][ok], push[ok])
                 np.add.at(g, f2[a][ok], -push[ok])
-        g += RIDGE * max(len(y), ANCHOR) * (w - full_prior)  # few labels leave the fixed lists in charge
+        g += RIDGE * len(y) * w
         grad_sum += g * g
         w -= RATE * g / np.sqrt(grad_sum)
         w[0] = w[size] = 0.0
@@ -279,11 +259,18 @@ def _swapped(flat: np.ndarray, is_group: np.ndarray, group_ids: np.ndarray, firs
     return out
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = FIT_TEXTS) -> list[tuple[str | None, float, int | None]]:
-    """At most ``most`` labelled texts, picked by a hash of their id: ``(text, mean vote, page)``; null votes don't count."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = FIT_TEXTS, chars: int = FIT_CHARS) -> list[tuple[str | None, float, int | None]]:
+    """A sample of the labelled texts, ``(text, mean vote, page)``; null votes don't count.
+
+    At most ``most`` texts, and whole texts up to ``chars`` characters in all, picked by a hash of their id; the first is always taken.
+    """
     votes = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("vote")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text", "page_id").join(votes, "doc_id").orderBy("doc_id")
-    return [(r["text"], min(max(r["vote"], 0.03), 0.97), r["page_id"]) for r in rows.collect()]
+    rows = docs.select("doc_id", "text", "page_id").join(votes, "doc_id").withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
+    w = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # at most ``most`` rows
+    before = rows.select("doc_id", "chars").select("doc_id", F.coalesce(F.sum("chars").over(w), F.lit(0)).alias("before"), "chars")
+    taken = before.where((F.col("before") == 0) | (F.col("before") + F.col("chars") <= chars)).select("doc_id")
+    out = rows.join(F.broadcast(taken), "doc_id", "left_semi").orderBy("doc_id")
+    return [(r["text"], min(max(r["vote"], 0.03), 0.97), r["page_id"]) for r in out.collect()]
 
 
 def score_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -34,3 +34,31 @@ def items_of(baskets: DataFrame, keep: list[str], fields: list[str]) -> DataFram
     """``(keep..., field, item)``: one row for each item of each set."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("items")) for f in fields])
     return baskets.select(*keep, F.explode(pairs).alias("s")).select(*keep, "s.field", F.explode("s.items").alias("item"))
+
+
+#: Keys that hold at least a HOT-th part of all rows: there are at most as many, so they may always be broadcast.
+HOT = 10_000
+
+
+def hot_and_cold(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``counts(..., n)``, one row a key with its number of rows, parted into the at most HOT keys with a HOT-th of all rows or more, and the rest."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HOT >= total
+    return counts.where(heavy), counts.where(~heavy)
+
+
+def look_up(rows: DataFrame, counts: DataFrame, keys: list[str], values: list[str], small: int) -> DataFrame:
+    """``rows`` with ``values`` of ``counts(keys..., values..., n, keeps)`` by key; rows whose key doesn't keep are dropped.
+
+    ``counts`` is a written table with one row for each key in ``rows`` and its number of rows n. If at most ``small`` keys keep, they are
+    broadcast. Otherwise no reducer gets a heavy key: heavy keys, HOT at most, are broadcast, and rows of the others are shuffled by key.
+    """
+    keeping = counts.where("keeps").select(*keys, *values)
+    if keeping.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(keeping), keys)
+    hot, cold = hot_and_cold(counts)
+    hot = hot.select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values], F.col("keeps").alias("_keeps"))
+    met = rows.join(F.broadcast(hot), keys, "left")
+    done = met.where("_keeps").select(*rows.columns, *[F.col(f"_hot_{v}").alias(v) for v in values])
+    rest = met.where("_keeps is null").select(*rows.columns).join(cold.where("keeps").select(*keys, *values), keys)
+    return done.unionByName(rest)

@@ -71,6 +71,12 @@ def _strip_links(text: str) -> str:
 
 
 def rendered(text: str) -> list[str]:
+    """:func:`views_and_notes` in one list."""
+    views, notes = views_and_notes(text)
+    return views + notes
+
+
+def views_and_notes(text: str) -> tuple[list[str], list[str]]:
     """Texts that a reader of the page sees one after another, each without markup.
 
     The first is the page with what its templates show in place; others, where there is anything to tell apart, are the page without
@@ -98,13 +104,12 @@ def rendered(text: str) -> list[str]:
             if not n:
                 break
             views.append(_ARGUMENT.sub("| ", shown))
-    out = []
-    for v in [*views, *map(_strip_links, notes)]:
-        v = _TABLE_LINE.sub(" ", v)
-        v = _CELL_STYLE.sub(r"\1 ", v)
-        v = _SWITCH.sub("", _QUOTES.sub("", _TAG.sub(_tag, v)))
-        out.append(v)
-    return out
+    return [_without_marks(v) for v in views], [_without_marks(_strip_links(n)) for n in notes]
+
+
+def _without_marks(text: str) -> str:
+    text = _CELL_STYLE.sub(r"\1 ", _TABLE_LINE.sub(" ", text))
+    return _SWITCH.sub("", _QUOTES.sub("", _TAG.sub(_tag, text)))
 
 
 class LeakFinder:
@@ -146,15 +151,55 @@ class LeakFinder:
                 found[item] = max(n, found.get(item, 0))
         return found
 
-    def without_spans(self, text: str | None) -> str:
-        """Words of the rendered page outside of every leaked stretch, joined by blanks."""
+    def without_spans(self, text: str | None) -> str | None:
+        """A page without what it shows of test items; a page that shows none is returned as it is.
+
+        Otherwise the page's words with what templates show in place, then those of its notes, in plain form and without every leaked
+        stretch. A stretch that is only seen in another view, as templates or their arguments interrupt it, goes with what interrupts
+        it. GAP stands where words went, so the words on both sides don't become neighbours.
+        """
         if not text:
-            return ""
-        view = rendered(text)[0]
-        words, drop = words_of(view), set()
-        for _, a, n in self.spans(view):
-            drop.update(range(a, a + n))
-        return " ".join(x for k, x in enumerate(words) if k not in drop)
+            return text
+        views, notes = views_and_notes(text)
+        if not any(True for v in views + notes for _ in self.spans(v)):
+            return text
+        body = words_of(views[0])
+        drop = self._dropped(views[0])
+        for v in views[1:]:
+            words = words_of(v)
+            for _, a, n in self.spans(v):
+                drop.update(_interrupted(body, words[a : a + n], drop))
+        out = _with_gaps(body, drop)
+        for v in notes:
+            out += [GAP, *_with_gaps(words_of(v), self._dropped(v))]
+        return " ".join(out)
+
+    def _dropped(self, view: str) -> set[int]:
+        return {k for _, a, n in self.spans(view) for k in range(a, a + n)}
+
+
+#: A letter that no text uses as a word; it stands in a cleaned text for words that were taken out.
+GAP = "ʬ"
+
+
+def _with_gaps(words: list[str], drop: set[int]) -> list[str]:
+    return [GAP if k in drop else x for k, x in enumerate(words) if k not in drop or k - 1 not in drop]
+
+
+def _interrupted(words: list[str], span: list[str], drop: set[int]) -> range:
+    """Places of the shortest stretch of ``words`` that holds ``span`` in order, with what interrupts it, from a word on that isn't dropped yet.
+
+    A stretch that lies in the page's words in another order isn't found here; none of its words are neighbours there.
+    """
+    best: range = range(0)
+    for a in (k for k, x in enumerate(words) if x == span[0] and k not in drop):
+        k, at = a, 0
+        while k < len(words) and at < len(span) and (not best or k - a < len(best)):
+            at += words[k] == span[at]
+            k += 1
+        if at == len(span) and (not best or k - a < len(best)):
+            best = range(a, k)
+    return best
 
 
 def _blocks(items: DataFrame, block: int) -> list[DataFrame]:
@@ -197,13 +242,20 @@ def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, text)``: rendered words of each document without the leaked stretches; null texts become empty."""
-    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.select("item_id", "text").collect()])
+def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = ITEM_BLOCK) -> DataFrame:
+    """``(doc_id, text)``: each document without the stretches it shares with test items; see :meth:`LeakFinder.without_spans`.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = LeakFinder(shared.value, window)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([finder.without_spans(t) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+    Null texts stay null. Items come in blocks as in :func:`find_leaks`; a document goes through one block after another.
+    """
+    spark = docs.sparkSession
+    out = docs.select("doc_id", "text")
+    for part in _blocks(items.select("item_id", "text"), block):
+        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect() if r[0] is not None])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string")
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            finder = LeakFinder(shared.value, window)
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([finder.without_spans(t) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+        out = out.mapInArrow(run, "doc_id bigint, text string")
+    return out

@@ -47,6 +47,13 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return setjoin.class_links(*_similar(spark, d)).select("field", F.col("name").alias("txid"), "class_id", "copies", "links")
 
 
+def p1_between(spark: SparkSession, d: str) -> DataFrame:
+    """Sets that transactions write and others read: pairs of an rnw set and a different rdo set that largely agree."""
+    r = _records(spark, d)
+    first, second = (setjoin.classes(r.where(F.col("field") == f).withColumn("field", F.lit("addresses")), MIN_SET) for f in ("rnw_addr_list", "rdo_addr_list"))
+    return setjoin.similar_between(cut(first), cut(second), JACCARD).select("class_a", "class_b", "common", "size_a", "size_b")
+
+
 def _measures(spark: SparkSession, d: str) -> DataFrame:
     """``(day, coinbase, measure, item)`` of every sender and every rnw address; a height without block row has neither day nor coinbase."""
     t = table(spark, d, "txs")
@@ -114,6 +121,12 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("field", F.col("item").alias("addr"), "n", F.col("n").between(F.col("low"), F.col("high")).alias("in_range"))
 
 
+def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The frequent addresses with what the sketch says of them: bounds and estimate of the count, beside the exact one."""
+    hits = frequent.items_with_share(transactions(table(spark, d, "txs"), _P6), _P6, SHARE)
+    return hits.select("field", F.col("item").alias("addr"), "low", "high", "estimate", "n")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PIECES)
 
@@ -122,6 +135,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p9_without(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that show no test item."""
+    docs = table(spark, d, "documents")
+    return leaks.without_leaks(docs, leaks.find_leaks(docs, table(spark, d, "eval_items"))).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with leaked stretches taken out."""
+    return leaks.remove_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_clean_check(spark: SparkSession, d: str) -> DataFrame:
+    """Test items that a cleaned document still shows: none."""
+    return leaks.find_leaks(p9_clean(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = abuse.fit(abuse.labelled_texts(docs, table(spark, d, "doc_labels")))
@@ -142,7 +171,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("source").agg(F.count("*").alias("n_docs"), flagged.alias("n_flagged"), F.round(flagged / F.count("*"), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_distinct, p2_bound_check, p3_found, p3_pairs, p3_all, p6_found, p6_counts, p8_ids, p9_found, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_between, p2_distinct, p2_bound_check, p3_found, p3_pairs, p3_all, p6_found, p6_counts, p6_bounds, p8_ids, p9_found, p9_without, p9_clean, p9_clean_check, p10_found, p10_scores, p10_rates)}
 
 
 def _hex(e: str) -> str:
@@ -189,11 +218,21 @@ j as (select a.field, a.class_id, b.class_id as other, a.size + b.size as sizes,
 l as (select field, class_id, count(*) as links from j where common * 10 >= 6 * (sizes - common) group by all)
 select cls.field, cls.tx as txid, cls.class_id, count(*) over (partition by cls.field, cls.class_id) as copies, coalesce(l.links, 0) as links
 from cls left join l on l.field = cls.field and l.class_id = cls.class_id""",
+    "p1_between": f"""with {_ITEMS},
+g as (select field, tx, list_sort(list(item)) as s from item where field in ('rdo_addr_list', 'rnw_addr_list') group by field, tx having count(*) >= 6),
+c as (select distinct field, sha256(to_json(s)::varchar) as class_id, s from g),
+u as (select field, class_id, unnest(s) as item, len(s) as size from c),
+j as (
+  select a.class_id as x, b.class_id as y, a.size as sx, b.size as sy, count(*)::integer as common from u a join u b on a.item = b.item and a.class_id <> b.class_id
+  where a.field = 'rnw_addr_list' and b.field = 'rdo_addr_list' group by all)
+select distinct least(x, y) as class_a, greatest(x, y) as class_b, common, (case when x < y then sx else sy end)::integer as size_a, (case when x < y then sy else sx end)::integer as size_b
+from j where common * 10 >= 6 * (sx + sy - common)""",
+    "p9_clean_check": "select 0::bigint as doc_id, 0::bigint as item_id where false",
     "p2_bound_check": f"""with b as (select height, max({_hex("coinbase")}) as coinbase, min(block_time)::date as day from blocks group by height),
 i as (
-  select day, coinbase, 'from_addr' as measure, {_hex("from_addr")} as item from txs join b using (height)
+  select day, coinbase, 'from_addr' as measure, {_hex("from_addr")} as item from txs left join b using (height)
   union all
-  select day, coinbase, 'rnw_addr_list', {_hex("a")} from (select day, coinbase, unnest(rnw_addr_list) as a from txs join b using (height)))
+  select day, coinbase, 'rnw_addr_list', {_hex("a")} from (select day, coinbase, unnest(rnw_addr_list) as a from txs left join b using (height)))
 select case grouping(day, coinbase) when 0 then 'day,coinbase' when 1 then 'day' when 2 then 'coinbase' else 'all' end as grouping,
   day, coinbase, measure, count(distinct item) as n, true as in_range
 from i where item is not null group by grouping sets ((day, coinbase, measure), (day, measure), (coinbase, measure), (measure))""",

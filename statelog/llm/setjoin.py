@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statelog.runtime import broadcast_if_small, cut
+from statelog.llm.baskets import HOT, look_up
+from statelog.runtime import BROADCAST_ROWS, broadcast_if_small, cut
 
 #: Sets in a list group from which it is cut into tiles of about this size.
 TILE = 4000
 _EPS = 1e-9
+#: Weighs merging a list against searching it when the number of lists to search is chosen; any value gives the same pairs. The one that
+#: papers on merging lists with a divided set of long ones report for short records.
+_LONG_WEIGHT = 0.0085
 _PAIR = "field string, class_a string, class_b string, common int, size_a int, size_b int"
 
 
@@ -40,16 +44,17 @@ def classes(records: DataFrame, min_size: int) -> DataFrame:
     return r.withColumn("class_id", F.sha2(F.to_json("members"), 256))
 
 
-def _overlaps(sets: list[list[int]], probes: list[int], indexed: list[int], t: float) -> Iterator[tuple[int, int, int]]:
+def _overlaps(sets: list[list[int]], probes: list[int], indexed: list[int], t: float, sizes: list[int] | None = None) -> Iterator[tuple[int, int, int]]:
     """``(x, y, common)`` for probes x and indexed y, y before x in the order of size, that reach the required overlap.
 
-    ``sets`` is ordered by size; ``probes`` and ``indexed`` are ascending positions in it.
+    ``sets`` is ordered by size; ``probes`` and ``indexed`` are ascending positions in it. ``sizes`` counts members that are left out of
+    ``sets`` as no other set holds them.
     """
     lists: dict[int, list[int]] = {}
     for y in indexed:
         for token in sets[y]:
             lists.setdefault(token, []).append(y)
-    sizes = [len(s) for s in sets]
+    sizes = sizes or [len(s) for s in sets]
     for x in probes:
         n = sizes[x]
         least = math.ceil(t * n - _EPS)
@@ -66,7 +71,7 @@ def _overlaps(sets: list[list[int]], probes: list[int], indexed: list[int], t: f
             continue
         own.sort(key=lambda o: o[0])
         longest = own[-1][0]
-        n_long = min(need - 1, int(need / (0.0085 * math.log2(longest + 1) + 1)))
+        n_long = min(need - 1, int(need / (_LONG_WEIGHT * math.log2(longest + 1) + 1)))
         short, long = own[: len(own) - n_long], own[len(own) - n_long :]
         enough = need - n_long
         heads = [(ids[i], k) for k, (_, i, _, ids) in enumerate(short)]
@@ -107,9 +112,14 @@ def _first_common(a: list[int], b: list[int]) -> int | None:
     return next((x for x in a if x in other), None)
 
 
-def _group_pairs(rows: list[tuple], token: int, t: float, same_chunk: bool) -> Iterator[tuple]:
-    """Pairs of one tile of a list group; ``rows`` are (size, class_id, chunk, tokens) in that order."""
-    sets = [r[3] for r in rows]
+def _across(x: int, y: int) -> bool:
+    """Whether one of two classes has records in the first table (bit 1) and the other in the second (bit 2)."""
+    return bool((x & 1 and y & 2) or (x & 2 and y & 1))
+
+
+def _group_pairs(rows: list[tuple], token: int, t: float, same_chunk: bool, between: bool) -> Iterator[tuple]:
+    """Pairs of one tile of a list group; ``rows`` are (size, class_id, chunk, sides, tokens) in that order."""
+    sets = [r[4] for r in rows]
     if same_chunk:
         jobs = [(range(len(rows)), range(len(rows)))]
     else:
@@ -117,27 +127,29 @@ def _group_pairs(rows: list[tuple], token: int, t: float, same_chunk: bool) -> I
         b = [i for i, r in enumerate(rows) if r[2] != rows[0][2]]
         jobs = [(b, a), (a, b)]
     for probes, indexed in jobs:
-        for x, y, common in _overlaps(sets, probes, indexed, t):
+        for x, y, common in _overlaps(sets, probes, indexed, t, [r[0] for r in rows]):
+            if between and not _across(rows[x][3], rows[y][3]):
+                continue
             if _first_common(sets[x], sets[y]) == token:  # the pair belongs to this list group alone
                 yield (x, y, common)
 
 
-def _join_groups(t: float):
+def _join_groups(t: float, between: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, out = None, [], []
 
         def flush() -> None:
             if len(rows) > 1:
-                for x, y, common in _group_pairs(rows, group[1], t, group[2] == group[3]):
+                for x, y, common in _group_pairs(rows, group[1], t, group[2] == group[3], between):
                     (na, a), (nb, b) = sorted((rows[x][:2], rows[y][:2]), key=lambda r: r[1])
                     out.append((group[0], a, b, common, na, nb))
 
         for batch in batches:
-            for field, token, i, j, size, class_id, chunk, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for field, token, i, j, size, class_id, chunk, sides, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (field, token, i, j) != group:
                     flush()
                     group, rows = (field, token, i, j), []
-                rows.append((size, class_id, chunk, tokens))
+                rows.append((size, class_id, chunk, sides, tokens))
             if out:
                 yield _pairs_batch(out)
                 out = []
@@ -153,30 +165,50 @@ def _pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], [c.split()[0] for c in _PAIR.split(", ")])
 
 
-def similar_classes(members: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+def similar_classes(members: DataFrame, threshold: float, tile: int = TILE, small: int = BROADCAST_ROWS) -> DataFrame:
     """``(field, class_a, class_b, common, size_a, size_b)``, class_a < class_b, of all pairs of different sets as similar as ``threshold``.
 
-    ``members`` is a table as :func:`classes` gives it. Members are compared by 64-bit hashes. A list group of more than ``tile`` sets is
-    cut into chunks, and each pair of chunks is joined in a task of its own.
+    ``members`` is a table as :func:`classes` gives it; if it has ``sides`` (see :func:`similar_between`), only pairs across sides are given.
+    Members are compared by 64-bit hashes. A list group of more than ``tile`` sets is cut by size into chunks, and pairs of chunks whose
+    sizes can be similar are joined in tasks of their own. A member that most sets hold is looked up by a broadcast of bounded size.
     """
-    sets = members.select("field", "class_id", "members").dropDuplicates(["field", "class_id"])
-    tokens = sets.select("field", "class_id", F.size("members").alias("size"), F.explode("members").alias("m")).withColumn("token", F.xxhash64("m")).drop("m")
+    between = "sides" in members.columns
+    side = F.bit_or("sides") if between else F.lit(3)
+    sets = members.groupBy("field", "class_id").agg(F.first("members").alias("members"), side.cast("int").alias("sides"))
+    tokens = sets.select("field", "class_id", "sides", F.size("members").alias("size"), F.explode("members").alias("m")).withColumn("token", F.xxhash64("m")).drop("m")
     tokens = cut(tokens)
-    counts = tokens.groupBy("field", "token").agg(F.count("*").alias("n"))
-    shared = tokens.join(counts.where("n > 1"), ["field", "token"], "left")  # tokens of a single set come first and match nothing
-    ordered = shared.groupBy("field", "class_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("o"))
-    prefix = F.expr(f"size - cast(ceil({threshold} * size - {_EPS}) as int) + 1")
-    heads = ordered.select("field", "class_id", "size", F.transform("o", lambda x: x["token"]).alias("tokens"), F.filter(F.slice(F.col("o"), F.lit(1), prefix), lambda x: x["n"] > 1).alias("head"))
+    counts = cut(tokens.groupBy("field", "token").agg(F.count("*").alias("n")))
+    # tokens of a single set come first and match nothing: n is 1 for those, without a look-up of their own
+    known = look_up(tokens, counts.withColumn("many", F.col("n")).withColumn("keeps", F.col("n") > 1), ["field", "token"], ["many"], small)
+    ordered = known.groupBy("field", "class_id", "size", "sides").agg(F.array_sort(F.collect_list(F.struct(F.col("many").alias("n"), "token"))).alias("o"))
+    alone = F.col("size") - F.size("o")
+    prefix = F.greatest(F.expr(f"size - cast(ceil({threshold} * size - {_EPS}) as int) + 1") - alone, F.lit(0))
+    heads = ordered.select("field", "class_id", "size", "sides", F.transform("o", lambda x: x["token"]).alias("tokens"), F.transform(F.slice(F.col("o"), F.lit(1), prefix), lambda x: x["token"]).alias("head"))
     heads = cut(heads.where(F.size("head") > 0))
-    listed = heads.select("field", F.explode("head.token").alias("token"), "size", "class_id", "tokens")
-    load = heads.select("field", F.explode("head.token").alias("token")).groupBy("field", "token").count()
-    hot = cut(load.where(F.col("count") > tile).select("field", "token", F.ceil(F.col("count") / tile).cast("int").alias("chunks")))
-    listed = listed.join(broadcast_if_small(hot), ["field", "token"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    listed = listed.withColumn("chunk", F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    tiled = listed.withColumn("tile", F.explode(tiles)).select("field", "token", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "size", "class_id", "chunk", "tokens")
+    listed = heads.select("field", F.explode("head").alias("token"), "size", "class_id", "sides", "tokens")
+    load = cut(heads.select("field", F.explode("head").alias("token"), "size").groupBy("field", "token", "size").agg(F.count("*").alias("n")))
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    hot = load.groupBy("field", "token").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("size", parts.alias("parts")))).alias("sizes")).where(F.col("n") > tile)  # a row a size that occurs
+    listed = listed.join(broadcast_if_small(cut(hot.drop("n")), small), ["field", "token"], "left")
+    own = F.element_at(F.filter("sizes", lambda x: x["size"] == F.col("size")), 1)["parts"]
+    name = lambda size, part: size.cast("long") * (1 << 20) + part
+    chunk = F.when(F.col("sizes").isNull(), F.lit(0).cast("long")).otherwise(name(F.col("size"), F.pmod(F.xxhash64("class_id"), own).cast("int")))
+    listed = listed.withColumn("chunk", chunk)
+    fits = F.filter("sizes", lambda x: (x["size"] >= F.col("size") * threshold - _EPS) & (F.col("size") >= x["size"] * threshold - _EPS))
+    others = F.flatten(F.transform(fits, lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda k: name(x["size"], k))))
+    others = F.when(F.col("sizes").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)
+    tiled = listed.withColumn("other", F.explode(others)).select("field", "token", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "size", "class_id", "chunk", "sides", "tokens")
     tiled = tiled.repartition("field", "token", "i", "j").sortWithinPartitions("field", "token", "i", "j", "size", "class_id")
-    return tiled.mapInArrow(_join_groups(threshold), _PAIR)
+    return tiled.mapInArrow(_join_groups(threshold, between), _PAIR)
+
+
+def similar_between(first: DataFrame, second: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """:func:`similar_classes` between two tables: pairs of which one class has records in ``first`` and the other in ``second``.
+
+    Both are tables as :func:`classes` gives them, with the same fields. Equal sets of both tables are one class and no pair.
+    """
+    both = first.withColumn("sides", F.lit(1)).unionByName(second.withColumn("sides", F.lit(2)))
+    return similar_classes(both, threshold, tile)
 
 
 def class_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -186,13 +218,31 @@ def class_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return members.select("field", "name", "class_id").join(size.join(ends, ["field", "class_id"], "left").na.fill(0, ["links"]), ["field", "class_id"]).select("field", "name", "class_id", "copies", "links")
 
 
-def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(field, name_a, name_b)``, name_a < name_b: all pairs of records in the same class or in similar ones."""
+#: Copies of a class that one task joins with others at least, before the class is salted.
+COPIES = 2000
+
+
+def record_pairs(members: DataFrame, pairs: DataFrame, copies: int = COPIES) -> DataFrame:
+    """``(field, name_a, name_b)``, name_a < name_b: all pairs of records in the same class or in similar ones.
+
+    The records of a class with many copies are spread over salts, and what they are joined with is repeated for each salt.
+    """
     m = members.select("field", "class_id", "name")
-    a, b = (m.select("field", F.col("class_id").alias(f"class_{s}"), F.col("name").alias(f"name_{s}")) for s in "ab")
-    across = pairs.select("field", "class_a", "class_b").join(a, ["field", "class_a"]).join(b, ["field", "class_b"])
-    many = m.groupBy("field", "class_id").count().where("count > 1").select("field", "class_id")
-    copies = m.join(many, ["field", "class_id"], "left_semi")
-    within = copies.select("field", "class_id", F.col("name").alias("name_a")).join(copies.select("field", "class_id", F.col("name").alias("name_b")), ["field", "class_id"]).where("name_a < name_b")
+    size = cut(m.groupBy("field", "class_id").agg(F.count("*").alias("n")))
+    total = size.agg(F.sum("n")).first()[0] or 0
+    unit = max(copies, -(-total // HOT))
+    salted = size.where(F.col("n") > unit).select("field", "class_id", F.ceil(F.col("n") / unit).cast("int").alias("salts"))
+    big = F.broadcast(salted)  # at most HOT classes have over a HOT-th of the records
+    m = m.join(big, ["field", "class_id"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("name"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    across = pairs.select("field", "class_a", "class_b")
+    for s in "ab":
+        side = m.select("field", F.col("class_id").alias(f"class_{s}"), "salt", F.col("name").alias(f"name_{s}"))
+        across = across.join(big.withColumnRenamed("class_id", f"class_{s}"), ["field", f"class_{s}"], "left").select(*across.columns, every).join(side, ["field", f"class_{s}", "salt"]).drop("salt")
+    many = size.where("n > 1").select("field", "class_id")
+    copied = m.join(many, ["field", "class_id"], "left_semi")
+    left = copied.select("field", "class_id", "salt", F.col("name").alias("name_a"))
+    right = copied.join(big, ["field", "class_id"], "left").select("field", "class_id", F.col("name").alias("name_b"), every)
+    within = left.join(right, ["field", "class_id", "salt"]).where("name_a < name_b")
     both = across.select("field", "name_a", "name_b").unionByName(within.select("field", "name_a", "name_b"))
     return both.select("field", F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b")).where("name_a < name_b")

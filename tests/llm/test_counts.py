@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statelog.llm import cooccurrence, distinct, frequent
+from statelog.llm import baskets as B
 from statelog.llm.baskets import items_of, transactions
 
 TXS = "txid string, from_addr string, rdo_addr_list array<string>, rnw_addr_list array<string>, rdo_slot_list array<struct<addr:string,index:string>>, rnw_slot_list array<struct<addr:string,index:string>>"
@@ -63,9 +64,32 @@ def test_cooccurrence(spark):
             if k >= least and k * n >= lift * single[x] * single[y]:
                 want[x, y] = (single[x], single[y], k, round(v, 9), round(math.log2(v), 9))
         assert got == want
+        far = cooccurrence.item_pairs(b, ["rnw_addr_list"], least, lift, small=0)  # too many items for one broadcast
+        assert {(r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab, round(r.lift, 9), round(r.pmi, 9)) for r in far.collect()} == want
     assert cooccurrence.item_pairs(b.where("false"), ["rnw_addr_list"], 1, 0.0).collect() == []
 
 
+def test_large_baskets(spark, monkeypatch):
+    rng = random.Random(6)
+    sets = [sorted({f"i{rng.randrange(60)}" for _ in range(rng.choice([3, 30, 45]))}) for _ in range(20)]
+    df = spark.createDataFrame([(s,) for s in sets], "items array<string>")
+    want = Counter((a, b) for s in sets for a in s for b in s if a < b)
+    for chunk in (4, 7, 256):
+        monkeypatch.setattr(cooccurrence, "CHUNK", chunk)
+        assert {(r.item_a, r.item_b): r.n_ab for r in cooccurrence.item_pairs(df, ["items"]).collect()} == want
+
+
+def test_hot_keys_are_few_and_none_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(B, "HOT", 4)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(900)], "at int, key string")
+    counts = rows.groupBy("key").count().selectExpr("key", "count as n", "key <> 'k7' as keeps", "upper(key) as name")
+    hot, cold = B.hot_and_cold(counts)
+    assert [r.key for r in hot.collect()] == ["hot"] and cold.count() == 50
+    for small in (0, 1000):
+        got = sorted((r.at, r.name) for r in B.look_up(rows, counts, ["key"], ["name"], small).collect())
+        assert got == sorted((r.at, r.key.upper()) for r in rows.collect() if r.key != "k7")
+
+
 def test_frequent_bounds_and_merge(spark):
     df, plain = baskets(spark, 1500)
     count = Counter(x for s in plain.values() for x in s)

@@ -60,12 +60,37 @@ def test_all_pairs(spark, seed, t, tile):
     assert links == {k: (sum(1 for o in ids.items() if o[0][0] == k[0] and o[1] == v), len(linked.get(k, ()))) for k, v in ids.items()}
 
 
+@pytest.mark.parametrize("tile", [4000, 3])
+def test_the_far_side_of_every_switch(spark, tile):
+    """No table is small enough to be broadcast whole, and every class is salted: the same pairs."""
+    data = records(7)
+    members = J.classes(spark.createDataFrame(data, SCHEMA).repartition(3), 3)
+    pairs = J.similar_classes(members, 0.6, tile, small=0)
+    assert {tuple(r) for r in J.record_pairs(members, pairs, copies=1).collect()} == brute(data, 0.6, 3)
+
+
+@pytest.mark.parametrize("tile", [4000, 3])
+def test_between_two_tables(spark, tile):
+    data = records(8, 180)
+    one, two = data[::2], data[1::2]
+    a, b = (J.classes(spark.createDataFrame(x, SCHEMA), 3) for x in (one, two))
+    got = {(r.field, r.class_a, r.class_b) for r in J.similar_between(a, b, 0.5, tile).collect()}
+    sets = [{(r.field, r.class_id): frozenset(r.members) for r in x.collect()} for x in (a, b)]
+    want = set()
+    for (f, ca), sa in sets[0].items():
+        for (g, cb), sb in sets[1].items():
+            if f == g and ca != cb and len(sa & sb) >= 0.5 * len(sa | sb) - 1e-9:
+                want.add((f, min(ca, cb), max(ca, cb)))
+    assert got == want and want
+
+
 def test_many_copies_of_one_set(spark):
     data = [("f", f"c{i}", list("abcdefg")) for i in range(60)] + [("f", "near", list("abcdefh"))]
     members = J.classes(spark.createDataFrame(data, SCHEMA), 6)
     pairs = J.similar_classes(members, 0.6)
     assert pairs.count() == 1  # copies are one class
-    assert J.record_pairs(members, pairs).count() == 60 * 59 // 2 + 60
+    for copies in (2000, 7):
+        assert J.record_pairs(members, pairs, copies).count() == 60 * 59 // 2 + 60
     assert {(r.copies, r.links) for r in J.class_links(members, pairs).collect()} == {(60, 1), (1, 1)}
 
 

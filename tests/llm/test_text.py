@@ -98,17 +98,42 @@ def test_leak_tables(spark):
         got = leaks.find_leaks(docs, items, block=block)
         assert sorted((r.doc_id, r.item_id, r.words) for r in got.collect()) == sorted([(1, 5, len(WORDS)), (1, 6, len(WORDS))] * 2)
     assert [r.doc_id for r in leaks.without_leaks(docs, got).orderBy("doc_id").collect()] == [2, 3]
-    assert leaks.remove_spans(docs.where("text like 'Before%'"), items).first().text == "before after it"
+    for block in (1, 100):
+        clean = {r.doc_id: r.text for r in leaks.remove_spans(docs.where("text is null or text <> '" + ITEM + "'"), items, block=block).collect()}
+        assert clean == {1: f"before {leaks.GAP} after it", 2: "nothing", 3: None}
     assert leaks.find_leaks(docs.where("false"), items).collect() == [] and leaks.find_leaks(docs, items.where("false")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"Before. {ITEM}. After it",
+        "Before. " + " ".join(w if i % 9 else f"{{{{note|x{i}}}}} {w}" for i, w in enumerate(WORDS)) + ". After it",
+        "Before. " + " ".join(f"{{{{lang|en|{w}}}}}" if i % 5 == 2 else w for i, w in enumerate(WORDS)) + ". After it",
+        f"Before. <ref>See {ITEM}</ref> After it<ref>plain note</ref>",
+        f"Before. {{{{quote|1={ITEM}}}}} {ITEM} After it",
+        f"Before. {' '.join(WORDS[:12])} and {ITEM} After it",
+    ],
+)
+def test_cleaned_pages_show_nothing_and_keep_the_rest(text):
+    finder = leaks.LeakFinder([(7, ITEM)])
+    assert set(finder.leaks(text)) == {7}
+    clean = finder.without_spans(text)
+    assert finder.leaks(clean) == {} and finder.without_spans(clean) == clean
+    words = clean.split()
+    assert words[0] == "before" and {"after", "it"} <= set(words) and ("plain note" in clean) == ("plain note" in text)
+    assert len(set(words) & {w.lower() for w in WORDS}) <= 2
+    harmless = "A page <ref>with a note</ref> and {{a|template}}"
+    assert finder.without_spans(harmless) == harmless and finder.without_spans(None) is None
+
+
 def test_disguised_words():
     assert tokens("f.u.c.k s h i t 5uck5 shiiiiit c_h_i_l_d nаughty ‮b​ad 1907") == ["fuck", "shit", "sucks", "shit", "child", "naughty", "bad", "#"]
     assert tokens("[[Page|fool]] '''id'''iot <!-- x -->") == ["fool", "idiot", "x"]
     assert tokens("村の橋") == ["村", "の", "橋"] and tokens(None) == [] and tokens("") == []
 
 
-GROUPS = ["muslims", "quellish", "women", "turks", "zandorites", "jews"]
+GROUPS = ["muslims", "germans", "women", "turks", "immigrants", "jews"]
 
 
 def labelled(n=500, seed=6):
@@ -142,12 +167,16 @@ def test_identity_terms_hardly_move_scores():
 
 
 def test_scores_of_odd_texts(spark):
-    model = abuse.fit([])
+    assert len(set(abuse.fit([]).scores(["a word", "another"]))) == 1  # without labels no text stands out
+    model = abuse.fit([*labelled(), *[(f"you fucking dipshit cunt you whore, page {i} of {i % 7}", 1.0, 1000 + i) for i in range(40)]])
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " \n.", None), (4, "you fucking dipshit cunt", "b"), (5, "x " * 200_000 + "fucking cunt whore", "b")], "doc_id bigint, text string, score string")
     got = {r.doc_id: r.score for r in abuse.score_texts(df, model).collect()}
-    assert got[1] == got[2] == got[3] == 0 and got[4] > 0.9 and got[5] > 0.9
+    assert got[1] == got[2] == got[3] == 0 and got[4] > abuse.THRESHOLD and got[5] > abuse.THRESHOLD
     assert abuse.score_texts(df.where("false"), model).collect() == []
     labels = spark.createDataFrame([(1, "r1", 1), (4, "r1", 1), (4, "r2", 0), (5, "r1", None), (None, "r1", 1), (99, "r1", 1)], "doc_id bigint, rater string, abusive int")
     texts = abuse.labelled_texts(df.withColumn("page_id", F.lit(None).cast("bigint")), labels)
     assert texts == [("you fucking dipshit cunt", 0.5, None)]
+    many = spark.createDataFrame([(i, "r", i % 2) for i in range(1, 6)], "doc_id bigint, rater string, abusive int")
+    bounded = [abuse.labelled_texts(df.withColumn("page_id", F.lit(None).cast("bigint")), many, chars=c) for c in (1, 30, 10**6)]
+    assert [len(b) for b in bounded][-1] == 5 and len(bounded[0]) <= len(bounded[1]) < 5
     assert abuse.fit(texts).scores(["x"]).shape == (1,)

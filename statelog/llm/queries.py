@@ -11,7 +11,9 @@ from statelog.functions.spelling import member_set, prefixed_hex
 from statelog.llm import abuse, cooccurrence, distinct, frequent, leaks, setjoin
 from statelog.llm.baskets import distinct_baskets, transactions
 from statelog.llm.tokenize import encode_texts
+from statelog.operators.access import access_sets
 from statelog.operators.activity import distinct_blocks
+from statelog.plans.dependency import _acc
 from statelog.runtime import cut, table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -48,10 +50,11 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_between(spark: SparkSession, d: str) -> DataFrame:
-    """Sets that transactions write and others read: pairs of an rnw set and a different rdo set that largely agree."""
-    r = _records(spark, d)
-    first, second = (setjoin.classes(r.where(F.col("field") == f).withColumn("field", F.lit("addresses")), MIN_SET) for f in ("rnw_addr_list", "rdo_addr_list"))
-    return setjoin.similar_between(cut(first), cut(second), JACCARD).select("class_a", "class_b", "common", "size_a", "size_b")
+    """What tasks declare to write against what transactions write: pairs of different sets of the two tables that largely agree."""
+    declared = _records(spark, d).where("field = 'rnw_set'")
+    written = access_sets(table(spark, d, "txs"), table(spark, d, "blocks")).select(F.lit("rnw_set").alias("field"), F.concat_ws(" ", "height", "tx_idx", "txid").alias("name"), F.transform("w", F.hex).alias("members"))
+    first, second = (cut(setjoin.classes(r, MIN_SET)) for r in (declared, written))
+    return setjoin.similar_between(first, second, JACCARD).select("class_a", "class_b", "common", "size_a", "size_b")
 
 
 def _measures(spark: SparkSession, d: str) -> DataFrame:
@@ -218,13 +221,16 @@ j as (select a.field, a.class_id, b.class_id as other, a.size + b.size as sizes,
 l as (select field, class_id, count(*) as links from j where common * 10 >= 6 * (sizes - common) group by all)
 select cls.field, cls.tx as txid, cls.class_id, count(*) over (partition by cls.field, cls.class_id) as copies, coalesce(l.links, 0) as links
 from cls left join l on l.field = cls.field and l.class_id = cls.class_id""",
-    "p1_between": f"""with {_ITEMS},
-g as (select field, tx, list_sort(list(item)) as s from item where field in ('rdo_addr_list', 'rnw_addr_list') group by field, tx having count(*) >= 6),
-c as (select distinct field, sha256(to_json(s)::varchar) as class_id, s from g),
-u as (select field, class_id, unnest(s) as item, len(s) as size from c),
+    "p1_between": f"""with {_acc()},
+r as (
+  select distinct 'd' as side, {_hex("txid")} as name, hex(m) as item from (select txid, unnest(rnw_set) as m from access_sets) where m is not null and {_hex("txid")} is not null
+  union all select 'w', height || ' ' || tx_idx || ' ' || tx, upper(hash) from acc where mode = 'w'),
+g as (select side, name, list_sort(list(item)) as s from r group by side, name having count(*) >= 6),
+c as (select distinct side, sha256(to_json(s)::varchar) as class_id, s from g),
+u as (select side, class_id, unnest(s) as item, len(s) as size from c),
 j as (
   select a.class_id as x, b.class_id as y, a.size as sx, b.size as sy, count(*)::integer as common from u a join u b on a.item = b.item and a.class_id <> b.class_id
-  where a.field = 'rnw_addr_list' and b.field = 'rdo_addr_list' group by all)
+  where a.side = 'd' and b.side = 'w' group by all)
 select distinct least(x, y) as class_a, greatest(x, y) as class_b, common, (case when x < y then sx else sy end)::integer as size_a, (case when x < y then sy else sx end)::integer as size_b
 from j where common * 10 >= 6 * (sx + sy - common)""",
     "p9_clean_check": "select 0::bigint as doc_id, 0::bigint as item_id where false",

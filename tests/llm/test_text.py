@@ -169,7 +169,7 @@ def test_identity_terms_hardly_move_scores():
 def test_scores_of_odd_texts(spark):
     assert len(set(abuse.fit([]).scores(["a word", "another"]))) == 1  # without labels no text stands out
     model = abuse.fit([*labelled(), *[(f"you fucking dipshit cunt you whore, page {i} of {i % 7}", 1.0, 1000 + i) for i in range(40)]])
-    df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " \n.", None), (4, "you fucking dipshit cunt", "b"), (5, "x " * 200_000 + "fucking cunt whore", "b")], "doc_id bigint, text string, score string")
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " \n.", None), (4, "you fucking dipshit cunt", "b"), (5, "x " * 200_000 + "you fucking dipshit cunt", "b")], "doc_id bigint, text string, score string")
     got = {r.doc_id: r.score for r in abuse.score_texts(df, model).collect()}
     assert got[1] == got[2] == got[3] == 0 and got[4] > abuse.THRESHOLD and got[5] > abuse.THRESHOLD
     assert abuse.score_texts(df.where("false"), model).collect() == []

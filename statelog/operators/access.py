@@ -108,6 +108,13 @@ def sender_tasks(txs: DataFrame, per_task: int = 3) -> DataFrame:
     return g.select("height", "sender", "task_no", "first_idx", "n_txs", F.transform("l", lambda x: x["txid"]).alias("txids"))
 
 
+def numbered_in_tasks(sets: DataFrame, per_task: int = 3) -> DataFrame:
+    """``sets`` with ``task_no``, the task of its sender in its block that a transaction belongs to, and ``k``, its place in it."""
+    w = Window.partitionBy("height", "sender").orderBy("tx_idx", "txid")  # one sender in one block
+    at = sets.withColumn("_at", F.row_number().over(w) - 1)
+    return at.withColumn("task_no", F.expr(f"_at div {per_task}").cast("int")).withColumn("k", F.expr(f"_at % {per_task}")).drop("_at")
+
+
 def task_sets(sets: DataFrame, per_task: int = 3) -> DataFrame:
     """``(pos, height, sender, task_no, n_txs, r, w)``: the tasks of :func:`sender_tasks` with the united sets of their transactions.
 

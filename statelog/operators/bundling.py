@@ -7,16 +7,15 @@ so it is one ordered stream a configuration; the executor's variant starts afres
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelog.config import BLOOM_BITS, BLOOM_FUNCS, BUNDLE_MAX, BUNDLE_MIN, BUNDLES, EARLY_WINDOW, SET_MAX
-from statelog.operators.ranged import ranged_lag
 from statelog.runtime import broadcast_if_small, cut
 
 _SHIFT = BLOOM_BITS.bit_length() - 1
@@ -92,24 +91,23 @@ def serial_starts(last: DataFrame, partitions: int | None = None) -> DataFrame:
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = None, 0
         for b in batches:
-            out = []
+            starts, counts = [], []
             for p, pos, hit, came in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if p != part:
-                    part, start = p, came
-                    if came < 0:
-                        start = pos
-                        out.append(pos)
-                        continue
+                    part, start = p, pos if came < 0 else came
+                    starts.append(start)
+                    counts.append(0)
                 if hit >= start:
                     start = pos
-                    out.append(pos)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["start"])
+                if not starts or starts[-1] != start:
+                    starts.append(start)
+                    counts.append(0)
+                counts[-1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], ["start", "n"])
 
     placed = rows.select("part", "pos", "last").join(broadcast_if_small(incoming), "part").select("part", "pos", "last", "incoming")
-    starts = placed.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(give, "start bigint")
-    n = rows.count()
-    behind = ranged_lag(starts.select((-F.col("start")).alias("back"), F.lit(0).alias("_all")), ["_all"], ["back"], ["back"])
-    return behind.select((-F.col("back")).alias("start"), (F.coalesce(-F.col("prev_back"), F.lit(n)) + F.col("back")).cast("long").alias("n_txs"))
+    inside = placed.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(give, "start bigint, n bigint")
+    return inside.groupBy("start").agg(F.sum("n").cast("long").alias("n_txs")).where("n_txs > 0")  # a bundle that runs over partitions has a row in each
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,48 +121,8 @@ def tlp(bundles: DataFrame) -> DataFrame:
     return bundles.agg(F.coalesce(F.sum("n_txs"), F.lit(0)).cast("long").alias("n_txs"), F.count("*").alias("n_bundles")).select("n_txs", "n_bundles", F.round(F.try_divide("n_txs", "n_bundles"), 6).alias("tlp"))
 
 
-class ExactLanes:
-    """Which of the open bundles hold a hash, as bit masks by hash."""
-
-    def __init__(self, lanes: int):
-        self.reads: dict = {}
-        self.writes: dict = {}
-        self.own: list[tuple[set, set]] = [(set(), set()) for _ in range(lanes)]
-
-    def collides(self, r: Iterable, w: Iterable) -> int:
-        mask, reads, writes = 0, self.reads.get, self.writes.get
-        for h in r:
-            mask |= writes(h, 0)
-        for h in w:
-            mask |= writes(h, 0) | reads(h, 0)
-        return mask
-
-    def add(self, i: int, r: Iterable, w: Iterable) -> None:
-        bit = 1 << i
-        for h in r:
-            self.reads[h] = self.reads.get(h, 0) | bit
-        for h in w:
-            self.writes[h] = self.writes.get(h, 0) | bit
-        self.own[i][0].update(r)
-        self.own[i][1].update(w)
-
-    def clear(self, i: int) -> None:
-        keep = ~(1 << i)
-        for table, mine in zip((self.reads, self.writes), self.own[i], strict=True):
-            for h in mine:
-                left = table[h] & keep
-                if left:
-                    table[h] = left
-                else:
-                    del table[h]
-        self.own[i] = (set(), set())
-
-    def sizes(self, i: int) -> tuple[int, int]:
-        return len(self.own[i][0]), len(self.own[i][1])
-
-
 class BloomLanes:
-    """As :class:`ExactLanes` with parallel Bloom filters: one word a position, one bit a bundle. Hashes are their first eight bytes."""
+    """Which of the open bundles hold a hash, by parallel Bloom filters: one word a position, one bit a bundle. Hashes are their first eight bytes."""
 
     #: Hashes whose positions are remembered.
     CACHE = 500_000
@@ -214,40 +172,138 @@ class BloomLanes:
         return tuple(self.own[i][2])
 
 
+class _Rows:
+    """A batch's table rows by transaction: what to look at, ``look``, and what to set, ``put``, in one array each with offsets."""
+
+    def __init__(self, look: list[tuple[np.ndarray, np.ndarray]], put: list[tuple[np.ndarray, np.ndarray]], n: int):
+        self.look, self.look_at = self._by_tx(look, n)
+        self.put, self.put_at = self._by_tx(put, n)
+
+    @staticmethod
+    def _by_tx(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, list[int]]:
+        rows, tx = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return rows[np.argsort(tx, kind="stable")], np.r_[0, np.cumsum(np.bincount(tx, minlength=n))].tolist()
+
+
+class _Lanes:
+    """Which of up to 128 open bundles hold what: tables of bit masks in words of 64 lanes, rows for reads first and for writes after.
+
+    ``exact`` lanes number the hashes of a batch and of the open bundles anew with each batch, so the tables don't grow with the stream.
+    Bloom lanes have BLOOM_BITS rows each for reads and writes.
+    """
+
+    def __init__(self, lanes: int, bloom: bool):
+        self.bloom = bloom
+        self.words = -(-lanes // 64)
+        self.tables = [np.zeros(2 * BLOOM_BITS if bloom else 0, np.uint64) for _ in range(self.words)]
+        self.known = np.array([], np.int64)
+        self.own: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+
+    def batch(self, r: tuple[np.ndarray, np.ndarray], w: tuple[np.ndarray, np.ndarray], n: int) -> _Rows:
+        """Rows of a batch of hashes and the transactions they belong to."""
+        if self.bloom:
+            places = [(h.view(np.uint64)[:, None] >> (_SHIFT * np.arange(BLOOM_FUNCS)).astype(np.uint64) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for h, _ in (r, w)]
+            look = [(places[0] + BLOOM_BITS, r[1]), (places[1] + BLOOM_BITS, w[1]), (places[1], w[1])]
+            put = [(places[0].ravel(), np.repeat(r[1], BLOOM_FUNCS)), ((places[1] + BLOOM_BITS).ravel(), np.repeat(w[1], BLOOM_FUNCS))]
+            return _Rows(look, put, n)
+        size = len(self.known)
+        held = [self.known[rows % size] for own in self.own for rows in own]
+        known = np.unique(np.concatenate([r[0], w[0], *held]))
+        to = np.searchsorted(known, self.known)  # of a hash that isn't held any more, anything
+        m = len(known)
+        self.tables = [np.zeros(2 * m, np.uint64) for _ in range(self.words)]
+        for i, own in enumerate(self.own):
+            self.own[i] = [to[rows % size] + (rows >= size) * m for rows in own]
+            for rows in self.own[i]:
+                self.tables[i // 64][rows] |= np.uint64(1 << i % 64)
+        self.known = known
+        a, b = np.searchsorted(known, r[0]), np.searchsorted(known, w[0])
+        return _Rows([(a + m, r[1]), (b + m, w[1]), (b, w[1])], [(a, r[1]), (b + m, w[1])], n)
+
+    def collides(self, rows: np.ndarray) -> int:
+        mask = 0
+        for k, t in enumerate(self.tables):
+            hit = t[rows]
+            if self.bloom:
+                hit = np.bitwise_and.reduce(hit, axis=1)
+            mask |= int(np.bitwise_or.reduce(hit)) << 64 * k
+        return mask
+
+    def add(self, i: int, rows: np.ndarray) -> None:
+        self.tables[i // 64][rows] |= np.uint64(1 << i % 64)
+        if not self.bloom:
+            self.own[i].append(rows)
+
+    def clear(self, i: int) -> None:
+        t, keep = self.tables[i // 64], np.uint64(~(1 << i % 64) & 0xFFFFFFFFFFFFFFFF)
+        if self.bloom:
+            t &= keep
+            return
+        for rows in self.own[i]:
+            t[rows] &= keep
+        self.own[i] = []
+
+    def distinct(self, i: int) -> int:
+        """The greater of the numbers of distinct hashes that a bundle reads and writes."""
+        rows = np.unique(np.concatenate(self.own[i]))
+        reads = int(np.searchsorted(rows, len(self.known)))
+        return max(reads, len(rows) - reads)
+
+
 class Reorderer:
-    """First-fit over N open bundles. ``put`` gives the bundles that a transaction closes, ``rest`` those at the end.
+    """First-fit over N open bundles. ``fold`` gives the bundles that a batch of transactions closes, ``rest`` those at the end.
 
     ``give_up`` drops a transaction that collides with all bundles while the largest holds fewer than BUNDLE_MIN. With ``compat``, the
-    transaction that opens a new bundle in the final merge is lost and the last bundle isn't counted.
+    transaction that opens a new bundle in the final merge is lost and the last bundle isn't counted. Hashes are their first eight bytes.
     """
 
     def __init__(self, lanes: int, bloom: bool = False, give_up: bool = False, compat: bool = False):
         self.lanes, self.give_up, self.compat = lanes, give_up, compat
-        self.sets = BloomLanes(lanes) if bloom else ExactLanes(lanes)
-        self.open: list[deque] = [deque() for _ in range(lanes)]
+        self.sets = _Lanes(lanes, bloom)
+        #: Transactions of each open bundle: what it counts for, its reads and its writes.
+        self.open: list[list] = [[] for _ in range(lanes)]
+        self.held = [[0, 0] for _ in range(lanes)]
         self.dropped = 0
 
     def _close(self, i: int) -> list:
         done = [t[0] for t in self.open[i]]
-        self.open[i].clear()
+        self.open[i], self.held[i] = [], [0, 0]
         self.sets.clear(i)
         return done
 
-    def put(self, tx, r: list, w: list) -> list[list]:
-        closed = []
-        mask = self.sets.collides(r, w)
-        i = (~mask & (mask + 1)).bit_length() - 1
-        if i >= self.lanes:
-            size = max(len(b) for b in self.open)
-            i = next(k for k, b in enumerate(self.open) if len(b) == size)
-            if self.give_up and size < BUNDLE_MIN:
-                self.dropped += 1
-                return closed
-            closed.append(self._close(i))
-        self.sets.add(i, r, w)
-        self.open[i].append((tx, r, w))
-        if max(self.sets.sizes(i)) > SET_MAX or len(self.open[i]) >= BUNDLE_MAX:
-            closed.append(self._close(i))
+    def fold(self, txs: list, r: tuple[np.ndarray, np.ndarray], w: tuple[np.ndarray, np.ndarray]) -> list[list]:
+        """Take transactions in order; ``r`` and ``w`` are hashes (64-bit) and the ends of each transaction's part of them."""
+        ends = [r[1].tolist(), w[1].tolist()]
+        tx_of = [np.repeat(np.arange(len(txs)), np.diff(e, prepend=0)) for e in (r[1], w[1])]
+        rows = self.sets.batch((r[0], tx_of[0]), (w[0], tx_of[1]), len(txs))
+        closed, sets, open_, held, full = [], self.sets, self.open, self.held, 1 << self.lanes
+        r0 = w0 = 0
+        for k, tx in enumerate(txs):
+            r1, w1 = ends[0][k], ends[1][k]
+            mask = sets.collides(rows.look[rows.look_at[k] : rows.look_at[k + 1]]) if r1 > r0 or w1 > w0 else 0
+            free = ~mask & (mask + 1)
+            if free < full:
+                i = free.bit_length() - 1
+            else:
+                sizes = [len(b) for b in open_]
+                size = max(sizes)
+                if self.give_up and size < BUNDLE_MIN:
+                    self.dropped += 1
+                    r0, w0 = r1, w1
+                    continue
+                i = sizes.index(size)
+                closed.append(self._close(i))
+            sets.add(i, rows.put[rows.put_at[k] : rows.put_at[k + 1]])
+            open_[i].append((tx, r[0][r0:r1], w[0][w0:w1]))
+            mine = held[i]
+            mine[0] += r1 - r0
+            mine[1] += w1 - w0
+            large = max(mine) > SET_MAX and (sets.bloom or sets.distinct(i) > SET_MAX)
+            if large or len(open_[i]) >= BUNDLE_MAX:
+                closed.append(self._close(i))
+            r0, w0 = r1, w1
+        for b in open_:  # what stays open must not hold on to the batch's arrays
+            b[:] = [(tx, a.copy(), c.copy()) for tx, a, c in b]
         return closed
 
     def rest(self) -> list[list]:
@@ -255,6 +311,7 @@ class Reorderer:
         reads, writes = set(), set()
         for bundle in self.open:
             for tx, r, w in bundle:
+                r, w = r.tolist(), w.tolist()
                 if not writes.isdisjoint(r) or not writes.isdisjoint(w) or not reads.isdisjoint(w):
                     closed.append(now)
                     now, reads, writes = [], set(), set()
@@ -268,17 +325,27 @@ class Reorderer:
         return closed
 
 
+def hashes_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """First eight bytes of the hashes in a list column as 64-bit integers, and where each list ends."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = pc.binary_slice(column.flatten(), 0, 8)
+    if len(flat) and pc.min(pc.binary_length(flat)).as_py() < 8:
+        return np.array([int.from_bytes(x.ljust(8, b"\0"), "big") for x in flat.to_pylist()], np.uint64).view(np.int64), ends
+    data = np.frombuffer(b"".join(flat.to_pylist()), ">u8") if len(flat) else np.array([], ">u8")
+    return data.astype(np.uint64).view(np.int64), ends
+
+
 def reorder(sets: DataFrame, configs: list[tuple[int, bool]], give_up: bool = False, compat: bool = False) -> DataFrame:
     """``(lanes, bloom, bundle, n_txs)``: bundles of each configuration over transactions ``(pos, r, w)`` in order.
 
     Where ``sets`` has ``n_txs``, its rows are tasks of so many transactions; a bundle's bound of BUNDLE_MAX is one of tasks.
 
-    Each configuration is one ordered stream in a task of its own that keeps its N open bundles only.
+    Where a transaction goes depends on all bundles that are open, and so on all transactions before: each configuration is one ordered
+    stream in a partition of its own that keeps its N open bundles only. Eight bytes a hash travel there.
     """
-    each = sets.sparkSession.createDataFrame([(i, n, b) for i, (n, b) in enumerate(configs)], "config int, lanes int, bloom boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        config, lanes, bloom, r, bundle = None, None, None, None, 0
+        r, lanes, bloom, bundle = None, 0, False, 0
 
         def rows(closed: list[list]) -> pa.RecordBatch:
             nonlocal bundle
@@ -288,23 +355,19 @@ def reorder(sets: DataFrame, configs: list[tuple[int, bool]], give_up: bool = Fa
             return pa.RecordBatch.from_arrays([pa.array([lanes] * len(n), pa.int32()), pa.array([bloom] * len(n), pa.bool_()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["lanes", "bloom", "bundle", "n_txs"])
 
         for b in batches:
-            closed = []
-            for c, n, is_bloom, _, n_txs, reads, writes in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if c != config:
-                    if r is not None:
-                        yield rows(closed + r.rest())
-                        closed = []
-                    config, lanes, bloom, bundle = c, n, is_bloom, 0
-                    r = Reorderer(n, is_bloom, give_up, compat)
-                closed += r.put(n_txs, reads, writes)
-            if r is not None:
-                yield rows(closed)
+            if not b.num_rows:
+                continue
+            if r is None:
+                lanes, bloom = configs[b.column(0)[0].as_py()]
+                r = Reorderer(lanes, bloom, give_up, compat)
+            yield rows(r.fold(b.column(2).to_pylist(), hashes_of(b.column(3)), hashes_of(b.column(4))))
         if r is not None:
             yield rows(r.rest())
 
     n_txs = F.col("n_txs") if "n_txs" in sets.columns else F.lit(1)
-    stream = sets.select("pos", n_txs.cast("long").alias("n_txs"), "r", "w").crossJoin(F.broadcast(each)).select("config", "lanes", "bloom", "pos", "n_txs", "r", "w")  # a few configurations
-    stream = stream.repartition(len(configs), "config").sortWithinPartitions("config", "pos")
+    short = lambda c: F.transform(c, lambda h: F.substring(h, 1, 8)).alias(c)
+    stream = sets.select(F.explode(F.lit(list(range(len(configs))))).alias("config"), "pos", n_txs.cast("long").alias("n_txs"), short("r"), short("w"))
+    stream = stream.repartitionById(len(configs), "config").sortWithinPartitions("pos")
     return stream.mapInArrow(run, "lanes int, bloom boolean, bundle bigint, n_txs bigint")
 
 

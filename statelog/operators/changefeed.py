@@ -22,13 +22,17 @@ READ, WRITE, CREATE, DELETE = 1, 2, 3, 4
 _SCHEMA = "key binary, version bigint, op_seq bigint, op_type int, value binary"
 
 _CREATE = "create table state (key blob primary key, version bigint, op_seq bigint, op_type integer, value blob)"
-#: Within a batch the last change of a key stands; repeated changes are equal, others tie in favour of the greater op_type and value.
-_UPSERT = """
+#: Place of a change in the order: changes that tie in version and op_seq do so in favour of the greater op_type and value, a null value least.
+_RANK = "({0}.version, {0}.op_seq, {0}.op_type, {0}.value is not null, coalesce({0}.value, ''::blob))"
+#: Within a batch the last change of a key stands.
+_UPSERT = f"""
 insert into state
-select key, o.version, o.op_seq, o.op_type, o.value
-from (select key, max(struct_pack(version := version, op_seq := op_seq, op_type := op_type, value := value)) as o from batch group by key)
+select key, o.version, o.op_seq, o.op_type, case when o.valued then o.value end
+from (
+  select key, max(struct_pack(version := version, op_seq := op_seq, op_type := op_type, valued := value is not null, value := coalesce(value, ''::blob))) as o
+  from batch group by key)
 on conflict (key) do update set version = excluded.version, op_seq = excluded.op_seq, op_type = excluded.op_type, value = excluded.value
-where (excluded.version, excluded.op_seq, excluded.op_type) > (state.version, state.op_seq, state.op_type)
+where {_RANK.format("excluded")} > {_RANK.format("state")}
 """
 
 
@@ -52,7 +56,8 @@ def apply_changes(changes: DataFrame, buckets: int | None = None) -> DataFrame:
     """Last change of each key, tombstones included: ``(key, version, op_seq, op_type, value)``.
 
     Order is version, then op_seq. A missing version is that of its height and task. READ changes nothing. Rows without key,
-    order or kind say nothing that could be applied and are ignored. Repeated changes count once. No changes give no rows.
+    order or kind say nothing that could be applied and are ignored. Repeated changes count once; of changes with equal key, version and
+    op_seq the one with the greatest op_type and value stands, whatever order they come in. No changes give no rows.
     ``buckets`` is the number of tables that are kept, the session's shuffle partitions if not given.
     """
     version = F.coalesce(F.col("version"), F.shiftleft(F.col("height").cast("long"), 24) + F.col("task_idx"))

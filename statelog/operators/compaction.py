@@ -13,6 +13,7 @@ from statelog.config import COMPACT_DIV, COMPACT_FACTOR, COMPACT_LEAST, KEPT_HEI
 from statelog.functions.codec import max_level
 from statelog.functions.hashing import null_upper
 from statelog.operators.merkle import roots_of
+from statelog.operators.ranged import ranged_max
 
 _OUT = "shard_id int, sn bigint, entity binary, kind string, version bigint, op_seq bigint, sub int, dsn array<bigint>, of_version bigint, of_op_seq bigint, of_sub int"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
@@ -95,6 +96,24 @@ def prune_target(height: int, first_twig_at: dict[int, int], compact_done_sn: in
     return end if end >= pruned_to + least else None
 
 
+def prune_plan(log: DataFrame, oldest: DataFrame, every: int = PRUNE_EVERY, kept: int = KEPT_HEIGHTS, least: int = PRUNE_TWIGS) -> DataFrame:
+    """``(shard_id, height, end_twig)``: :func:`prune_target` of each shard and block, as if nothing had been pruned before.
+
+    ``oldest(shard_id, oldest_active_sn)`` has a row a shard. ``height`` is the block after which pruning comes, ``kept`` blocks after the one
+    whose twigs go. Twigs in use at a height follow from a running maximum over the shards' blocks.
+    """
+    per = log.where("version > 0").groupBy("shard_id", F.shiftright("version", 24).alias("at")).agg(F.max("sn").alias("sn"))
+    heights = per.select("at").distinct().where(F.col("at") % every == 0)
+    base = log.where("version <= 0").groupBy("shard_id").agg(F.max("sn").alias("base"))
+    grid = heights.crossJoin(F.broadcast(oldest.select("shard_id", "oldest_active_sn").join(base, "shard_id", "left")))  # a row a shard
+    both = per.withColumn("asked", F.lit(False)).unionByName(grid.select("shard_id", "at", F.lit(None).cast("long").alias("sn"), F.lit(True).alias("asked"))).groupBy("shard_id", "at").agg(F.max("sn").alias("sn"), F.max("asked").alias("asked"))
+    upto = ranged_max(both.withColumn("own", F.col("sn")), ["shard_id"], ["at"], "own", "before").where("asked")
+    j = upto.join(F.broadcast(oldest.join(base, "shard_id", "left")), "shard_id")
+    twig = F.shiftright(F.greatest(F.coalesce("sn", F.lit(-1)), "before", F.coalesce("base", F.lit(-1))), 11)
+    end = F.least(twig, F.shiftright("oldest_active_sn", 11) - 1)
+    return j.select("shard_id", (F.col("at") + kept).alias("height"), end.alias("end_twig")).where(F.col("end_twig") >= least)
+
+
 def pruned_nodes(nodes: DataFrame, ends: DataFrame) -> DataFrame:
     """Nodes that stay when twigs below ``ends(shard_id, end)`` go, with ``is_edge`` for those kept only to rebuild the root.
 

@@ -5,6 +5,9 @@ The virtual machine itself isn't part of the engine; plain value transfers stand
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +136,49 @@ def transfer_block(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
     return j.select("address", F.when(F.col("balance") >= F.col("down"), u256.add(u256.saturating_sub(F.col("balance"), F.col("down")), F.col("up"))).alias("balance"))
 
 
+_RESULT = "name string, address binary, is_caller boolean, failed boolean, paid binary, value binary"
+
+
+def run_tasks(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Tasks of transfers one after another: ``(name, address, is_caller, failed, paid, value)``, a row for each account that a transfer changed.
+
+    ``transfers(task, k, name, caller, target, amount, fee)``, numbers as 32 bytes, k the place in the task; ``accounts(address, value)``. Each
+    transfer sees what those before it in its task left. It pays ``fee``, moves ``amount`` and counts the caller's nonce up; where the
+    balance doesn't cover both it fails: nothing moves, and the caller pays the fee, or all it has. A caller without account gives no row, a
+    target without one gets a new account. Tasks run side by side, each against the same ``accounts``; a task is small.
+    """
+    ends = transfers.select("task", F.explode(F.array_distinct(F.filter(F.array("caller", "target"), lambda a: a.isNotNull()))).alias("address")).distinct()
+    has = ends.join(accounts.select("address", "value"), "address").groupBy("task").agg(F.collect_list(F.struct("address", "value")).alias("has"))
+    steps = transfers.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("k", "name", "caller", "target", "amount", "fee"))).alias("steps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = bytes(40) + bytes.fromhex(EMPTY_CODE_HASH)
+        for b in batches:
+            out = []
+            for steps_, has_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                now = {a["address"]: a["value"] for a in has_ or []}
+                for s in steps_:
+                    caller, target = s["caller"], s["target"]
+                    if caller not in now:
+                        continue
+                    amount, fee = int.from_bytes(s["amount"], "big"), int.from_bytes(s["fee"], "big")
+                    acc = now[caller]
+                    balance, nonce = int.from_bytes(acc[:32], "big"), int.from_bytes(acc[32:40], "big")
+                    failed = balance < amount + fee
+                    paid = min(balance, fee)
+                    left = balance - paid - (0 if failed or target in (None, caller) else amount)
+                    now[caller] = left.to_bytes(32, "big") + (nonce + 1).to_bytes(8, "big") + acc[40:]
+                    out.append((s["name"], caller, True, failed, paid.to_bytes(32, "big"), now[caller]))
+                    if not failed and target not in (None, caller):
+                        acc = now.get(target, new)
+                        now[target] = ((int.from_bytes(acc[:32], "big") + amount) % (1 << 256)).to_bytes(32, "big") + acc[32:]
+                        out.append((s["name"], target, False, False, None, now[target]))
+            kinds = [pa.string(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(6)], [c.split()[0] for c in _RESULT.split(", ")])
+
+    return steps.join(has, "task", "left").select("steps", "has").mapInArrow(run, _RESULT)
+
+
 def completed_prefix(done: DataFrame) -> DataFrame:
     """``(height, all_done)``: the last task of the longest prefix of a block's tasks that are done; -1 if the first isn't.
 

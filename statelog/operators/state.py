@@ -137,3 +137,9 @@ def code_table(texts: DataFrame, text: str) -> DataFrame:
     """Content-addressed store: ``(code_hash, value)``, equal contents once. Null contents aren't stored."""
     value = F.encode(F.col(text), "UTF-8")
     return texts.where(F.col(text).isNotNull()).select(F.unhex(F.sha2(value, 256)).alias("code_hash"), value.alias("value")).dropDuplicates(["code_hash"])
+
+
+def code_lookup(accounts: DataFrame, code: DataFrame) -> DataFrame:
+    """``accounts(..., code_hash)`` with ``stored``, whether ``code(code_hash)`` holds their code. Code that many accounts share costs no long task:
+    accounts that share a hash are counted out by a left join that adaptive execution may split, and the code side has a row a hash."""
+    return accounts.join(code.select("code_hash", F.lit(True).alias("stored")).distinct(), "code_hash", "left").select(*accounts.columns, F.coalesce("stored", F.lit(False)).alias("stored"))

@@ -142,7 +142,7 @@ select (select count(*) from c) as n_txs, count(*) as n_bundles, round((select c
 def _serial(name: str, ignore_hottest: bool, single: bool) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         hot = A.hottest(table(spark, d, "txs")) if ignore_hottest else None
-        sets = cut(A.numbered(sets_of(spark, d, (hot,) if hot else ())))
+        sets = A.numbered(sets_of(spark, d, (hot,) if hot else ()))
         return B.tlp(B.serial_starts(A.last_collision(sets, single)))
 
     query(_serial_sql(ignore_hottest, single), name)(run)

@@ -18,7 +18,8 @@ from statelog.operators.activity import distinct_blocks
 from statelog.operators.changefeed import live
 from statelog.plans.dependency import _TXS
 from statelog.plans.sqltext import LATEST, OPS, nibble
-from statelog.plans.store import _AS_OF, AS_OF_HEIGHT, asof_query, classes_of, hx, ops_of
+from statelog.plans.store import _AS_OF, asof_query, classes_of, hx, ops_of
+from statelog.plans.store import _then as _before
 from statelog.runtime import cut, scratch, table
 from statelog.sources import blocks as J
 from statelog.streaming.blocks import stream_state as run_stream
@@ -48,10 +49,10 @@ def _then(version: int) -> str:
 a as (select kh, key, value from s0 where value is not null and hex(value) <> repeat('0', 64)), b as (select kh, key, value from state where value is not null and hex(value) <> repeat('0', 64)),
 j as (select coalesce(a.kh, b.kh) as key_hash, a.value as was, b.value as now from a full join b on a.kh = b.kh)
 select {nibble("left(key_hash, 1)")}::integer as shard_id, key_hash, (case when was is null then 3 when now is null then 4 else 2 end)::integer as op_type, lower(hex(now)) as value from j where was is null or now is null or was <> now""", QUERIES, SQL)
-def diff_to_ops(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def diff_to_ops(spark: SparkSession, d: str, height: int) -> DataFrame:
     """Operations that lead from the state before a height to the latest one."""
     ops = ops_of(spark, d)
-    out = X.diff_ops(S.as_of(ops, height << 24).select("key", "value"), S.latest(ops).select("key", "value"))
+    out = X.diff_ops(_before(spark, d, height).select("key", "value"), S.latest(ops).select("key", "value"))
     return out.select("shard_id", hx("key_hash").alias("key_hash"), "op_type", hx("value").alias("value"))
 
 

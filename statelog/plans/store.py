@@ -16,8 +16,7 @@ from statelog.runtime import cut, table
 
 QUERIES, SQL = {}, {}
 
-#: Height of the as-of queries: the middle of the smallest tables, and the tenth block of larger ones. The ``_mid`` queries ask the
-#: same as of the middle height of the feed at hand, so their state grows with it.
+#: Stands in the as-of queries' SQL for the middle height of the feed.
 AS_OF_HEIGHT = 7_000_010
 _AS_OF = AS_OF_HEIGHT << 24
 _MIDDLE = "(select (min(height) + max(height) + 1) // 2 from changes)"
@@ -49,12 +48,11 @@ def _at_middle(sql: str) -> str:
 
 
 def asof_query(sql: str, queries: dict = QUERIES, sqls: dict = SQL):
-    """Register a query ``(spark, d, height)`` by its function's name at its default height, and with ``_mid`` at the middle height."""
+    """Register a query ``(spark, d, height)`` by its function's name, as of the middle height of the feed, so its state grows with the data."""
 
     def add(f):
-        name = f.__name__
-        queries[name], queries[f"{name}_mid"] = f, lambda spark, d: f(spark, d, middle_height(spark, d))
-        sqls[name], sqls[f"{name}_mid"] = sql, _at_middle(sql)
+        queries[f.__name__] = lambda spark, d: f(spark, d, middle_height(spark, d))
+        sqls[f.__name__] = _at_middle(sql)
         return f
 
     return add
@@ -94,8 +92,9 @@ def change_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _then(spark: SparkSession, d: str, height: int) -> DataFrame:
-    """State before a height."""
-    return S.as_of(ops_of(spark, d), height << 24)
+    """State before a height. Versions begin with the height, so the scan skips what lies above by its statistics."""
+    before = table(spark, d, "changes").where((F.col("height") < height) | F.col("height").isNull())
+    return S.as_of(C.ordered_ops(before), height << 24)
 
 
 def _state_columns(s: DataFrame) -> DataFrame:
@@ -114,7 +113,7 @@ _THEN = T.LATEST.replace("where op_type in (2, 3, 4)", f"where op_type in (2, 3,
 
 
 @asof_query(f"with {_THEN} {_STATE}")
-def state_asof(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def state_asof(spark: SparkSession, d: str, height: int) -> DataFrame:
     return _state_columns(_then(spark, d, height))
 
 
@@ -125,18 +124,18 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
 
 @asof_query(f"""with {_THEN}, p as (select distinct kh, key from ops)
 select p.kh as key_hash, s.kh is not null as found, coalesce(octet_length(s.value), 0)::integer as size, lower(hex(s.value)) as value from p left join state s on s.kh = p.kh""")
-def point_lookup(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def point_lookup(spark: SparkSession, d: str, height: int) -> DataFrame:
     found = S.point_lookup(_probes(spark, d), _then(spark, d, height))
     return found.select(hx("key_hash").alias("key_hash"), "found", "size", hx("value").alias("value"))
 
 
 @asof_query(f"with {_THEN} select distinct ops.kh as key_hash from ops semi join state on state.kh = ops.kh")
-def key_exists(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def key_exists(spark: SparkSession, d: str, height: int) -> DataFrame:
     return S.existing(_probes(spark, d), _then(spark, d, height)).select(hx("key_hash").alias("key_hash"))
 
 
 @asof_query(f"with {_THEN} select distinct ops.kh as key_hash from ops anti join state on state.kh = ops.kh")
-def key_missing(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def key_missing(spark: SparkSession, d: str, height: int) -> DataFrame:
     return S.missing(_probes(spark, d), _then(spark, d, height)).select(hx("key_hash").alias("key_hash"))
 
 
@@ -148,20 +147,20 @@ _CHAIN = f"{_THEN},{T.SENTRIES}, keys as (select kh from state union all select
 
 
 @asof_query(f"with {_CHAIN} select kh as key_hash, next_kh as next_key_hash from chain")
-def successor_next_hash(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def successor_next_hash(spark: SparkSession, d: str, height: int) -> DataFrame:
     return _chain(spark, d, height).select(hx("key_hash").alias("key_hash"), hx("next_key_hash").alias("next_key_hash"))
 
 
 @asof_query(f"""with {_CHAIN}, p as (select distinct kh from ops)
 select p.kh as key_hash, c.kh as prev_key_hash, exists (select 1 from state s where s.kh = p.kh) as exists from p asof join chain c on p.kh > c.kh""")
-def predecessor(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def predecessor(spark: SparkSession, d: str, height: int) -> DataFrame:
     p = S.predecessors(_probes(spark, d).select("key_hash"), _chain(spark, d, height))
     return p.select(hx("key_hash").alias("key_hash"), hx("prev_key_hash").alias("prev_key_hash"), "exists")
 
 
 @asof_query(f"""with {_CHAIN}, p as (select distinct kh from ops anti join state on state.kh = ops.kh)
 select p.kh as key_hash, c.kh as prev_key_hash, c.next_kh as next_key_hash from p asof join chain c on p.kh > c.kh""")
-def not_exists(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def not_exists(spark: SparkSession, d: str, height: int) -> DataFrame:
     n = S.non_existence(_probes(spark, d).select("key_hash"), _chain(spark, d, height))
     return n.select(*[hx(c).alias(c) for c in ("key_hash", "prev_key_hash", "next_key_hash")])
 
@@ -170,7 +169,7 @@ def not_exists(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataF
 select version, op_seq, ops.kh as key_hash, ops.kh as read_hash from ops semi join state on state.kh = ops.kh where op_type in (1, 2)
 union all
 select version, op_seq, o.kh, c.kh from (select * from ops where op_type in (3, 4)) o asof join chain c on o.kh > c.kh""")
-def op_lookup(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def op_lookup(spark: SparkSession, d: str, height: int) -> DataFrame:
     then = _then(spark, d, height)
     return S.op_lookup(ops_of(spark, d), then, _chain(spark, d, height)).select("version", "op_seq", hx("key_hash").alias("key_hash"), hx("read_hash").alias("read_hash"))
 
@@ -193,7 +192,7 @@ def _layer_sql(height: int, width: int) -> str:
 j as (select p.kh, case when l0.kh is not null then 0 when l1.kh is not null then 1 when s.kh is not null then 2 end::integer as layer, l0.value as v0, l1.value as v1, s.value as v2
   from p left join l0 on l0.kh = p.kh left join l1 on l1.kh = p.kh left join state s on s.kh = p.kh)
 select kh as key_hash, layer, lower(hex(case layer when 0 then v0 when 1 then v1 when 2 then v2 end)) as value from j""")
-def overlay_lookup(spark: SparkSession, d: str, height: int = AS_OF_HEIGHT) -> DataFrame:
+def overlay_lookup(spark: SparkSession, d: str, height: int) -> DataFrame:
     """Reads through the overlays of two blocks in flight and the store below them."""
     ops = ops_of(spark, d)
     layers = [S.overlay(ops, height + 2, 1).select("key_hash", "value"), S.overlay(ops, height + 1, 1).select("key_hash", "value"), _then(spark, d, height).select("key_hash", "value")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,15 +12,20 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension-like side may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Masters whose tasks run in the driver's own process.
+_LOCAL = re.compile(r"local(\[[^\]]*\])?")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors can read and write.
+    """Folder that all executors can read and write: the one named in ``spark.checkpoint.dir``.
 
-    It is the one named in ``spark.checkpoint.dir``; only where the session has none (local tests) a temporary one is set.
+    Only a session that runs in this one process (local tests) gets a temporary folder if it names none; on a cluster that is an error,
+    as each machine would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not _LOCAL.fullmatch(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read and write")
         named = "file://" + tempfile.mkdtemp(prefix="statelog-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -40,18 +46,30 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder, deleted when the Python process ends."""
+    """A new folder's path in the shared folder, deleted by :func:`release` or when the Python process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete_quietly, spark, path)
+    if not _made:
+        atexit.register(release)
+    _made.append((spark, path))
     return path
 
 
+def release() -> None:
+    """Delete all folders of :func:`scratch` so far. Tables that were made from them can't be read any more, so a long session calls it
+    between queries, after their results are written."""
+    while _made:
+        _delete_quietly(*_made.pop())
+
+
 def cut(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a columnar table in the shared folder and read it back.
 
     Cuts lineage and stops a shared subplan from running once for each use. The table survives the loss of executors and
-    later reads prune its columns. It is deleted when the Python process ends.
+    later reads prune its columns. It is deleted by :func:`release` or when the Python process ends.
     """
     spark = df.sparkSession
     path = scratch(spark, "cut")

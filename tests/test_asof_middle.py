@@ -16,7 +16,7 @@ def test_middle_query_equals_its_sql(spark, name, monkeypatch):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     monkeypatch.setattr(sqlcheck, "DATA", SF)
-    sqlcheck.same(spark, registry.QUERIES, registry.SQL, f"{name}_mid")
+    sqlcheck.same(spark, registry.QUERIES, registry.SQL, name)
 
 
 def test_state_grows_with_the_feed(spark, tmp_path):
@@ -24,6 +24,6 @@ def test_state_grows_with_the_feed(spark, tmp_path):
     schema = "height bigint, task_idx int, cset_idx int, op_seq int, op_type int, key binary, value binary, version bigint"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/changes.parquet")
     assert store.middle_height(spark, str(tmp_path)) == 7_000_200
-    assert registry.QUERIES["state_asof_mid"](spark, str(tmp_path)).count() == 200
+    assert registry.QUERIES["state_asof"](spark, str(tmp_path)).count() == 200
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/changes.parquet")
-    assert registry.QUERIES["state_asof_mid"](spark, f"{tmp_path}/none").count() == 0
+    assert registry.QUERIES["state_asof"](spark, f"{tmp_path}/none").count() == 0

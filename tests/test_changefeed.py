@@ -47,6 +47,37 @@ def test_late_and_repeated_changes(spark, seed):
     assert apply_changes(df.where("false")).collect() == []
 
 
+def test_ties_do_not_depend_on_arrival(spark):
+    """Changes with equal place and kind: the greatest value stands, a null one least, in whatever order and split they come."""
+    rows = [(1, 0, 0, 0, 2, b"k", v, 1 << 24) for v in (b"a", b"z", None, b"", b"m")] + [(1, 0, 0, 0, 2, b"n", None, 1 << 24)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        for parts in (1, 5):
+            got = as_dict(apply_changes(spark.createDataFrame(rows, SCHEMA).repartition(parts), 2))
+            assert got == {b"k": (1 << 24, 0, 2, b"z"), b"n": (1 << 24, 0, 2, None)}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from statelog import runtime
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]", "k8s://https://host"):
+        with pytest.raises(RuntimeError):
+            runtime.shared_dir(Session(master))
+
+
 def test_publish_replaces_in_one_step(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     assert read_published(spark, folder) is None

@@ -18,14 +18,10 @@ def test_entry_module(spark):
 
 
 def test_plans_prune_and_push(spark):
-    """A state query reads the columns it needs and filters in the scan."""
+    """The registered as-of query reads the columns it needs, and what lies above its height is left to the scan's statistics."""
     import os
 
-    from statelog.operators import state as S
-    from statelog.runtime import table
-
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
-    df = S.as_of(table(spark, "/root/testdata/sf0.001", "changes").select("shard_id", "key_hash", "key", "value", "op_type", "version", "op_seq"), 1 << 60)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "received_at" not in plan and "PushedFilters: [" in plan and "LessThan(version" in plan
+    plan = registry.QUERIES["state_asof"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "received_at" not in plan and "PushedFilters: [" in plan and "LessThan(height" in plan

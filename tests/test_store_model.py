@@ -145,7 +145,8 @@ def model_roots(model, dead_below=0):
 def test_trees_proofs_and_recovery(spark, log, model):
     active = cut(L.active_entries(log))
     assert {bytes(r.entity) for r in active.select("entity").collect()} == set(model.live)
-    nodes = cut(M.all_nodes(log, active))
+    tree_twigs, upper = M.tree(log, active)
+    nodes = cut(M.nodes_of_tree(tree_twigs, upper))
     assert M.inconsistent(nodes).collect() == []
     roots = cut(M.roots_of(nodes))
     assert {r.shard_id: (r.level, bytes(r.root_hash)) for r in roots.collect()} == model_roots(model)
@@ -153,13 +154,23 @@ def test_trees_proofs_and_recovery(spark, log, model):
     assert {(r.shard_id, r.level, bytes(r.root_hash)) for r in M.shard_roots(twigs).collect()} == {(r.shard_id, r.level, bytes(r.root_hash)) for r in roots.collect()}
     # proofs of live, dead and unused leaves
     asked = log.where("sn % 97 = 3").select("shard_id", "sn").unionByName(spark.createDataFrame([(0, 6000), (5, 6143)], "shard_id int, sn bigint"))
-    proofs = cut(P.proof_rows(asked, nodes, roots))
+    proofs = cut(P.proof_paths(asked, tree_twigs, upper, roots))
+    assert proofs.count() == asked.count()
     assert {r.valid for r in P.check_proofs(proofs, roots).collect()} == {True}
-    assert {r.valid for r in P.decode_proofs(P.encode_proofs(proofs, roots)).collect()} == {True}
-    forged = proofs.withColumn("self_hash", F.when((F.col("part") == "left") & (F.col("level") == 0), F.unhex(F.lit("00" * 32))).otherwise(F.col("self_hash")))
-    assert {r.valid for r in P.check_proofs(forged, roots).collect()} == {False}
+    encoded = cut(P.encode_proofs(proofs, roots))
+    assert {r.valid for r in P.decode_proofs(encoded).collect()} == {True}
+    one = encoded.first()
+    assert {(r.shard_id, r.sn) for r in P.decode_proofs(encoded).collect()} == {(r.shard_id, r.sn) for r in asked.collect()}
+    assert len(one.proof) % 32 == 8 and one.proof[-32:] == {r.shard_id: bytes(r.root_hash) for r in roots.collect()}[one.shard_id]
+    spoilt = encoded.withColumn("proof", F.concat(F.substring("proof", 1, 60), F.unhex(F.lit("00112233445566")), F.expr("substring(proof, 68)")))
+    assert {r.valid for r in P.decode_proofs(spoilt).collect()} == {False}
+    own = F.transform("steps", lambda s: s.withField("self_hash", F.when((s["part"] == "left") & (s["level"] == 0), F.unhex(F.lit("00" * 32))).otherwise(s["self_hash"])))
+    assert {r.valid for r in P.check_proofs(proofs.withColumn("steps", own), roots).collect()} == {False}
     w = cut(P.witness(asked.where("shard_id < 3"), nodes, roots))
     assert {r.valid for r in P.verify_witness(w, roots).collect()} == {True}
+    stored = asked.join(log.select("shard_id", "sn"), ["shard_id", "sn"], "left_semi")
+    back = P.read_witness(P.witness_bytes(w, stored), M.leaf_hashes(stored.join(log, ["shard_id", "sn"])))
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, w.select("shard_id", "level", "nth", "hash").withColumn("level", F.col("level").cast("int")).collect()))
     bad = w.withColumn("hash", F.when(F.col("given"), F.unhex(F.lit("11" * 32))).otherwise(F.col("hash")))
     assert {r.valid for r in P.verify_witness(bad, roots).collect()} == {False}
     # pruning and recovery

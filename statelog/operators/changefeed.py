@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statelog.runtime import delete_path
+from statelog.runtime import cut, delete_path
 
 READ, WRITE, CREATE, DELETE = 1, 2, 3, 4
+#: Buckets of a table that is upserted in place.
+BUCKETS = 64
 _SCHEMA = "key binary, version bigint, op_seq bigint, op_type int, value binary"
 
 _CREATE = "create table state (key blob primary key, version bigint, op_seq bigint, op_type integer, value blob)"
@@ -80,26 +82,67 @@ def publish(state: DataFrame, folder: str, keep: int = 2) -> DataFrame:
     former generation or the new one, never a mixture. A failed write leaves the former one current. ``keep`` generations stay.
     Returns the published rows.
     """
-    spark = state.sparkSession
-    fs_path, fs, jvm = _fs(spark, folder)
     generation = f"gen-{uuid.uuid4().hex}"
     state.write.option("compression", "zstd").parquet(f"{folder}/{generation}")
+    _point(state.sparkSession, folder, {"all": generation}, keep)
+    return state.sparkSession.read.schema(state.schema).parquet(f"{folder}/{generation}")
+
+
+def upsert(changes: DataFrame, folder: str, buckets: int = BUCKETS, keep: int = 2) -> DataFrame:
+    """Apply ``changes`` to the table in ``folder`` and return its rows, tombstones included.
+
+    Keys fall into ``buckets`` by hash, and the pointer names the generation that each bucket was last written in: only buckets that the
+    changes touch are read, merged and written. As in :func:`publish`, the new state becomes current in one step. Applying changes
+    again makes no difference. ``buckets`` is set by the first use; a table that :func:`publish` wrote is parted into them.
+    """
+    spark = changes.sparkSession
+    pointer = _pointer(spark, folder)
+    now, buckets = pointer.get("now", {}), pointer.get("buckets") or buckets
+    place = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    new = cut(apply_changes(changes).select("*", place))
+    touched = [str(r[0]) for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
+    old = [now[b] for b in touched if b in now] + [now[b] for b in now if b == "all"]
+    rows = new.drop("bucket")
+    if old:
+        was = spark.read.schema(_SCHEMA).parquet(*[f"{folder}/{o}" for o in old])
+        rows = was.unionByName(rows).repartition("key").mapInArrow(_upsert, _SCHEMA)
+    if touched:
+        generation = f"gen-{uuid.uuid4().hex}"
+        rows.select("*", place).repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/{generation}")
+        if "all" in now:
+            touched = [str(r[0]) for r in rows.select(place).distinct().collect()]
+        kept = {b: g for b, g in now.items() if b != "all" and b not in touched}
+        _point(spark, folder, {**kept, **{b: f"{generation}/bucket={b}" for b in touched}}, keep, buckets)
+    elif not pointer:
+        _point(spark, folder, {}, keep, buckets)
+    return read_published(spark, folder)
+
+
+def _point(spark: SparkSession, folder: str, now: dict[str, str], keep: int, buckets: int | None = None) -> None:
+    """Make ``now``, folders of rows by bucket, the current state, and delete what neither it nor the ``keep`` - 1 states before it name."""
+    fs_path, fs, jvm = _fs(spark, folder)
     former = _pointer(spark, folder)
-    names = [generation, *former]
-    tmp = jvm.org.apache.hadoop.fs.Path(fs_path, f".CURRENT-{generation}")
+    before = ([former["now"], *former["before"]] if former else [])[: keep - 1]
+    tmp = jvm.org.apache.hadoop.fs.Path(fs_path, f".CURRENT-{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(names[:keep]).encode()))
+    out.write(bytearray(json.dumps({"now": now, "before": before, "buckets": buckets}).encode()))
     out.close()
     _replace(jvm, spark, fs, tmp, jvm.org.apache.hadoop.fs.Path(fs_path, "CURRENT"))
-    for old in names[keep:]:
-        delete_path(spark, f"{folder}/{old}")
-    return spark.read.schema(state.schema).parquet(f"{folder}/{generation}")
+    named = {g.split("/")[0] for state in (now, *before) for g in state.values()}
+    for state in [former["now"], *former["before"]] if former else []:
+        for g in {g.split("/")[0] for g in state.values()} - named:
+            delete_path(spark, f"{folder}/{g}")
 
 
 def read_published(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Rows of the current generation, or None if nothing was published."""
-    names = _pointer(spark, folder)
-    return spark.read.parquet(f"{folder}/{names[0]}") if names else None
+    """Rows of the current state, or None if nothing was published."""
+    pointer = _pointer(spark, folder)
+    if not pointer:
+        return None
+    paths = [f"{folder}/{g}" for g in pointer["now"].values()]
+    if pointer["buckets"]:
+        return spark.read.schema(_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], _SCHEMA)
+    return spark.read.parquet(*paths)
 
 
 def _fs(spark: SparkSession, folder: str):
@@ -116,11 +159,11 @@ def _replace(jvm, spark: SparkSession, fs, tmp, to) -> None:
     context.rename(fs.makeQualified(tmp), fs.makeQualified(to), options)
 
 
-def _pointer(spark: SparkSession, folder: str) -> list[str]:
+def _pointer(spark: SparkSession, folder: str) -> dict:
     path, fs, jvm = _fs(spark, folder)
     current = jvm.org.apache.hadoop.fs.Path(path, "CURRENT")
     if not fs.exists(current):
-        return []
+        return {}
     stream = fs.open(current)
     try:
         return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statelog.operators.changefeed import apply_changes, live, publish, read_published
+from statelog.operators.changefeed import apply_changes, live, publish, read_published, upsert
 from statelog.runtime import delete_path
 
 _OPS = "height bigint, task_idx int, cset_idx int, op_seq int, op_type int, key binary, value binary, version bigint"
@@ -51,7 +51,7 @@ class StateStore:
         return self.spark.createDataFrame([], "key binary, version bigint, op_seq bigint, op_type int, value binary") if s is None else s
 
     def commit(self, ops: DataFrame, height: int) -> None:
-        """Add a block. A height at or below the last committed one was applied before and is left alone, so a repeated batch does no harm."""
+        """Add a block; only the buckets of the state that it touches are written. A height at or below the last committed one was applied before and is left alone, so a repeated batch does no harm."""
         if height <= self.height:
             return
         cols = [c.split()[0] for c in _OPS.split(", ")]
@@ -59,9 +59,7 @@ class StateStore:
         path = f"{self.folder}/ops/height={height}"
         block.drop("height").write.mode("overwrite").parquet(path)
         written = self.spark.read.schema(_OPS.replace("height bigint, ", "")).parquet(path)
-        was = self.state().select(F.lit(height).cast("long").alias("height"), F.lit(0).alias("task_idx"), "op_seq", "op_type", "key", "value", "version")
-        now = was.unionByName(written.withColumn("height", F.lit(height).cast("long")).select(*was.columns))
-        state = publish(apply_changes(now), f"{self.folder}/state")
+        state = upsert(written.withColumn("height", F.lit(height).cast("long")), f"{self.folder}/state")
         row = state.agg(F.lit(height).cast("long").alias("height"), F.lit(written.count()).cast("long").alias("n_ops"), F.count(F.when(F.col("op_type") != 4, 1)).alias("n_live"))
         row.coalesce(1).write.mode("append").parquet(f"{self.folder}/meta")
 

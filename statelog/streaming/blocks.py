@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from statelog.operators.changefeed import apply_changes, publish, read_published
+from statelog.operators.changefeed import apply_changes, read_published, upsert
 from statelog.sources.store import StateStore
 
 
 def stream_state(spark: SparkSession, source: str, schema, folder: str, checkpoint: str, files_a_batch: int = 1000) -> DataFrame:
-    """State of a change feed that arrives as files in ``source``: each micro-batch is upserted into the published state.
+    """State of a change feed that arrives as files in ``source``: each micro-batch is upserted into the buckets of the published
+    state that it touches.
 
     Rows may come late, repeated and out of order across batches; what counts is (version, op_seq). A batch that is run again after a
     failure changes nothing. Reads what is there and stops; started again, it goes on with new files. No rows give an empty state.
@@ -22,13 +23,7 @@ def stream_state(spark: SparkSession, source: str, schema, folder: str, checkpoi
     state_path = f"{folder}/state"
 
     def batch(rows: DataFrame, _: int) -> None:
-        session = rows.sparkSession
-        new = rows.select("key", "version", "height", "task_idx", "op_seq", "op_type", "value")
-        was = read_published(session, state_path)
-        if was is not None:
-            old = was.select("key", "version", F.lit(None).cast("bigint").alias("height"), F.lit(None).cast("int").alias("task_idx"), F.col("op_seq").cast(new.schema["op_seq"].dataType).alias("op_seq"), "op_type", "value")
-            new = new.unionByName(old)
-        publish(apply_changes(new), state_path)
+        upsert(rows.select("key", "version", "height", "task_idx", "op_seq", "op_type", "value"), state_path)
 
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from statelog.operators.changefeed import apply_changes, live, publish, read_published
+from statelog.operators.changefeed import _pointer, apply_changes, live, publish, read_published, upsert
 from statelog.sources.store import StateStore
 from statelog.streaming.blocks import ordered_by_shard, stream_blocks, stream_serial_bundles, stream_state
 
@@ -47,6 +47,24 @@ def test_late_and_repeated_changes(spark, seed):
     assert apply_changes(df.where("false")).collect() == []
 
 
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    rows, folder = feed(seed=4), f"file://{tmp_path}/u"
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert upsert(df.where("false"), folder, 8).collect() == []
+    for part in ("height <= 12", "height > 12", "height > 12"):
+        upsert(df.where(part), folder, 8)
+    assert as_dict(read_published(spark, folder)) == model(rows)
+    was = _pointer(spark, folder)["now"]
+    late = [(99, 0, 0, 0, 2, b"hot", b"new", None), (1, 0, 0, 0, 4, bytes([3]), None, None)]
+    assert as_dict(upsert(spark.createDataFrame(late, SCHEMA), folder)) == model(rows + late)
+    now = _pointer(spark, folder)["now"]
+    assert 1 <= sum(was[b] != now[b] for b in now) <= 2 and set(was) == set(now)
+    kept = {g.split("/")[0] for g in [*was.values(), *now.values()]}
+    assert {p.name for p in (tmp_path / "u").iterdir() if p.name.startswith("gen-")} == kept
+    publish(apply_changes(df.where("height <= 12")), f"{folder}2")  # a table written as a whole is parted
+    assert as_dict(upsert(df.where("height > 12"), f"{folder}2", 4)) == model(rows)
+
+
 def test_ties_do_not_depend_on_arrival(spark):
     """Changes with equal place and kind: the greatest value stands, a null one least, in whatever order and split they come."""
     rows = [(1, 0, 0, 0, 2, b"k", v, 1 << 24) for v in (b"a", b"z", None, b"", b"m")] + [(1, 0, 0, 0, 2, b"n", None, 1 << 24)]

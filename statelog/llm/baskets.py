@@ -47,15 +47,12 @@ def hot_and_cold(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts.where(heavy), counts.where(~heavy)
 
 
-def look_up(rows: DataFrame, counts: DataFrame, keys: list[str], values: list[str], small: int) -> DataFrame:
+def look_up(rows: DataFrame, counts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """``rows`` with ``values`` of ``counts(keys..., values..., n, keeps)`` by key; rows whose key doesn't keep are dropped.
 
-    ``counts`` is a written table with one row for each key in ``rows`` and its number of rows n. If at most ``small`` keys keep, they are
-    broadcast. Otherwise no reducer gets a heavy key: heavy keys, HOT at most, are broadcast, and rows of the others are shuffled by key.
+    ``counts`` is a written table with one row for each key in ``rows`` and its number of rows n. No reducer gets a heavy key: heavy keys,
+    HOT at most, are broadcast, and rows of the others are shuffled by key.
     """
-    keeping = counts.where("keeps").select(*keys, *values)
-    if keeping.limit(small + 1).count() <= small:
-        return rows.join(F.broadcast(keeping), keys)
     hot, cold = hot_and_cold(counts)
     hot = hot.select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values], F.col("keeps").alias("_keeps"))
     met = rows.join(F.broadcast(hot), keys, "left")

@@ -179,7 +179,7 @@ def similar_classes(members: DataFrame, threshold: float, tile: int = TILE, smal
     tokens = cut(tokens)
     counts = cut(tokens.groupBy("field", "token").agg(F.count("*").alias("n")))
     # tokens of a single set come first and match nothing: n is 1 for those, without a look-up of their own
-    known = look_up(tokens, counts.withColumn("many", F.col("n")).withColumn("keeps", F.col("n") > 1), ["field", "token"], ["many"], small)
+    known = look_up(tokens, counts.withColumn("many", F.col("n")).withColumn("keeps", F.col("n") > 1), ["field", "token"], ["many"])
     ordered = known.groupBy("field", "class_id", "size", "sides").agg(F.array_sort(F.collect_list(F.struct(F.col("many").alias("n"), "token"))).alias("o"))
     alone = F.col("size") - F.size("o")
     prefix = F.greatest(F.expr(f"size - cast(ceil({threshold} * size - {_EPS}) as int) + 1") - alone, F.lit(0))

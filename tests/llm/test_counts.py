@@ -64,8 +64,6 @@ def test_cooccurrence(spark):
             if k >= least and k * n >= lift * single[x] * single[y]:
                 want[x, y] = (single[x], single[y], k, round(v, 9), round(math.log2(v), 9))
         assert got == want
-        far = cooccurrence.item_pairs(b, ["rnw_addr_list"], least, lift, small=0)  # too many items for one broadcast
-        assert {(r.item_a, r.item_b): (r.n_a, r.n_b, r.n_ab, round(r.lift, 9), round(r.pmi, 9)) for r in far.collect()} == want
     assert cooccurrence.item_pairs(b.where("false"), ["rnw_addr_list"], 1, 0.0).collect() == []
 
 
@@ -85,8 +83,9 @@ def test_hot_keys_are_few_and_none_is_lost(spark, monkeypatch):
     counts = rows.groupBy("key").count().selectExpr("key", "count as n", "key <> 'k7' as keeps", "upper(key) as name")
     hot, cold = B.hot_and_cold(counts)
     assert [r.key for r in hot.collect()] == ["hot"] and cold.count() == 50
-    for small in (0, 1000):
-        got = sorted((r.at, r.name) for r in B.look_up(rows, counts, ["key"], ["name"], small).collect())
+    for heavy in (4, 10_000, 0):  # one heavy key, all of them, none
+        monkeypatch.setattr(B, "HOT", heavy)
+        got = sorted((r.at, r.name) for r in B.look_up(rows, counts, ["key"], ["name"]).collect())
         assert got == sorted((r.at, r.key.upper()) for r in rows.collect() if r.key != "k7")
 
 

@@ -260,12 +260,12 @@ def _swapped(flat: np.ndarray, is_group: np.ndarray, group_ids: np.ndarray, firs
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = FIT_TEXTS, chars: int = FIT_CHARS) -> list[tuple[str | None, float, int | None]]:
-    """A sample of the labelled texts, ``(text, mean vote, page)``; null votes don't count.
+    """A sample of the labelled texts, ``(text, mean vote, page)``; null votes and null texts don't count.
 
     At most ``most`` texts, and whole texts up to ``chars`` characters in all, picked by a hash of their id; the first is always taken.
     """
     votes = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("vote")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text", "page_id").join(votes, "doc_id").withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
+    rows = docs.where("text is not null").select("doc_id", "text", "page_id").join(votes, "doc_id").withColumn("chars", F.length("text"))
     w = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # at most ``most`` rows
     before = rows.select("doc_id", "chars").select("doc_id", F.coalesce(F.sum("chars").over(w), F.lit(0)).alias("before"), "chars")
     taken = before.where((F.col("before") == 0) | (F.col("before") + F.col("chars") <= chars)).select("doc_id")

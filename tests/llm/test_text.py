@@ -178,5 +178,5 @@ def test_scores_of_odd_texts(spark):
     assert texts == [("you fucking dipshit cunt", 0.5, None)]
     many = spark.createDataFrame([(i, "r", i % 2) for i in range(1, 6)], "doc_id bigint, rater string, abusive int")
     bounded = [abuse.labelled_texts(df.withColumn("page_id", F.lit(None).cast("bigint")), many, chars=c) for c in (1, 30, 10**6)]
-    assert [len(b) for b in bounded][-1] == 5 and len(bounded[0]) <= len(bounded[1]) < 5
+    assert len(bounded[2]) == 4 and len(bounded[0]) <= len(bounded[1]) < 4
     assert abuse.fit(texts).scores(["x"]).shape == (1,)

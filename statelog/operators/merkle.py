@@ -140,6 +140,29 @@ def updated_twigs(old: DataFrame, log: DataFrame, active: DataFrame, touched: Da
     return kept.select("shard_id", "nth", "hash").unionByName(new)
 
 
+def updated_upper(old: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of levels 12 and up after the twig roots ``roots(shard_id, nth, hash)`` changed or were added, from those before.
+
+    Only ancestors of changed twigs are hashed again, each once: level by level, the parents of what changed below take one child or
+    both from there and the other from ``old(shard_id, level, nth, hash)``. A shard whose youngest twig now asks for a higher root gets one.
+    """
+    both = old.where("level = 12").select("shard_id", "nth").unionByName(roots.select("shard_id", "nth"))
+    tops = cut(both.groupBy("shard_id").agg(max_level(F.max("nth")).alias("top")))
+    highest = tops.agg(F.max("top")).first()[0] or 12
+    tops = F.broadcast(tops)  # a row a shard
+    now, fresh = roots.select("shard_id", "nth", "hash"), roots.select("shard_id", F.lit(12).alias("level"), "nth", "hash")
+    for level in range(12, int(highest)):
+        parents = now.join(tops, "shard_id").where(F.col("top") > level).select("shard_id", F.shiftright("nth", 1).alias("up")).distinct()
+        here = old.where(F.col("level") == level).select("shard_id", "nth", F.col("hash").alias("was"))
+        kids = parents.select("shard_id", "up", F.explode(F.array(F.col("up") * 2, F.col("up") * 2 + 1)).alias("nth"))
+        kids = kids.join(now, ["shard_id", "nth"], "left").join(here, ["shard_id", "nth"], "left").withColumn("hash", F.coalesce("hash", "was", F.lit(null_upper(level))))
+        side = lambda s: F.max(F.when(F.col("nth").bitwiseAND(1) == s, F.col("hash")))
+        pairs = kids.groupBy("shard_id", "up").agg(side(0).alias("l"), side(1).alias("r"))
+        now = cut(pairs.select("shard_id", F.col("up").alias("nth"), node_hash(level, F.col("l"), F.col("r")).alias("hash")))
+        fresh = fresh.unionByName(now.select("shard_id", F.lit(level + 1).alias("level"), "nth", "hash"))
+    return fresh.unionByName(old.select("shard_id", "level", "nth", "hash").join(fresh.select("shard_id", "level", "nth"), ["shard_id", "level", "nth"], "left_anti"))
+
+
 def inconsistent(nodes: DataFrame) -> DataFrame:
     """Nodes that aren't the hash of their children: none in a sound tree. Children that aren't stored above twigs are null twigs."""
     kids = nodes.select("shard_id", (F.col("level") + 1).alias("level"), F.shiftright("nth", 1).alias("nth"), F.col("nth").bitwiseAND(1).alias("side"), F.col("hash").alias("kid"))

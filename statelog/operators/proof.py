@@ -222,6 +222,25 @@ def changed_sns(old_bits: DataFrame, new_bits: DataFrame) -> DataFrame:
     return bit.where(is_set("o") != is_set("n")).select("shard_id", (F.col("twig") * 2048 + F.col("i") * 8 + F.col("k")).alias("sn"), (is_set("n") == 1).alias("active"))
 
 
+def block_entries(old: DataFrame, active: DataFrame, effects: DataFrame) -> DataFrame:
+    """``(shard_id, sn, part)``: numbers a block may append, entries that its compaction would move, and those whose liveness it looks at.
+
+    ``old`` is the log before the block, ``active`` its live entries, ``effects(shard_id, effect)`` the block's operations without effectless ones.
+    CREATE appends one entry and lets two move, WRITE one and one, DELETE one and none; ``appended`` counts moved entries too. ``compacted``
+    are the oldest live entries, ``bits`` all from the first of them to the one before the last. Places among live entries are running sums.
+    """
+    n = lambda e: F.sum((F.col("effect") == e).cast("long"))
+    counts = effects.groupBy("shard_id").agg(F.count("*").alias("changes"), (n("create") * 2 + n("write")).alias("moves"))
+    counts = cut(counts.join(old.groupBy("shard_id").agg((F.max("sn") + 1).alias("end")), "shard_id"))
+    small = F.broadcast(counts)  # a row a shard
+    appended = counts.select("shard_id", F.explode(F.sequence("end", F.col("end") + F.col("changes") + F.col("moves") - 1)).alias("sn"), F.lit("appended").alias("part"))
+    placed = ranged_sums(active.select("shard_id", "sn", F.lit(1).cast("long").alias("one")), ["shard_id"], ["sn"], {"one": "place"})
+    moved = cut(placed.join(small, "shard_id").where(F.col("place") < F.col("moves")).select("shard_id", "sn"))
+    span = moved.groupBy("shard_id").agg(F.min("sn").alias("a"), F.max("sn").alias("b")).where("a < b")
+    bits = span.select("shard_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("sn"), F.lit("bits").alias("part"))
+    return appended.unionByName(moved.withColumn("part", F.lit("compacted"))).unionByName(bits)
+
+
 def verify_entries(claimed: DataFrame, log: DataFrame, active: DataFrame) -> DataFrame:
     """``claimed(shard_id, sn, leaf, live)`` with ``valid``: whether leaf hash and liveness are those of the log."""
     real = leaf_hashes(log).withColumnRenamed("leaf", "real_leaf")

@@ -171,7 +171,43 @@ def reorder_tlp_tasks(spark: SparkSession, d: str) -> DataFrame:
     return B.reorder_tlp(B.reorder(A.task_sets(sets_of(spark, d, (hot,) if hot else ())), CONFIGS))
 
 
-@query()
+def _positions(h: str) -> str:
+    """SQL list of the five filter positions of a hash as hex text."""
+    bit = lambda at: f"((strpos('0123456789abcdef', substr({h}, {16 - at // 4}, 1)) - 1) // {1 << at % 4} % 2)"
+    return "[" + ", ".join("(" + " + ".join(f"{bit(11 * j + b)} * {1 << b}" for b in range(11)) + ")::integer" for j in range(5)) + "]"
+
+
+_LANE = "struct(r integer[], w integer[], m integer[], nr bigint, nw bigint)"
+_HITS = "len(list_filter(s.r, lambda h: list_has_all(l.w, h))) > 0 or len(list_filter(s.w, lambda h: list_has_all(l.w, h) or list_has_all(l.r, h))) > 0"
+
+
+@query(f"""with recursive {_acc()},
+hashed as (select height, tx_idx, mode, hash, {_positions("hash")} as p from acc),
+side as (select height, tx_idx, mode, list(p) as p, list(left(hash, 16)) as k from hashed group by all),
+s as materialized (
+  select tx.height, tx.tx_idx, row_number() over (partition by tx.height order by tx.tx_idx) as k, count(*) over (partition by tx.height) as n,
+    coalesce(r.p, []) as r, coalesce(w.p, []) as w, coalesce(r.k, []) as rk, coalesce(w.k, []) as wk
+  from tx left join side r on r.height = tx.height and r.tx_idx = tx.tx_idx and r.mode = 'r' left join side w on w.height = tx.height and w.tx_idx = tx.tx_idx and w.mode = 'w'),
+run(height, k, lanes, done) as (
+  select distinct height, 0::bigint, []::{_LANE}[], []::integer[][] from s
+  union all
+  select height, k, case when closes then list_transform(put, lambda l, j: case when j = i then {{'r': []::integer[], 'w': []::integer[], 'm': []::integer[], 'nr': 0::bigint, 'nw': 0::bigint}} else l end) else put end, case when closes then done || [put[i].m] else done end
+  from (
+    select *, k < n and (put[i].nr > 256 or put[i].nw > 256 or len(put[i].m) >= 64) as closes from (
+      select *, list_transform(case when i > len(lanes) then lanes || [{{'r': []::integer[], 'w': []::integer[], 'm': []::integer[], 'nr': 0::bigint, 'nw': 0::bigint}}] else lanes end, lambda l, j: case when j = i then
+        {{'r': list_distinct(l.r || flatten(r)), 'w': list_distinct(l.w || flatten(w)), 'm': l.m || [tx_idx], 'nr': l.nr + len(r), 'nw': l.nw + len(w)}} else l end) as put from (
+        select run.height, s.k, s.n, s.tx_idx, s.r, s.w, run.lanes, run.done, coalesce(list_position(list_transform(run.lanes, lambda l: {_HITS}), false), len(run.lanes) + 1) as i
+        from run join s on s.height = run.height and s.k = run.k + 1)))),
+bundles as (select run.height, unnest(run.done || list_transform(list_filter(run.lanes, lambda l: len(l.m) > 0), lambda l: l.m)) as m, generate_subscripts(run.done || list_transform(list_filter(run.lanes, lambda l: len(l.m) > 0), lambda l: l.m), 1) as b
+  from run join (select height, max(n) as n from s group by height) e on e.height = run.height and run.k = e.n),
+flat as (select height, b, unnest(m) as tx_idx, generate_subscripts(m, 1) as slot from bundles),
+o as (select *, row_number() over (partition by height order by b, slot) - 1 as out_idx from flat),
+o2 as (select o.*, min(out_idx) over (partition by height, b) as start from o),
+q as (select o2.*, s.rk, s.wk from o2 join s using (height, tx_idx)),
+hit as (
+  select a.height, a.out_idx, max(b.out_idx) as j from q a join q b on a.height = b.height and b.out_idx < a.start and b.out_idx >= a.start - 128
+    and (list_has_any(b.wk, a.rk) or list_has_any(b.wk, a.wk) or list_has_any(b.rk, a.wk)) group by all)
+select q.height, q.out_idx::integer as out_idx, q.tx_idx, q.start::integer as bundle_start, coalesce(hit.j, greatest(q.start - 129, 0))::integer as all_done_idx, false as failed from q left join hit using (height, out_idx)""")
 def exec_schedule(spark: SparkSession, d: str) -> DataFrame:
     return B.block_schedules(sets_of(spark, d))
 

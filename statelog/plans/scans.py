@@ -132,3 +132,62 @@ def block_validation(spark: SparkSession, d: str) -> DataFrame:
         roots = cut(M.roots_of(nodes))
         checks.append(P.verify_witness(P.witness(asked, nodes, roots), roots).withColumnRenamed("valid", name))
     return checks[0].join(checks[1], "shard_id")
+
+
+@query(f"with {_ROOTS}, u as ({' union all '.join(f'select shard_id, {12 + r} as level, nth, h from u{12 + r}' for r in range(_UPPER + 1))}) select shard_id, level::integer as level, nth, h as hash from u join top using (shard_id) where level <= top and nth < (1 << (top - level))")
+def upper_tree_updated(spark: SparkSession, d: str) -> DataFrame:
+    """The upper tree after the last block, from the one before it and the twigs that the block changed."""
+    log = cut(L.whole_log(classes_of(spark, d)))
+    old, touched, appended = _last_block(log)
+    before = M.tree(old, L.active_entries(old))[1]
+    dirty = touched.unionByName(appended).select("shard_id", F.shiftright("sn", 11).alias("twig")).distinct()
+    of = lambda df: df.withColumn("twig", F.shiftright("sn", 11)).join(dirty, ["shard_id", "twig"], "left_semi").drop("twig")
+    twigs = M.twig_trees(M.leaf_hashes(of(log)), of(L.active_entries(log).select("shard_id", "sn")))
+    new = cut(twigs.select("shard_id", F.col("twig").alias("nth"), F.col("twig_root").alias("hash")))
+    return M.updated_upper(before, new).select("shard_id", F.col("level").cast("int").alias("level"), "nth", hx("hash").alias("hash"))
+
+
+@query(f"""with {_ROOTS}, e as (select shard_id, max(sn) + 1 as next_sn from whole group by shard_id), a as (select shard_id, min(sn) as oldest_active_sn from active group by shard_id),
+sized as (select *, ((61 + length(key) // 2 + length(value) // 2 + 7) // 8 * 8 + 8 * len(dsn))::bigint as length from log), f as (select shard_id, sum(length)::bigint as n from sized group by shard_id)
+select e.shard_id, next_sn, oldest_active_sn, 393216 + coalesce(f.n, 0) as file_size, (next_sn - 1) // 2048 as youngest_twig, root.level::integer as root_level, root.h as root_hash
+from e join a using (shard_id) left join f using (shard_id) join top using (shard_id) join root on root.shard_id = top.shard_id and root.level = top.top""")
+def shard_meta(spark: SparkSession, d: str) -> DataFrame:
+    """What a commit records of each shard: next and oldest live serial number, size of the entry file, youngest twig and root."""
+    log = cut(L.whole_log(classes_of(spark, d)))
+    roots = M.roots_of(M.tree(log, L.active_entries(log))[1])
+    size = log.groupBy("shard_id").agg(F.sum("length").cast("long").alias("file_size"))
+    j = L.active_stats(log).join(size, "shard_id").join(roots, "shard_id")
+    return j.select("shard_id", "next_sn", "oldest_active_sn", "file_size", F.shiftright(F.col("next_sn") - 1, 11).alias("youngest_twig"), F.col("level").cast("int").alias("root_level"), hx("root_hash").alias("root_hash"))
+
+
+@query(f"with {WHOLE}, o as (select shard_id, min(sn) // 2048 * 2048 as start from active where sn >= 4096 group by shard_id) select w.shard_id, w.sn, entity, a.sn is not null as live from whole w join o on o.shard_id = w.shard_id and w.sn >= o.start left join (select shard_id, sn from active) a on a.shard_id = w.shard_id and a.sn = w.sn")
+def recovery_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that a restart reads again: from the twig of the oldest live entry on, sentries aside, with their liveness."""
+    log = cut(L.whole_log(classes_of(spark, d)))
+    live = cut(L.active_entries(log).select("shard_id", "sn", F.lit(True).alias("live")))
+    start = live.where("sn >= 4096").groupBy("shard_id").agg(F.min("sn").alias("oldest")).select("shard_id", (F.shiftright("oldest", 11) * 2048).alias("start"))
+    read = log.join(F.broadcast(start), "shard_id").where("sn >= start").select("shard_id", "sn", "entity")  # a row a shard
+    return read.join(live, ["shard_id", "sn"], "left").select("shard_id", "sn", hx("entity").alias("entity"), F.coalesce("live", F.lit(False)).alias("live"))
+
+
+@query(f"""with {_BLOCK}, n as (select shard_id, sum(case effect when 'create' then 1 when 'write' then 1 else 1 end) as n_change, sum(case effect when 'create' then 2 when 'write' then 1 else 0 end) as n_compact from cls, lastb where effect <> 'noop' and version >> 24 = h group by shard_id),
+old as (select w.* from whole w, lastb where version >> 24 < h),
+ends as (select shard_id, max(sn) + 1 as sn_end from old group by shard_id),
+olddead as (select distinct shard_id, unnest(dsn) as sn from old),
+oldlive as (select shard_id, sn, row_number() over (partition by shard_id order by sn) as place from old anti join olddead using (shard_id, sn)),
+moved as (select l.shard_id, l.sn from oldlive l join n on n.shard_id = l.shard_id and l.place <= n.n_compact),
+span as (select shard_id, min(sn) as a, max(sn) as b from moved group by shard_id)
+select shard_id, sn, 'touched' as part from gone0
+union all select shard_id, unnest(range(sn_end, sn_end + n_change + n_compact)), 'appended' from n join ends using (shard_id)
+union all select shard_id, sn, 'compacted' from moved
+union all select shard_id, unnest(range(a, b)), 'bits' from span""".replace("sn_end + n_change + n_compact", "(sn_end + n_change + n_compact)::bigint"))
+def block_proof_entries(spark: SparkSession, d: str) -> DataFrame:
+    """All that a proof of the last block covers: entries it replaced, numbers it and its compaction may append, entries that compaction would
+    move next, and, for their liveness alone, the entries between those."""
+    classes = cut(classes_of(spark, d))
+    log = cut(L.whole_log(classes))
+    old, touched, _ = _last_block(log)
+    top = log.agg(F.max(F.shiftright("version", 24))).first()[0]
+    effects = classes.where((F.shiftright("version", 24) == top) & (F.col("effect") != "noop"))
+    parts = P.block_entries(old, L.active_entries(old), effects)
+    return touched.withColumn("part", F.lit("touched")).unionByName(parts)

@@ -7,7 +7,7 @@ from sqlcheck import same
 from statelog.plans import registry
 
 
-@pytest.mark.parametrize("name", ["p4_by_key", "p5_found", "p7_found", "upsert_classify", "state_latest", "predecessor", "log_entries", "shard_roots", "proof_check", "access_set", "tx_collisions", "serial_tlp_keep_sep", "dependency_waves", "settlement", "fee_reward", "json_blocks", "stream_state", "block_entries"])
+@pytest.mark.parametrize("name", ["p4_by_key", "p5_found", "p7_found", "upsert_classify", "state_latest", "predecessor", "log_entries", "shard_roots", "proof_check", "access_set", "tx_collisions", "serial_tlp_keep_sep", "dependency_waves", "settlement", "fee_reward", "json_blocks", "stream_state", "block_entries", "proof_bytes", "proof_check_forged", "witness_decode", "exec_schedule", "task_execution", "call_access", "warm_up_code", "shard_meta", "block_proof_entries", "upper_tree_updated", "store_truncated", "ordered_chain", "random_columns"])
 def test_query_equals_its_sql(spark, name):
     same(spark, registry.QUERIES, registry.SQL, name)
 

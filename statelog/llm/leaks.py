@@ -64,10 +64,12 @@ def words_of(text: str) -> list[str]:
 
 def _strip_links(text: str) -> str:
     for _ in range(6):  # links inside captions of files
+        if "[[" not in text:
+            break
         text, n = _LINK.subn(_label, text)
         if not n:
             break
-    return _URL_LINK.sub(r"\1", text)
+    return _URL_LINK.sub(r"\1", text) if "[" in text else text
 
 
 def rendered(text: str) -> list[str]:
@@ -82,12 +84,13 @@ def views_and_notes(text: str) -> tuple[list[str], list[str]]:
     The first is the page with what its templates show in place; others, where there is anything to tell apart, are the page without
     templates and notes, the page with its innermost templates replaced by their last unnamed argument, level by level, and the notes. An unclosed comment hides the rest; other unclosed markup is shown as it is.
     """
-    text = _COMMENT.sub("", text)
+    text = _COMMENT.sub("", text) if "<!--" in text else text
     text = html.unescape(text) if "&" in text else text
     if not text.isascii():
         text = _HIDDEN.sub("", text)
-    notes = [m.group(1) for m in _REF.finditer(text) if m.group(1)]
-    body = _strip_links(_REF.sub("", text))
+    tags = "<" in text
+    notes = [m.group(1) for m in _REF.finditer(text) if m.group(1)] if tags else []
+    body = _strip_links(_REF.sub("", text) if tags else text)
     views = [body]
     if "{{" in body:
         bare = body
@@ -108,8 +111,11 @@ def views_and_notes(text: str) -> tuple[list[str], list[str]]:
 
 
 def _without_marks(text: str) -> str:
-    text = _CELL_STYLE.sub(r"\1 ", _TABLE_LINE.sub(" ", text))
-    return _SWITCH.sub("", _QUOTES.sub("", _TAG.sub(_tag, text)))
+    if "|" in text:
+        text = _CELL_STYLE.sub(r"\1 ", _TABLE_LINE.sub(" ", text)) if "=" in text else _TABLE_LINE.sub(" ", text)
+    text = _TAG.sub(_tag, text) if "<" in text else text
+    text = _QUOTES.sub("", text) if "''" in text else text
+    return _SWITCH.sub("", text) if "__" in text else text
 
 
 class LeakFinder:
@@ -117,6 +123,7 @@ class LeakFinder:
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
         self.window, self.number, self.windows = window, {}, {}
+        self.run = b"\1" * window
         for item_id, text in items:
             w = [self.number.setdefault(x, len(self.number)) for x in words_of(text or "")]
             for k in range(len(w) - window + 1):
@@ -125,7 +132,10 @@ class LeakFinder:
     def spans(self, text: str) -> Iterator[tuple[int, int, int]]:
         """``(item_id, first word, words)`` of each stretch of words that an item shares with ``text``."""
         n, get, windows = self.window, self.number.get, self.windows
-        w = [get(x, -1) for x in words_of(text)]
+        words = words_of(text)
+        if self.run not in bytes(map(self.number.__contains__, words)):  # never so many words of items in a row
+            return
+        w = [get(x, -1) for x in words]
         open_at: dict[int, list[int]] = {}
         known = 0
         for k, x in enumerate(w):
@@ -146,7 +156,7 @@ class LeakFinder:
     def leaks(self, text: str | None) -> dict[int, int]:
         """Items that a page shows, with the words of the longest stretch."""
         found: dict[int, int] = {}
-        for view in rendered(text) if text else ():
+        for view in dict.fromkeys(rendered(text)) if text else ():
             for item, _, n in self.spans(view):
                 found[item] = max(n, found.get(item, 0))
         return found
